@@ -1,11 +1,15 @@
 """The queries of this subpackage and the SQL that some of them are held against."""
 
+from ablatrix.llm.decontaminate import OP10_SQL, op10_decontaminate
 from ablatrix.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from ablatrix.llm.packing import op2_packing
 from ablatrix.llm.simhash import op9_simhash
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_packing": op2_packing,
     "op9_simhash": op9_simhash,
+    "op10_decontaminate": op10_decontaminate,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}
