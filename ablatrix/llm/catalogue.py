@@ -2,12 +2,18 @@
 
 from ablatrix.llm.decontaminate import OP10_SQL, op10_decontaminate
 from ablatrix.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from ablatrix.llm.language import op5_language_id
 from ablatrix.llm.packing import op2_packing
+from ablatrix.llm.quality import op7_quality
+from ablatrix.llm.secrets import op4_secrets
 from ablatrix.llm.simhash import op9_simhash
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
+    "op4_secrets": op4_secrets,
+    "op5_language_id": op5_language_id,
+    "op7_quality": op7_quality,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
