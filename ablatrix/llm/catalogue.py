@@ -2,6 +2,7 @@
 
 from ablatrix.llm.decontaminate import OP10_SQL, op10_decontaminate
 from ablatrix.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from ablatrix.llm.html_text import op3_html_text
 from ablatrix.llm.language import op5_language_id
 from ablatrix.llm.packing import op2_packing
 from ablatrix.llm.quality import op7_quality
@@ -11,6 +12,7 @@ from ablatrix.llm.simhash import op9_simhash
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
+    "op3_html_text": op3_html_text,
     "op4_secrets": op4_secrets,
     "op5_language_id": op5_language_id,
     "op7_quality": op7_quality,
