@@ -4,6 +4,7 @@ from ablatrix.llm.decontaminate import OP10_SQL, op10_decontaminate
 from ablatrix.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from ablatrix.llm.html_text import op3_html_text
 from ablatrix.llm.language import op5_language_id
+from ablatrix.llm.lattice import op8_lattice_lm
 from ablatrix.llm.packing import op2_packing
 from ablatrix.llm.quality import op7_quality
 from ablatrix.llm.secrets import op4_secrets
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_secrets": op4_secrets,
     "op5_language_id": op5_language_id,
     "op7_quality": op7_quality,
+    "op8_lattice_lm": op8_lattice_lm,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
 }
