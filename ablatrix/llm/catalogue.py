@@ -9,6 +9,7 @@ from ablatrix.llm.packing import op2_packing
 from ablatrix.llm.quality import op7_quality
 from ablatrix.llm.secrets import op4_secrets
 from ablatrix.llm.simhash import op9_simhash
+from ablatrix.llm.suffixes import op6_suffix_dedup
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
@@ -16,6 +17,7 @@ QUERIES = {
     "op3_html_text": op3_html_text,
     "op4_secrets": op4_secrets,
     "op5_language_id": op5_language_id,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_quality": op7_quality,
     "op8_lattice_lm": op8_lattice_lm,
     "op9_simhash": op9_simhash,
