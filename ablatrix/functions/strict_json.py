@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ablatrix.limits import DEPTH
+from ablatrix.schemas import TEXT
 
 
 def _unique(pairs: list[tuple]) -> dict:
@@ -57,7 +58,7 @@ def refusal(text: str | None, most: int, depth: int = DEPTH) -> str | None:
     return "json_too_deep" if deepest > depth else "json_too_many_nodes" if nodes > most else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(TEXT)
 def admitted(text: pd.Series, most: pd.Series) -> pd.Series:
     """refusal() of a column; most is the number of nodes that each document may have."""
     return pd.Series([refusal(t, int(m)) for t, m in zip(text, most)], dtype=object)

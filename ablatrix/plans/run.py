@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
@@ -9,9 +10,11 @@ from typing import Protocol
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ablatrix.errors import InvalidConfiguration
 from ablatrix.functions.scoring import text_match
+from ablatrix.schemas import REAL, TEXT, struct
 
 DAMAGED = "damaged"
 
@@ -75,7 +78,7 @@ def measure(grid: DataFrame, load: Callable[[], Model], warmups: int = 0) -> Dat
     The model is loaded once a task and warmed up on the task's first text.  A row on which it fails is an error
     observation; nothing raises.
     """
-    schema = grid.schema.add("raw_output", "string").add("status", "string").add("error_type", "string").add("elapsed_seconds", "double")
+    schema = T.StructType([*grid.schema.fields, *struct(raw_output=TEXT, status=TEXT, error_type=TEXT, elapsed_seconds=REAL).fields])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, warm = load(), warmups
@@ -84,7 +87,8 @@ def measure(grid: DataFrame, load: Callable[[], Model], warmups: int = 0) -> Dat
             for text, component in zip(pdf["text"], pdf["component_id"]):
                 component = component if isinstance(component, str) else None
                 for _ in range(warm):
-                    model.run(text, None)
+                    with contextlib.suppress(Exception):
+                        model.run(text, None)
                 warm, began = 0, time.monotonic()
                 try:
                     out.append((model.run(text, component), "complete", None, time.monotonic() - began))

@@ -1,26 +1,31 @@
-"""Schemas of the evidence tables; nothing is inferred."""
+"""Schemas of the evidence tables; nothing is inferred.  They are plain types, so that importing needs no session."""
 
 from pyspark.sql import types as T
 
-SCORE = T._parse_datatype_string("struct<value:double,numerator:double,denominator:bigint,reason:string>")
+TEXT, LONG, INT, REAL, FLAG = T.StringType(), T.LongType(), T.IntegerType(), T.DoubleType(), T.BooleanType()
+TEXT_MAP = T.MapType(TEXT, TEXT)
 
-OBSERVATION = T._parse_datatype_string(
-    "struct<condition:string,component_id:string,partition:string,example_id:string,group_id:string,repetition:int,status:string,"
-    "expected_metric_ids:array<string>,scores:map<string,struct<value:double,numerator:double,denominator:bigint,reason:string>>,"
-    "elapsed_seconds:double,memory_observation_bytes:bigint,input_tokens:bigint,output_tokens:bigint,output_sha256:string,prompt_sha256:string,"
-    "error_type:string,parsed:string,raw_output:string>"
-)
 
-RECORD_PLAN = T._parse_datatype_string("struct<source_id:string,group_key:string,kind:string,split:string,ordinal:bigint>")
-MANIFEST = T._parse_datatype_string("struct<path:string,bytes:bigint,sha256:string>")
-TASK = T._parse_datatype_string("struct<ordinal:int,id:string,stage:string,condition:string,component_id:string,control_position:string>")
-METRIC = T._parse_datatype_string("struct<metric:string,role:string,direction:string>")
-DATASET = T._parse_datatype_string(
-    "struct<license:string,revision:string,partitions:map<string,array<struct<id:string,partition:string,input:struct<text:string>,expected:string,metadata:map<string,string>>>>>"
-)
-TRACE = T._parse_datatype_string(
-    "struct<trace_id:string,complete:boolean,dropped_spans:bigint,"
-    "spans:array<struct<name:string,trace_id:string,span_id:string,parent_span_id:string,start_ns:bigint,end_ns:bigint,duration_ns:bigint,status:string,"
-    "attributes:map<string,string>,events:array<struct<name:string,timestamp:bigint,attributes:map<string,string>>>>>,"
-    "metrics:array<struct<name:string,points:array<struct<attributes:map<string,string>,value:bigint>>>>>"
+def struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+SCORE = struct(value=REAL, numerator=REAL, denominator=LONG, reason=TEXT)
+
+OBSERVATION = struct(
+    condition=TEXT, component_id=TEXT, partition=TEXT, example_id=TEXT, group_id=TEXT, repetition=INT, status=TEXT, expected_metric_ids=T.ArrayType(TEXT), scores=T.MapType(TEXT, SCORE),
+    elapsed_seconds=REAL, memory_observation_bytes=LONG, input_tokens=LONG, output_tokens=LONG, output_sha256=TEXT, prompt_sha256=TEXT, error_type=TEXT, parsed=TEXT, raw_output=TEXT,
+)
+
+RECORD_PLAN = struct(source_id=TEXT, group_key=TEXT, kind=TEXT, split=TEXT, ordinal=LONG)
+MANIFEST = struct(path=TEXT, bytes=LONG, sha256=TEXT)
+TASK = struct(ordinal=INT, id=TEXT, stage=TEXT, condition=TEXT, component_id=TEXT, control_position=TEXT)
+METRIC = struct(metric=TEXT, role=TEXT, direction=TEXT)
+RECORD = struct(id=TEXT, partition=TEXT, input=struct(text=TEXT), expected=TEXT, metadata=TEXT_MAP)
+DATASET = struct(license=TEXT, revision=TEXT, partitions=T.MapType(TEXT, T.ArrayType(RECORD)))
+SPAN_EVENT = struct(name=TEXT, timestamp=LONG, attributes=TEXT_MAP)
+SPAN = struct(
+    name=TEXT, trace_id=TEXT, span_id=TEXT, parent_span_id=TEXT, start_ns=LONG, end_ns=LONG, duration_ns=LONG, status=TEXT, attributes=TEXT_MAP, events=T.ArrayType(SPAN_EVENT)
 )
+COUNTER = struct(name=TEXT, points=T.ArrayType(struct(attributes=TEXT_MAP, value=LONG)))
+TRACE = struct(trace_id=TEXT, complete=FLAG, dropped_spans=LONG, spans=T.ArrayType(SPAN), metrics=T.ArrayType(COUNTER))
