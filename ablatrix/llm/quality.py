@@ -22,8 +22,8 @@ FIT_ROWS, POOL_ROWS = 12_000, 6_000
 ROUNDS, EXCHANGED, SURE = 3, 500, 0.95
 #: Rows whose combined chance of good quality is below it are rejected.
 THRESHOLD = 0.5
-#: Hashed one-hot places of the metadata view.
-PLACES = 64
+#: Features of the text view, and hashed one-hot places of the metadata view, which has two more.
+SHAPES, PLACES = 14, 64
 
 _WORDLIKE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?]?")
 
@@ -34,7 +34,7 @@ def text_features(text: str | None) -> list[float]:
     words = text.split()
     n = len(words)
     if not n:
-        return [0.0] * 14
+        return [0.0] * SHAPES
     counts = Counter(words)
     letters = sum(len(w) * c for w, c in counts.items())
     lines = [x for x in text.split("\n") if x.strip()]
@@ -156,9 +156,9 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.nd
 
 
 def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_features(t) for t in batch.column("body").to_pylist()]).reshape(batch.num_rows, -1)
+    text = np.array([text_features(t) for t in batch.column("body").to_pylist()]).reshape(batch.num_rows, SHAPES)
     meta = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-    return text, np.array([meta_features(*m) for m in meta]).reshape(batch.num_rows, -1)
+    return text, np.array([meta_features(*m) for m in meta]).reshape(batch.num_rows, PLACES + 2)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,8 +209,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int =
     both = labelled.select(*views.columns, "quality").unionByName(others.select(*views.columns, "quality"))
     found = both.mapInArrow(_extract, f"id {id_type}, quality int, text array<double>, meta array<double>").toPandas()
     found = found.sort_values("id", kind="stable")
-    text = np.array(found["text"].tolist()).reshape(len(found), -1)
-    meta = np.array(found["meta"].tolist()).reshape(len(found), -1)
+    text = np.array(found["text"].tolist()).reshape(len(found), SHAPES)
+    meta = np.array(found["meta"].tolist()).reshape(len(found), PLACES + 2)
     has = found["quality"].notna().to_numpy()
     y = (found["quality"][has] > 0).to_numpy().astype(float)
     return co_train(text[has], meta[has], y, text[~has], meta[~has])
