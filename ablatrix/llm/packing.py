@@ -17,8 +17,8 @@ from ablatrix.llm.common import checkpointed, ship, table
 CAPACITY = 2048
 #: A bin that lacks at most so many tokens is nearly full and leaves at once.
 NEARLY = 8
-#: Groups of bins merged into one in each round.
-FAN = 16
+#: Groups of bins merged into one in each round, and bins that a group hands on at most.
+FAN, CARRIED = 16, 1024
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, bin string, bin_offset long, bin_fill long, grp long"
 
@@ -40,18 +40,18 @@ def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     return place
 
 
-def carried(fills: list[tuple[int, str]], capacity: int, nearly: int, fan: int) -> set[str]:
-    """The bins that go on to the next round.
+def carried(fills: list[tuple[int, str]], capacity: int, nearly: int) -> set[str]:
+    """The bins that go on to the next round: the emptiest of those that aren't nearly full, CARRIED at most.
 
-    Best fit leaves at most one bin of half the capacity or less.  Whatever merges later takes one of those, and a group
-    meets fan - 1 others' in a round; so beside its own small bin a group's ``fan`` emptiest bins are all that a round
-    can fill, and a group carries fan + 1 bins at most, whatever the sizes of its items.
+    Best fit leaves at most one bin of half the capacity or less in a group, and whatever merges later takes one of
+    those.  A round brings FAN groups together and so as many of them; the CARRIED emptiest bins of each group are more
+    than they can fill.  The others are sequences as they are.  So a round's group has FAN * CARRIED bins at most,
+    whatever the sizes of the items.
     """
-    under = sorted((fill, name) for fill, name in fills if capacity - fill > nearly)
-    return {name for _, name in under[: fan + 1]}
+    return {name for _, name in sorted((fill, name) for fill, name in fills if capacity - fill > nearly)[:CARRIED]}
 
 
-def _pack_partition(tokens, capacity: int, fan: int, nearly: int):
+def _pack_partition(tokens, capacity: int, nearly: int):
     """A mapInArrow function: tokenise, cut, and best-fit what a partition holds.  Only lengths are kept, not texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,7 @@ def _pack_partition(tokens, capacity: int, fan: int, nearly: int):
         for (number, offset), length in zip(place, lengths):
             fill[number] = fill.get(number, 0) + length
         names = {b: f"{part}-{b}" for b in fill}
-        on = carried([(f, names[b]) for b, f in fill.items()], capacity, nearly, fan)
+        on = carried([(f, names[b]) for b, f in fill.items()], capacity, nearly)
         columns = [
             pa.array(ids, id_type), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()),
             pa.array([names[b] for b, _ in place]), pa.array([o for _, o in place], pa.int64()), pa.array([fill[b] for b, _ in place], pa.int64()),
@@ -93,7 +93,7 @@ def _pack_partition(tokens, capacity: int, fan: int, nearly: int):
     return run
 
 
-def _merge(capacity: int, fan: int, nearly: int, last: bool):
+def _merge(capacity: int, nearly: int, last: bool):
     def run(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
         bins = bins.sort_values(["fill", "bin"], ascending=[False, True]).reset_index(drop=True)
         place = best_fit(bins["fill"].tolist(), capacity)
@@ -102,7 +102,7 @@ def _merge(capacity: int, fan: int, nearly: int, last: bool):
         for (number, _), name, fill in zip(place, bins["bin"], bins["fill"]):
             into = lead.setdefault(number, name)
             total[into] = total.get(into, 0) + int(fill)
-        on = set() if last else carried([(f, b) for b, f in total.items()], capacity, nearly, fan)
+        on = set() if last else carried([(f, b) for b, f in total.items()], capacity, nearly)
         into = [lead[number] for number, _ in place]
         return pd.DataFrame({
             "bin": bins["bin"], "into": into, "shift": [o for _, o in place], "fill": [total[b] for b in into], "grp": [key[0] if b in on else -1 for b in into],
@@ -128,7 +128,7 @@ def pack(docs: DataFrame, tokens, capacity: int = CAPACITY, fan: int = FAN, near
     ship(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    packed = checkpointed(source.mapInArrow(_pack_partition(tokens, capacity, fan, nearly), PIECES.format(id=id_type)))
+    packed = checkpointed(source.mapInArrow(_pack_partition(tokens, capacity, nearly), PIECES.format(id=id_type)))
     bins = packed.filter("grp IS NOT NULL").groupBy("bin").agg(F.first("bin_fill").alias("fill"), F.first("grp").alias("grp"))
     top = packed.agg(F.max("grp")).first()[0]
     groups = (top or 0) + 1
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, tokens, capacity: int = CAPACITY, fan: int = FAN, near
         last = groups <= fan
         live = moved.filter("grp >= 0").groupBy("into").agg(F.first("fill").alias("fill"), F.first("grp").alias("grp"))
         live = live.select(F.col("into").alias("bin"), "fill", F.floor(F.col("grp") / fan).alias("grp"))
-        merged = live.groupBy("grp").applyInPandas(_merge(capacity, fan, nearly, last), "bin string, into string, shift long, fill long, grp long")
+        merged = live.groupBy("grp").applyInPandas(_merge(capacity, nearly, last), "bin string, into string, shift long, fill long, grp long")
         merged = merged.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"), F.col("fill").alias("now"), F.col("grp").alias("to"))
         moved = moved.join(merged, "into", "left").select(
             "bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"),

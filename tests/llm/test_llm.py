@@ -1,0 +1,493 @@
+"""The training-data operators against brute force, planted cases and the SQL that some have."""
+
+import hashlib
+import itertools
+import math
+import random
+import zlib
+
+import numpy as np
+import pytest
+from conftest import comparable
+from pyspark.sql import functions as F
+
+from ablatrix.llm import catalogue, decontaminate, exact_dedup, html_text, language, lattice, packing, quality, secrets, simhash, suffixes
+from ablatrix.llm.common import components
+
+TINY, SMALL = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+CLASHES = ("id", "body", "digest", "keep_id", "n", "fp", "row", "key", "word", "h", "salt", "kept", "score", "grp", "bin")
+
+
+def docs_of(spark, rows):
+    """(doc_id, text) as documents, with columns that clash with names the operators use."""
+    full = [(i, t, "en", "src", len(t or "")) for i, t in rows]
+    df = spark.createDataFrame(full, "doc_id long, text string, lang string, source string, n_chars long")
+    return df.withColumns({c: F.lit(f"own {c}") for c in CLASHES})
+
+
+EDGES = [(1, "Same TEXT here"), (2, "same text here"), (2, "same text here"), (3, None), (4, ""), (None, "same text here"), (5, "Ünïcode ß"), (6, "ÜNÏCODE ß"), (7, "x" * 70_000), (8, " \t\n")]
+
+
+@pytest.fixture(scope="module")
+def edges(spark):
+    return docs_of(spark, EDGES).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return docs_of(spark, [(1, "x")]).filter("doc_id = 2")
+
+
+@pytest.mark.parametrize("name", sorted(catalogue.SQL))
+def test_sql(spark, oracle, name):
+    assert comparable(catalogue.QUERIES[name](spark, SMALL).toPandas()) == comparable(oracle(SMALL, catalogue.SQL[name]))
+
+
+def rows_of(df, *columns):
+    return sorted(df.select(*columns).collect(), key=str)
+
+
+# exact dedup
+
+
+def low(t):
+    return "".join(c.lower() if c.isascii() else c for c in t or "")
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda c: F.substring(F.sha2(c, 256), 1, 1)], ids=["sha256", "colliding"])
+def test_exact_dedup(spark, edges, digest):
+    found = exact_dedup.exact_dedup(edges, digest=digest, salts=3).collect()
+    groups = {}
+    for i, t in EDGES:
+        groups.setdefault(low(t), []).append(i)
+    wanted = sorted((str(i), str(max(g, key=lambda x: -1 if x is None else x)), len(g), hashlib.sha256(low(t).encode()).hexdigest()) for i, t in EDGES for g in [groups[low(t)]])
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.text_sha256) for r in found) == wanted
+    assert sum(r.kept for r in found) == len(groups)
+    assert all(r.doc_id == r.keep_id for r in found if r.kept)
+
+
+def test_exact_dedup_keeps_rows_whole(edges, nothing):
+    kept = exact_dedup.kept_rows(edges)
+    assert kept.columns == edges.columns and sorted(r.doc_id for r in kept.collect()) == [2, 4, 5, 6, 7, 8]
+    assert exact_dedup.exact_dedup(nothing).count() == 0
+
+
+# SimHash
+
+
+def slow_fingerprint(text):
+    from xxhash import xxh64_intdigest
+
+    words = "".join(c if c not in "\x0b\x0c\r\n\t" else " " for c in low(text)).split(" ")
+    words = [w for w in words if w]
+    if not words:
+        return 0
+    grams = [" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or [" ".join(words)]
+    hashes = [xxh64_intdigest(g.encode(), 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def reach(codes, distance=4):
+    """component of each code: its smallest member's place."""
+    codes = np.array(codes, dtype=np.uint64)
+    near = np.bitwise_count(codes[:, None] ^ codes[None]) <= distance
+    label = np.arange(len(codes))
+    while True:
+        new = np.where(near, label[None], len(codes)).min(1)
+        if (new == label).all():
+            return label
+        label = new
+
+
+@pytest.mark.parametrize("text", ["", None, "one", "a b c", "a b c d", "A b\tC\nd e f é É", "to be or not to be or not to be"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == slow_fingerprint(text)
+
+
+def test_simhash_components(spark, edges, nothing):
+    found = simhash.simhash_components(edges).collect()
+    wanted = {}
+    codes = [slow_fingerprint(t) for _, t in EDGES]
+    for (i, t), c, g in zip(EDGES, codes, reach(codes)):
+        wanted.setdefault(g, []).append((i, c))
+    lines = sorted((str(i), f"{c:016x}", str(min(x for x, _ in m if x is not None))) for m in wanted.values() for i, c in m)
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in found) == lines
+    assert simhash.simhash_components(nothing).count() == 0
+    one = simhash.one_of_each(edges)
+    assert one.columns == edges.columns and one.count() == len(wanted)
+
+
+@pytest.mark.parametrize("bucket,tile,blocks", [(64, 512, None), (2, 8, None), (3, 16, 7)])
+def test_links_reach_what_all_pairs_reach(spark, monkeypatch, bucket, tile, blocks):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    rng = random.Random(5)
+    codes = {0, (1 << 64) - 1}
+    for centre in (rng.getrandbits(64), rng.getrandbits(64)):
+        for _ in range(60):
+            codes.add(centre ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, 6))))
+    codes = sorted(codes)
+    df = spark.createDataFrame([(c - (1 << 64) if c >> 63 else c,) for c in codes], "fp long")
+    found = {r.v % (1 << 64): r.root for r in components(simhash.links(df, bucket=bucket, blocks=blocks)).collect()}
+    want, got = {}, {}
+    for c, g in zip(codes, reach(codes)):
+        want.setdefault(g, set()).add(c)
+        got.setdefault(found.get(c, ("alone", c)), set()).add(c)
+    assert sorted(map(sorted, want.values())) == sorted(map(sorted, got.values()))
+
+
+def test_components_of_a_path_a_star_and_a_loop(spark):
+    path = [(i, i + 1) for i in range(30)]
+    star = [(100, 100 + i) for i in range(1, 40)]
+    edges = spark.createDataFrame([*path, *star, (7, 7), (1, 0), (200, 201), (201, 202), (202, 200)], "u long, v long")
+    found = {r.v: r.root for r in components(edges).collect()}
+    assert found == {**{i: 0 for i in range(31)}, **{100 + i: 100 for i in range(40)}, 200: 200, 201: 200, 202: 200}
+
+
+# decontamination
+
+
+@pytest.mark.parametrize("broadcast_rows", [500_000, 0])
+def test_decontamination(spark, nothing, broadcast_rows):
+    item = "The quick brown fox jumps over the lazy dog and runs far away today"
+    part = " ".join(item.split()[:11])  # 7 of 10 shingles
+    cut = " ".join(item.split()[:13])  # 9 of 10
+    rows = [(1, f"filler words here. {item.upper()}! more"), (2, part), (3, cut), (4, None), (5, ""), (6, "quick brown"), (1, "another row of the same id"), (None, item), (7, "w " * 30_000 + item)]
+    bench = spark.createDataFrame([(10, item), (10, item), (11, "too short"), (12, None), (13, "")], "item_id long, text string").withColumn("doc_id", F.lit(3))
+    docs = docs_of(spark, rows)
+    found = decontaminate.contained_items(docs, bench, broadcast_rows=broadcast_rows).collect()
+    assert sorted((str(r.doc_id), r.item_id, r.shared, r.item_shingles) for r in found) == [("1", 10, 10, 10), ("3", 10, 9, 10), ("7", 10, 10, 10), ("None", 10, 10, 10)]
+    assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, bench).collect()) == [2, 4, 5, 6]
+    assert decontaminate.contained_items(nothing, bench).count() == 0
+    assert decontaminate.contained_items(docs, bench.filter("item_id = 0")).count() == 0
+
+
+# packing
+
+
+def check_packing(pieces, capacity, lengths):
+    """Whole documents in pieces, each sequence gapless and within capacity."""
+    by_doc, by_bin = {}, {}
+    for p in pieces:
+        by_doc.setdefault(p.doc_id, []).append(p)
+        by_bin.setdefault(p.sequence_id, []).append(p)
+    assert {d: sum(p.length for p in ps) for d, ps in by_doc.items()} == lengths
+    for ps in by_doc.values():
+        ps.sort(key=lambda p: p.piece)
+        assert [p.start for p in ps] == [capacity * k for k in range(len(ps))] and all(p.length == capacity for p in ps[:-1])
+    for ps in by_bin.values():
+        ps.sort(key=lambda p: p.offset)
+        assert [p.offset for p in ps] == [0, *itertools.accumulate(p.length for p in ps)][:-1] and sum(p.length for p in ps) <= capacity
+    return len(by_bin)
+
+
+@pytest.mark.parametrize("sizes", [[60] * 40 + [40] * 40, [55] * 30, list(range(1, 101)) * 2, [250, 100, 1]], ids=["pairs", "none fit", "all sizes", "cut"])
+def test_packing(spark, sizes):
+    def plain_tokens():
+        return lambda text: b"\1\0\0\0" * len(text)
+
+    random.Random(1).shuffle(sizes)
+    docs = docs_of(spark, [(i, "x" * n) for i, n in enumerate(sizes)]).repartition(9)
+    pieces = packing.pack(docs, plain_tokens, capacity=100, fan=3, nearly=2).collect()
+    used = check_packing(pieces, 100, dict(enumerate(sizes)))
+    cut = [c for n in sizes for c in [100] * (n // 100) + [n % 100] if c]
+    best = max(-(-sum(cut) // 100), sum(c > 50 for c in cut))
+    assert used <= best * 1.08 + 1  # nine partitions of a few pieces each
+
+
+def test_packing_tokens_are_the_tokenizers(spark, edges, nothing):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokenizer.encode_special_tokens = True
+    encode = packing.word_bpe_tokens()()
+    texts = [*(t or "" for _, t in EDGES if t is None or len(t) < 100), "Don't I'LL 'Sx' it's!? $5,000.00 #tag", "ΑΣ Σ İ ı ſ K ﬁ ½ é é 日本 😀😀", "a\x1cb\x85c d e​f", "<|endoftext|> x", "abc.,def. ..."]
+    for text in texts:
+        ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
+        assert encode(text) == np.array(ids, dtype="<u4").tobytes(), text
+    pieces = packing.pack(edges.filter("doc_id IS NOT NULL AND doc_id <> 2"), packing.word_bpe_tokens()).collect()
+    check_packing(pieces, 2048, {i: len(encode(t or "")) // 4 for i, t in EDGES if i not in (None, 2)})
+    first = next(p for p in pieces if p.doc_id == 1)
+    assert first.ids_crc32 == zlib.crc32(encode("Same TEXT here"))
+    assert packing.pack(edges, packing.word_bpe_tokens()).filter("doc_id IS NULL OR doc_id = 2").count() == 3
+    assert packing.pack(nothing, packing.word_bpe_tokens()).count() == 0
+
+
+# HTML
+
+
+@pytest.mark.parametrize("page,text", [
+    (None, ""), ("", ""), ("just words, no markup at all here.", ""), ("<p>Only a paragraph of text here, nothing more.</p>", "Only a paragraph of text here, nothing more."),
+    ("<article><h1>T &amp; U</h1><p><b>One.<br><p>Two &lt;x&gt;\n  three&nbsp;four</article>", "T & U\nOne.\nTwo <x> three four"),
+    ("<body><nav><a href=x>Home</a></nav><article><p>Text of it.</p><div class='ad'>Buy this now.</div><form><label>Name</label></form></article><footer>(c) me</footer>", "Text of it."),
+    ("<article><p>First one.</p><script>if (a < b) { '</p>' }</script><style>p{}</style><!-- no --><p>Second.</p></article>", "First one.\nSecond."),
+    ("<main><h2>Title</h2><p>Text here, with words.</p><section id='comments'><p>Nice post, thanks for it.</p></section></main><aside><p>More to read here.</p></aside>", "Title\nText here, with words."),
+    ("<article><p>cut &am", "cut &am"), ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one\ntwo\na\nb"),
+])
+def test_main_text(page, text):
+    assert html_text.main_text(page) == text if not page or "<" in page else isinstance(html_text.main_text(page), str)
+
+
+def test_marginals_are_those_of_all_assignments():
+    """Sum-product on the tree equals the sum over all labellings."""
+    tree = html_text.model()
+    nodes, _ = html_text.parse("<article><h1>A title</h1><div class=ad><p>Some text, here.</p></div><p>Other text of it, longer.</p></article><nav><ul><li><a href=x>y</a></ul></nav>")
+    weight = np.zeros((len(nodes), 2))
+    for states in itertools.product((0, 1), repeat=len(nodes)):
+        w = tree.first[states[0]]
+        for i, node in enumerate(nodes):
+            w *= tree.potential(node)[states[i]]
+            if node.parent >= 0:
+                w *= tree.edge[html_text.BLOCKS[node.tag]][states[node.parent]][states[i]]
+        for i, s in enumerate(states):
+            weight[i, s] += w
+    assert np.allclose(tree.marginals(nodes), weight[:, 1] / weight.sum(axis=1))
+
+
+def test_html_over_pages(spark):
+    import html
+    import re
+
+    for r in html_text.op3_html_text(spark, SMALL).join(spark.read.parquet(f"{SMALL}/pages.parquet").select("page_id", "html"), "page_id").collect():
+        inside = r.html.split("<article>", 1)[1].split("</article>")[0]
+        blocks = (" ".join(html.unescape(re.sub("<[^>]*>?", "", b.replace("<br>", " "))).split()) for b in re.split("</?(?:p|h1)>", inside))
+        assert r.text == "\n".join(b for b in blocks if b) and r.n_chars == len(r.text)
+
+
+def test_html_edges(spark):
+    rows = spark.createDataFrame([(1, "u", None), (1, None, ""), (None, "v", "<p>" + "Long text, really. " * 20_000)], "page_id long, url string, html string").withColumn("text", F.lit("own"))
+    out = {(r.page_id, r.url): r.n_chars for r in html_text.extract_text(rows).collect()}
+    assert out == {(1, "u"): 0, (1, None): 0, (None, "v"): 20_000 * 19 - 1}
+    assert html_text.extract_text(rows.filter("page_id = 5")).count() == 0
+
+
+# secrets
+
+
+def test_base_spans():
+    text = 'é password: "abcdefghijkl" TOKEN=short token = secret: abcdefghijklm AKIAABCDEFGHIJKLMN AKIASHORT 0123456789abcdef0 0123456789ABCDEF deadbeef api-key=aaaaaaaaaaaa APIKEY=aaaaaaaaaaaa'
+    named = [(secrets.KINDS[k], text[s:e]) for s, k, e in secrets.base_spans(text)]
+    assert named == [
+        ("assign", 'password: "abcdefghijkl'), ("access", "AKIAABCDEFGHIJKLMN"), ("hex", "0123456789abcdef0"), ("assign", "APIKEY=aaaaaaaaaaaa"),
+    ]
+
+
+def test_random_runs_are_found_and_words_are_not(spark, edges, nothing):
+    rng = random.Random(2)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    planted = ["".join(rng.choices(alphabet, k=44)) for _ in range(6)]
+    words = [f"internationalisation{w}responsibilities and-a-long-hyphenated-chain-of-words some/path/to/a/file/of/text WWWWWWWWWWWWWWWWWWWWWWWW" for w in ("of", "with", "other")]
+    docs = docs_of(spark, [*((i, f"see {k} there") for i, k in enumerate(planted)), *((100 + i, w) for i, w in enumerate(words))])
+    out = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert all(out[i].spans == f"random:4:{4 + 44}" for i in range(6))
+    assert all(out[100 + i].spans == "" for i in range(3))
+    base = {r.doc_id: r.base_sha256 for r in secrets.scan_secrets(edges).collect()}
+    assert base[3] == hashlib.sha256(b"").hexdigest() and len(secrets.scan_secrets(edges).collect()) == len(EDGES)
+    assert secrets.scan_secrets(nothing).count() == 0
+
+
+def test_secrets_over_documents(spark):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{TINY}/documents.parquet").select("doc_id", "text").collect()}
+    for r in secrets.op4_secrets(spark, TINY).collect():
+        spans = secrets.base_spans(texts[r.doc_id])
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == n for _, k, _ in spans) for n in range(3))
+        assert r.base_sha256 == hashlib.sha256(",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e in spans).encode()).hexdigest()
+
+
+# language
+
+
+def test_language_held_out(spark):
+    out = language.op5_language_id(spark, SMALL).join(spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out)
+    assert len(held) > 200 and np.mean([r.lang == r.lang_pred for r in held]) > 0.98 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_language_edges(spark, nothing):
+    rows = [(1, "the house and the garden", "en"), (2, "das haus und der garten", "de"), (3, None, "en"), (4, "123 !!", "de"), (5, "the unseenhouse", None), (None, "der unbekanntegarten", None), (5, "und", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("id", F.lit("own"))
+    out = {(r.doc_id, r.score > 0): r.lang_pred for r in language.identify(docs, F.coalesce(F.col("doc_id") < 5, F.lit(False))).collect()}
+    assert (out[1, True], out[2, True], out[3, False], out[4, False], out[None, True]) == ("en", "de", "und", "und", "de")
+    assert {r.lang_pred for r in language.identify(docs, F.lit(False)).collect()} == {"und"}
+    assert language.identify(nothing, F.lit(True)).count() == 0
+
+
+# quality
+
+
+def test_quality_held_out(spark):
+    """Fitted on the labels of even documents, held against those of odd ones."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    out = quality.classify(docs, labels.filter("doc_id % 2 = 0")).join(labels.filter("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad = ([r.kept for r in out if r.quality == q] for q in (1, 0))
+    assert len(bad) > 100 and np.mean(good) > 0.99 and np.mean(bad) < 0.05
+
+
+def test_co_training_helps_a_view_that_has_few_labels():
+    """Two views that each tell the classes; the second is fitted on a few labels and the first one's pseudo-labels."""
+    rng = np.random.default_rng(0)
+    y = rng.integers(0, 2, 400).astype(float)
+    text, meta = y[:, None] * 4 + rng.normal(size=(400, 3)), y[:, None] * 2 + rng.normal(size=(400, 2))
+    model = quality.co_train(text[:40], meta[:40], y[:40], text[40:300], meta[40:300])
+    scores = model.score(text[300:], meta[300:])
+    assert [np.mean((s > 0.5) == y[300:]) > 0.85 for s in scores] == [True] * 3
+
+
+def test_quality_edges(spark, edges, nothing):
+    labels = spark.createDataFrame([(1, 1), (2, 0), (None, 1), (3, None)], "doc_id long, quality int")
+    out = quality.classify(edges, labels).collect()
+    assert len(out) == len(EDGES) and all(r.kept for r in out if r.score >= 0.5)
+    assert quality.classify(nothing, labels).count() == 0
+    assert quality.good_rows(edges, labels.filter("doc_id = 9")).columns == edges.columns
+
+
+# lattice
+
+
+def test_word_probability_sums_all_segmentations():
+    pieces = lattice.Pieces([b" ", b" a", b"a", b"b", b"ab", b" ab", b"c"], np.log([0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.1]), math.log(0.1))
+
+    def enumerate_all(s):
+        return 1.0 if not s else sum(math.exp(pieces.weights[pieces.number[s[:n]]]) * enumerate_all(s[n:]) for n in range(1, len(s) + 1) if s[:n] in pieces.number)
+
+    words = [b"a", b"ab", b"abab", b"cab", b"abc" * 20]
+    assert np.allclose(pieces.log10(words), [math.log10(enumerate_all(b" " + w)) if len(w) < 20 else pieces.alone(b" " + w) / math.log(10) for w in words])
+    assert math.isclose(pieces.alone(b" abab"), math.log(enumerate_all(b" abab")))
+    into = np.zeros(7)
+    data = np.frombuffer(b" ab", np.uint8)[None]
+    pieces.expected(data, np.array([1.0]), into)
+    assert math.isclose(sum(n * len(p) for n, p in zip(into, pieces.names)), 3)  # each byte is covered once
+
+
+@pytest.mark.parametrize("head_words", [0, 100, 200_000])
+def test_lattice_scores(spark, head_words):
+    docs = spark.read.parquet(f"{TINY}/documents.parquet")
+    out = {r.doc_id: r for r in lattice.lattice_scores(docs, ~language.in_fold(7, 2), head_words=head_words).collect()}
+    texts = {r.doc_id: r.text.encode().lower().split() for r in docs.collect()}
+    held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in texts}
+    counts, ends = {}, sum(not h for h in held.values())
+    for i, ws in texts.items():
+        if not held[i]:
+            for w in ws:
+                counts[w] = counts.get(w, 0) + 1
+    n, v = sum(counts.values()) + ends, len(counts) + 1
+    for i, ws in texts.items():
+        base = sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
+        r = out[i]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws) + 1, sum(w in counts for w in ws) + 1, n)
+        assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+    shuffled = docs.withColumn("text", F.reverse("text"))
+    backwards = {r.doc_id: r.score for r in lattice.lattice_scores(docs.unionByName(shuffled.withColumn("doc_id", F.col("doc_id") + 10_000)), F.col("doc_id") < 10_000, head_words=head_words).collect()}
+    assert np.mean([backwards[i] > backwards[i + 10_000] for i in texts if len(texts[i]) > 20]) > 0.95
+
+
+def test_lattice_edges(spark, edges, nothing):
+    out = lattice.lattice_scores(edges, F.lit(True)).collect()
+    assert len(out) == len(EDGES) and sorted(r.n_tokens for r in out)[:3] == [1, 1, 1]
+    assert all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in out)
+    assert {r.n_known for r in lattice.lattice_scores(edges, F.lit(False)).collect()} == {0}
+    assert lattice.lattice_scores(nothing, F.lit(True)).count() == 0
+
+
+# suffix arrays
+
+
+def covered(rows):
+    """Words of each row, by its place, that stand in a run of 50 shared with another row."""
+    tokens = [suffixes.words(t) for _, t in rows]
+    places = {}
+    for k, ws in enumerate(tokens):
+        for i in range(len(ws) - 49):
+            places.setdefault(tuple(ws[i : i + 50]), set()).add(k)
+    out = []
+    for ws in tokens:
+        marks = np.zeros(len(ws), bool)
+        for i in range(len(ws) - 49):
+            if len(places[tuple(ws[i : i + 50])]) > 1:
+                marks[i : i + 50] = True
+        out.append(marks)
+    return out
+
+
+def check_repeats(spark, rows, parts=5):
+    docs = docs_of(spark, [(k, t) for k, (_, t) in enumerate(rows)]).repartition(parts)
+    got = [np.zeros(len(suffixes.words(t)), bool) for _, t in rows]
+    for r in suffixes.repeats(docs).collect():
+        assert r.end_word - r.start_word >= 50 and r.n_words == len(got[r.doc_id])
+        got[r.doc_id][r.start_word : r.end_word] = True
+    for a, b in zip(covered(rows), got):
+        assert (a == b).all()
+
+
+def test_repeats_are_those_of_all_windows(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abcdefgh") * rng.randint(1, 3)
+    text = lambda n: [word() for _ in range(n)]
+    passage, other, rows = text(70), text(55), []
+    for k in range(12):
+        body = text(rng.randint(0, 90))
+        if k % 2:
+            at = rng.randint(0, len(body))
+            body[at:at] = passage[rng.randint(0, 12) : 70 - rng.randint(0, 12)]
+        if k % 3 == 0:
+            body += other
+        rows.append((k, " ".join(body)))
+    near = text(200)
+    for k in range(6):
+        body = list(near)
+        for _ in range(k):
+            body[rng.randrange(200)] = "changed"
+        rows.append((50 + k, " ".join(body)))
+    rows += [(90, "tick tock " * 80), (91, "x " + "tick tock " * 40), (92, rows[3][1].upper()), (93, None), (94, ""), (95, "w " * 49)]
+    check_repeats(spark, rows)
+
+
+def test_repeats_edges(spark, nothing):
+    copy = " ".join(f"w{i}" for i in range(60))
+    docs = docs_of(spark, [(1, copy), (None, copy), (1, copy), (2, copy + " x"), (3, "short"), (4, "short")])
+    out = sorted((str(r.doc_id), r.start_word, r.end_word) for r in suffixes.repeats(docs).collect())
+    assert out == [("1", 0, 60), ("1", 0, 60), ("2", 0, 60), ("None", 0, 60)]
+    assert suffixes.repeats(nothing).count() == 0
+
+
+# pipeline
+
+
+def test_pipeline_stages(spark):
+    """Each stage's decisions against brute force on its own input, and the packing of what is left."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(400).cache()
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        if name != "best-fit packing":
+            assert out.columns == docs.columns
+        out = out.cache()
+        seen.append((name, docs.collect(), out.collect()))
+        docs = out
+    named = {n: (a, b) for n, a, b in seen}
+    assert [n for n, *_ in seen] == ["quality classifier", "exact dedup", "SimHash near-dedup", "benchmark decontamination", "best-fit packing"]
+    a, b = named["quality classifier"]
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SMALL}/labels.parquet").collect()}
+    kept = {r.doc_id for r in b}
+    assert np.mean([(r.doc_id in kept) == (labels[r.doc_id] == 1) for r in a if r.doc_id in labels]) > 0.97
+    a, b = named["exact dedup"]
+    best = {}
+    for r in a:
+        best[low(r.text)] = max(best.get(low(r.text), -1), r.doc_id)
+    assert {r.doc_id for r in b} == set(best.values()) and len(b) == len(best)
+    a, b = named["SimHash near-dedup"]
+    a = sorted(a, key=lambda r: r.doc_id)
+    assert sorted(r.doc_id for r in b) == sorted({a[g].doc_id for g in reach([slow_fingerprint(r.text) for r in a])})
+    a, b = named["benchmark decontamination"]
+    words = lambda t: "".join(c if c.isalnum() else " " for c in t.lower()).split()
+    grams = lambda t: {tuple(w[i : i + 5]) for w in [words(t)] for i in range(len(w) - 4)}
+    items = [g for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect() if (g := grams(r.text))]
+    clean = {r.doc_id for r in a if not any(len(g & d) >= 0.8 * len(g) for d in [grams(r.text)] for g in items)}
+    assert {r.doc_id for r in b} == clean and len(a) > len(b)
+    encode = packing.word_bpe_tokens()()
+    a, b = named["best-fit packing"]
+    used = check_packing(b, 2048, {r.doc_id: len(encode(r.text)) // 4 for r in a})
+    assert used <= 1.02 * sum(p.length for p in b) / 2048 + 1
