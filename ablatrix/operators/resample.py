@@ -8,6 +8,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ablatrix.checkpoints import checkpointed
+from ablatrix.operators.estimate import ols_points
 from ablatrix.operators.rank import average_rank, top_k_with_ties
 
 PUBLISHED_SEED, PUBLISHED_BLOCK = 20260916, 250
@@ -73,21 +75,18 @@ def rank_intervals(damages: DataFrame, keys: Sequence[str], layer: str, value: s
 
 
 def ols_by_draw(points: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Residuals of y on x within each draw and keys, from centred sums: the group's means, then its products."""
-    by = ["draw", *keys]
-    means = points.groupBy(*by).agg(F.avg(x).alias("_mx"), F.avg(y).alias("_my"))
-    centred = points.join(means, by).withColumn("_dx", F.col(x) - F.col("_mx")).withColumn("_dy", F.col(y) - F.col("_my"))
-    slopes = centred.groupBy(*by).agg(F.try_divide(F.sum(F.col("_dx") * F.col("_dy")), F.sum(F.col("_dx") * F.col("_dx"))).alias("slope"))
-    return centred.join(slopes, by).withColumn("residual", F.col("_dy") - F.col("slope") * F.col("_dx")).drop("_mx", "_my", "_dx", "_dy")
+    """Residuals of y on x within each draw and keys, from centred sums, in one shuffle."""
+    return ols_points(points, ["draw", *keys], x, y).drop("fitted", "leverage", "loo_residual")
 
 
 def simultaneous_band(boot: DataFrame, point: DataFrame, cells: Sequence[str], value: str, level: float = 0.95) -> DataFrame:
     """By cell: the point, its bootstrap standard error, and a band that holds for all cells at once.
 
     The critical number is the level's quantile, over draws, of the largest standardised deviation of any cell.  Cells
-    whose standard error is not above 1e-12 have none and take no part; see flat_cells().
+    whose standard error is not above 1e-12 have none and take no part; see flat_cells().  The draws are read twice and
+    so checkpointed first.
     """
-    cells = list(cells)
+    cells, boot = list(cells), checkpointed(boot.select("draw", *cells, value))
     se = boot.groupBy(*cells).agg(F.stddev_samp(value).alias("se"))
     known = point.select(*cells, F.col(value).alias("point")).join(se, cells)
     deviations = boot.join(known.filter("se > 1e-12"), cells).groupBy("draw").agg(F.max(F.abs((F.col(value) - F.col("point")) / F.col("se"))).alias("d"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ablatrix.checkpoints import checkpointed
 from ablatrix.functions.expressions import material
 from ablatrix.functions.scoring import exact_prefix, json_keys_in_order, tagged_calls, text_match
 from ablatrix.operators import aggregate, compare, decide, estimate, rank, resample, sets, trace, verify
@@ -36,9 +37,14 @@ def _aggregates(spark: SparkSession, sf: str, split: str, semantics: str = "2")
     return aggregate.condition_aggregate(*_scores(spark, sf, split), semantics, ["cond"])
 
 
-def _matrix(spark: SparkSession, sf: str, split: str, prefix: str = "scan.") -> DataFrame:
-    found = _aggregates(spark, sf, split)
-    reference = compare.baseline_reference(found).join(compare.united_records(_scores(spark, sf, split)[1]), "metric")
+def _campaign(spark: SparkSession, sf: str, split: str) -> tuple[DataFrame, DataFrame]:
+    """Aggregates by condition and the baseline reference: a row a metric, read often from here on, so checkpointed."""
+    found = checkpointed(_aggregates(spark, sf, split))
+    return found, checkpointed(compare.baseline_reference(found).join(compare.united_records(_scores(spark, sf, split)[1]), "metric"))
+
+
+def _matrix(spark: SparkSession, campaign: tuple[DataFrame, DataFrame], prefix: str = "scan.") -> DataFrame:
+    found, reference = campaign
     conditions = found.filter(F.col("cond").startswith(prefix)).drop("unique_record_count", "unique_group_count")
     conditions = conditions.withColumn("component_id", F.substring("cond", len(prefix) + 1, 100)).drop("cond")
     return compare.damage_matrix(reference, conditions, metric_dim(spark))
@@ -104,37 +110,41 @@ def baseline_reference_drift(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def damage_matrix(spark: SparkSession, sf: str) -> DataFrame:
-    out = _matrix(spark, sf, "discovery").select("component_id", "metric", "role", "baseline", "condition", "absolute_damage", "relative_damage")
+    out = _matrix(spark, _campaign(spark, sf, "discovery")).select("component_id", "metric", "role", "baseline", "condition", "absolute_damage", "relative_damage")
     return rounded(out, "baseline", "condition", "absolute_damage", "relative_damage")
 
 
-def _matched(spark: SparkSession, sf: str) -> DataFrame:
-    scan, random = _matrix(spark, sf, "discovery"), _matrix(spark, sf, "discovery", "control.random.")
-    return compare.matched_controls(scan, random, metric_dim(spark), RULE["minimum_drift_margin"])
+def _matched(spark: SparkSession, found: tuple[DataFrame, DataFrame]) -> DataFrame:
+    return compare.matched_controls(_matrix(spark, found), _matrix(spark, found, "control.random."), metric_dim(spark), RULE["minimum_drift_margin"])
 
 
 def matched_control_check(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_matched(spark, sf), "scan_damage", "random_damage")
+    return rounded(_matched(spark, _campaign(spark, sf, "discovery")), "scan_damage", "random_damage")
 
 
 def control_drift_stops(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(compare.drift_stops(compare.baseline_reference(_aggregates(spark, sf, "discovery")), RULE["minimum_drift_margin"]), "drift")
 
 
+def _ranking(spark: SparkSession, sf: str) -> DataFrame:
+    found = _campaign(spark, sf, "discovery")
+    return decide.candidate_ranking(_matrix(spark, found), metric_dim(spark), _matched(spark, found))
+
+
 def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
-    out = decide.candidate_ranking(_matrix(spark, sf, "discovery"), metric_dim(spark), _matched(spark, sf))
-    return out.withColumn("reasons", F.array_join("reasons", ","))
+    return _ranking(spark, sf).withColumn("reasons", F.array_join("reasons", ","))
 
 
 def validation_outcome(spark: SparkSession, sf: str) -> DataFrame:
-    matrix = _matrix(spark, sf, "validation")
-    candidates = _matrix(spark, sf, "discovery").select("component_id").union(spark.createDataFrame([("block.z",)], "component_id string"))
+    """Every scanned component and one that never ran; the partition lacks one of them."""
+    matrix = _matrix(spark, _campaign(spark, sf, "validation"))
+    candidates = _matrix(spark, _campaign(spark, sf, "discovery")).select("component_id").union(spark.createDataFrame([("block.z",)], "component_id string"))
     out = decide.validation_outcome(candidates, matrix.filter("component_id <> 'block.b'"), metric_dim(spark))
     return out.withColumn("reasons", F.array_join("reasons", ","))
 
 
 def decision_counters(spark: SparkSession, sf: str) -> DataFrame:
-    ranked = decide.candidate_ranking(_matrix(spark, sf, "discovery"), metric_dim(spark), _matched(spark, sf))
+    ranked = _ranking(spark, sf)
     outcome = F.when(F.col("eligible"), "accepted").otherwise("rejected")
     told = F.when(F.size("reasons") == 0, F.array(F.lit("observed_sensitivity_within_limits"))).otherwise(F.col("reasons"))
     return aggregate.decision_counts(ranked.select("component_id", F.lit("classify_candidate").alias("operation"), outcome.alias("outcome"), F.explode(told).alias("reason")))
@@ -220,8 +230,7 @@ def _proxies(by_layer: DataFrame) -> DataFrame:
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
     """model, target, layer, spec, x, y (damage), base, best."""
-    ratio = _documents(spark, sf).groupBy("model", "layer").agg((F.avg("ppl") / F.avg("base_ppl")).alias("ratio"))
-    return _damages(_items(spark, sf)).withColumnRenamed("damage", "y").join(_proxies(ratio), ["model", "layer"])
+    return _grid_points(_items(spark, sf), _documents(spark, sf))
 
 
 FIT = ["model", "target", "spec"]
@@ -292,7 +301,7 @@ def fit_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def isotonic_fit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _points(spark, sf).filter("spec = 'log'")
+    rows = checkpointed(_points(spark, sf).filter("spec = 'log'"))
     return rounded(estimate.isotonic(rows, ["model", "target"]).select(*GRID, "fitted", "isotonic_residual"), "fitted", "isotonic_residual")
 
 
@@ -323,35 +332,45 @@ def material_sets_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 # resampling, with draws that SQL can repeat
 
 
-def _drawn_damages(spark: SparkSession, sf: str) -> DataFrame:
+def _drawn_damages(spark: SparkSession, items: DataFrame) -> DataFrame:
     draws = resample.congruential(spark, DRAWS, ITEMS, ITEMS)
-    return resample.resampled_mean(_items(spark, sf), draws, GRID, "item", "paired_damage").withColumnRenamed("paired_damage", "damage")
+    return resample.resampled_mean(items, draws, GRID, "item", "paired_damage").withColumnRenamed("paired_damage", "damage")
 
 
 def bootstrap_damage_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.interval(_drawn_damages(spark, sf), GRID, "damage"), "median", "low", "high")
+    return rounded(resample.interval(_drawn_damages(spark, _items(spark, sf)), GRID, "damage"), "median", "low", "high")
 
 
 def bootstrap_rank_ci(spark: SparkSession, sf: str) -> DataFrame:
-    out = resample.rank_intervals(rounded(_drawn_damages(spark, sf), "damage"), ["model", "target"], "layer", "damage")
+    drawn = checkpointed(rounded(_drawn_damages(spark, _items(spark, sf)), "damage"))
+    out = resample.rank_intervals(drawn, ["model", "target"], "layer", "damage")
     return rounded(out, "median", "low", "high", "top_fraction")
 
 
-def _drawn_points(spark: SparkSession, sf: str) -> DataFrame:
+def _grid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Items and documents, both reduced to the grid's cells, for queries that resample them and fit them too."""
+    return checkpointed(_items(spark, sf)), checkpointed(_documents(spark, sf))
+
+
+def _grid_points(items: DataFrame, documents: DataFrame) -> DataFrame:
+    ratio = documents.groupBy("model", "layer").agg((F.avg("ppl") / F.avg("base_ppl")).alias("ratio"))
+    return _damages(items).withColumnRenamed("damage", "y").join(_proxies(ratio), ["model", "layer"])
+
+
+def _drawn_points(spark: SparkSession, items: DataFrame, documents: DataFrame) -> DataFrame:
     docs = resample.congruential(spark, DRAWS, DOCS, DOCS, shift=7)
-    met = _documents(spark, sf).join(docs.withColumnRenamed("item", "doc"), "doc")
+    met = documents.join(docs.withColumnRenamed("item", "doc"), "doc")
     ratio = met.groupBy("draw", "model", "layer").agg((F.sum(F.col("ppl") * F.col("times")) / F.sum(F.col("base_ppl") * F.col("times"))).alias("ratio"))
-    return _drawn_damages(spark, sf).withColumnRenamed("damage", "y").join(_proxies(ratio), ["draw", "model", "layer"])
+    return _drawn_damages(spark, items).withColumnRenamed("damage", "y").join(_proxies(ratio), ["draw", "model", "layer"])
 
 
-def _band(spark: SparkSession, sf: str) -> DataFrame:
-    boot = resample.ols_by_draw(_drawn_points(spark, sf), FIT, "x", "y")
-    point = estimate.ols_points(_points(spark, sf), FIT)
-    return resample.simultaneous_band(boot, point, [*FIT, "layer"], "residual")
+def _band(spark: SparkSession, items: DataFrame, documents: DataFrame) -> DataFrame:
+    boot = resample.ols_by_draw(_drawn_points(spark, items, documents), FIT, "x", "y")
+    return resample.simultaneous_band(boot, estimate.ols_points(_grid_points(items, documents), FIT), [*FIT, "layer"], "residual")
 
 
 def simultaneous_band(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_band(spark, sf), "point", "se", "critical", "low", "high")
+    return rounded(_band(spark, *_grid(spark, sf)), "point", "se", "critical", "low", "high")
 
 
 def split_half_rho(spark: SparkSession, sf: str) -> DataFrame:
@@ -359,7 +378,7 @@ def split_half_rho(spark: SparkSession, sf: str) -> DataFrame:
     grid = spark.range(DRAWS * ITEMS).select((F.col("id") / ITEMS).cast("long").alias("draw"), (F.col("id") % ITEMS).alias("item"))
     number = (F.lit(1103515245).cast("long") * (F.col("draw") * 31 + F.col("item")) + 12345) % 2147483648
     orders = rank.average_rank(grid.withColumn("number", number), ["draw"], "number", "place").select("draw", "item", (F.col("place") - 1).cast("long").alias("place"))
-    halves = resample.split_half(_items(spark, sf), orders, ["model", "target"], "item", "layer", "paired_damage", F.lit(ITEMS))
+    halves = resample.split_half(checkpointed(_items(spark, sf)), orders, ["model", "target"], "item", "layer", "paired_damage", F.lit(ITEMS))
     rho = estimate.spearman(rounded(halves, "left", "right"), ["draw", "model", "target"], "left", "right")
     return rounded(resample.interval(rho, ["model", "target"], "rho"), "median", "low", "high")
 
@@ -367,9 +386,11 @@ def split_half_rho(spark: SparkSession, sf: str) -> DataFrame:
 def robust_selection(spark: SparkSession, sf: str) -> DataFrame:
     """Blocks that stay material under both proxies, without themselves, and monotonically, for each of the targets."""
     least = -0.2
-    bands = _band(spark, sf).groupBy(*GRID).agg(F.min("low").alias("low"))
-    points = estimate.ols_points(_points(spark, sf), FIT).groupBy(*GRID).agg(F.min("loo_residual").alias("loo"))
-    shape = estimate.isotonic(_points(spark, sf).filter("spec = 'log'"), ["model", "target"]).select(*GRID, "isotonic_residual")
+    grid = _grid(spark, sf)
+    fits = checkpointed(_grid_points(*grid))
+    bands = _band(spark, *grid).groupBy(*GRID).agg(F.min("low").alias("low"))
+    points = estimate.ols_points(fits, FIT).groupBy(*GRID).agg(F.min("loo_residual").alias("loo"))
+    shape = estimate.isotonic(fits.filter("spec = 'log'"), ["model", "target"]).select(*GRID, "isotonic_residual")
     chosen = bands.join(points, GRID).join(shape, GRID).filter((F.col("low") > least) & (F.col("loo") >= least / 4) & (F.col("isotonic_residual") >= least / 4))
     return sets.in_all(chosen, ["model", "layer"], "target", len(views.TARGETS))
 
