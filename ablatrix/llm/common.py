@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ablatrix.checkpoints import checkpointed
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space as the contracts have it: space and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "checkpointed", "components", "look_up", "ship", "table"]
+
 _shipped: set[str] = set()
 
 
@@ -40,21 +43,6 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the cluster names in spark.checkpoint.dir.
-
-    Where that is unset, a local session gets a folder of its own; a cluster has to name a shared one.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or f"{tempfile.gettempdir()}/checkpoints/{uuid.uuid4().hex}")
-    return df.checkpoint(eager=True)
-
-
 #: At most so many keys can each hold rows / HOT_SLOTS rows or more; that bounds what look_up broadcasts.
 HOT_SLOTS = 10_000
 
