@@ -21,24 +21,33 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z and ASCII white space only
 
 
+def _word_hashes(tokens: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
+
+    known = {w: xxh64_intdigest(w) for w in set(tokens)}
+    return np.array([known[w] for w in tokens], dtype=np.uint64)
+
+
+def _rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width values."""
+    h = np.zeros(len(values) - width + 1, dtype=np.uint64)
+    for j in range(width):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + values[j : j + len(h)]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def minimisers(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes): in each window of k-grams the one of the smallest hash, the first where several are.
 
     Where one hash repeats inside a window's length (a passage that repeats itself), only as many of its positions stay
     as leave each window one.
     """
-    from xxhash import xxh64_intdigest
-
     if len(tokens) < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    known = {w: xxh64_intdigest(w) for w in set(tokens)}
-    values = np.array([known[w] for w in tokens], dtype=np.uint64)
-    h = np.zeros(len(tokens) - GRAM + 1, dtype=np.uint64)
-    for j in range(GRAM):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + values[j : j + len(h)]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    h = _rolled(_word_hashes(tokens), GRAM)
     best = np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1))
     same = h[best][1:] == h[best][:-1]
     if same.any():
@@ -106,9 +115,16 @@ def _common(a: bytes, b: bytes) -> int:
     return n
 
 
-def _extend(a: tuple, b: tuple) -> list[tuple[bytes, int, int]]:
-    """The span of the match in either text, extended right and left, if it has LEAST words."""
+def _extend(a: tuple, b: tuple, most: dict | None = None) -> list[tuple[bytes, int, int]]:
+    """The span of the match in either text, extended right and left, if it has LEAST words.
+
+    ``most`` notes, by either suffix, the most words shared in the order of the sort, and in both directions together.
+    """
     right, left = _common(a[2], b[2]), _common(a[3], b[3])
+    if most is not None:
+        for x in (a, b):
+            far, both = most.get((x[4], x[5]), (0, 0))
+            most[x[4], x[5]] = (max(far, right), max(both, left + right))
     if a[1]:
         right, left = left, right
     if right < GRAM or left + right < LEAST:
@@ -117,7 +133,11 @@ def _extend(a: tuple, b: tuple) -> list[tuple[bytes, int, int]]:
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare neighbours of different texts in a sorted partition; give its first and last suffix too, for the seams."""
+    """Compare neighbours of different texts in a sorted partition; give its first and last suffix too, for the seams.
+
+    Where a k-gram has three suffixes or more, also what each shares with its neighbours at most (place 2, the number of
+    words in the sort's direction as start, in both directions as end).
+    """
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId()
@@ -125,27 +145,43 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before: tuple | None = None  # the last one of another text before them
     first: tuple | None = None
     last: tuple | None = None
+    most: dict[tuple[bytes, int], tuple[int, int]] = {}
+    size, run = 0, None  # suffixes of the k-gram and direction that are being read
+
+    def shares() -> list[tuple]:
+        rows = [(d, far, both, part, 2, *run, None, None, pos) for (d, pos), (far, both) in most.items()] if size > 2 else []
+        most.clear()
+        return rows
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, _FOUND_ARROW)], [f.split()[0] for f in _FOUND.split(", ")])
 
     for batch in batches:
         spans: set[tuple[bytes, int, int]] = set()
+        shared: list[tuple] = []
         for row in zip(*(batch.column(c).to_pylist() for c in ("h", "backward", "ahead", "behind", "digest", "pos"))):
             first, last = first or row, row
+            if row[:2] != run:
+                shared += shares()
+                run, size = row[:2], 0
+            size += 1
             if block and row[:2] != block[-1][:2]:
                 block, before = [], None
             if block and row[4] != block[-1][4]:
                 for other in block:
-                    spans.update(_extend(other, row))
+                    spans.update(_extend(other, row, most))
                 before, block = block[-1], [row]
             else:
                 if before is not None:
-                    spans.update(_extend(before, row))
+                    spans.update(_extend(before, row, most))
                 block.append(row)
-        if spans:
-            yield batch_of([(*s, part, None, None, None, None, None, None) for s in spans])
+        if size > 2:
+            shared += shares()
+        if spans or shared:
+            yield batch_of([*((*s, part, None, None, None, None, None, None) for s in spans), *shared])
     if first is not None:
+        if rest := shares():
+            yield batch_of(rest)
         yield batch_of([(r[4], None, None, part, place, r[0], r[1], r[2], r[3], r[5]) for place, r in ((0, first), (1, last))])
 
 
@@ -160,6 +196,38 @@ def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], t) for i, t in enumerate(_FOUND_ARROW[:3])], ["digest", "start", "end"])
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(digest, start, h, w): every window of LEAST words that covers a marked k-gram, w the hash of its words."""
+    names, types = ("digest", "start", "h", "w"), (pa.binary(), pa.int64(), pa.int64(), pa.int64())
+    for batch in batches:
+        for digest, text, marks in zip(*(batch.column(c).to_pylist() for c in ("digest", "body", "marks"))):
+            tokens = words(text)
+            w = _rolled(_word_hashes(tokens), LEAST).view(np.int64)
+            at = np.array([m["pos"] for m in marks])[:, None] - np.arange(WINDOW)
+            h = np.broadcast_to(np.array([m["h"] for m in marks], dtype=np.int64)[:, None], at.shape)
+            fits = (at >= 0) & (at < len(w))
+            found = np.unique(np.stack([at[fits], h[fits]]), axis=1)
+            for a in range(0, found.shape[1], 20_000):
+                start, key = found[:, a : a + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([digest] * len(start), start, key, w[start]), types)], names)
+
+
+def _repeated_windows(held: DataFrame, hard: DataFrame) -> DataFrame:
+    """(digest, start, end) of the windows around k-grams of ``hard`` that stand in two texts."""
+    places = held.select("digest", F.explode("marks").alias("mark")).select("digest", "mark.pos", "mark.h")
+    sizes = checkpointed(places.groupBy("h").agg(F.count("*").alias("n")).join(hard, "h"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chosen = look_up(places, sizes, "h", "n", total, F.col("digest")).filter("n IS NOT NULL")
+    chosen = chosen.groupBy("digest").agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
+    windows = held.select("digest", "body").join(chosen, "digest").mapInArrow(_windows, "digest binary, start long, h long, w long")
+    windows = windows.select("digest", "start", F.concat_ws("/", "h", "w").alias("window"))
+    twice = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    twice = checkpointed(twice.filter("low < high").select("window", "n"))
+    total = twice.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = look_up(windows, twice, "window", "n", total, F.col("digest")).filter("n IS NOT NULL")
+    return found.select("digest", "start", (F.col("start") + LEAST).alias("end"))
+
+
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Passages of LEAST words or more that stand in two different texts, or in two rows of one text.
 
@@ -168,7 +236,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     3. A global sort by k-gram and words ahead, and one by k-gram and words behind, puts like suffixes next to each
        other; it is ranged by the whole key, so a k-gram however common is spread over tasks.  Neighbours of different
        texts are compared word by word and their match extended right and left, across task borders too.
-    4. The matches of a text are joined to maximal spans.  A text of LEAST words or more that several rows hold is one
+    4. Neighbours in one sort share most words ahead, in the other most words behind; a third text may share more of both
+       together.  k-grams are therefore taken again where the two sorts leave that open at one of their suffixes, or where
+       they cross a task border: all windows of LEAST words around them are keyed by a hash, and those that two texts hold
+       are matches.
+    5. The matches of a text are joined to maximal spans.  A text of LEAST words or more that several rows hold is one
        span from end to end.
 
     Returns id, n_words, start_word, end_word (exclusive), one row a span, none for a document without repeats.  Words
@@ -183,15 +255,23 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     shared = retained.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low < high").select("h")
     marks = retained.join(shared, "h").groupBy("digest").agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
     texts = source.groupBy("digest").agg(F.first("body").alias("body"))
-    suffixes = texts.join(marks, "digest").mapInArrow(_suffixes, "h long, backward boolean, ahead binary, behind binary, digest binary, pos long")
+    held = checkpointed(texts.join(marks, "digest").select("digest", "body", "marks"))
+    suffixes = held.mapInArrow(_suffixes, "h long, backward boolean, ahead binary, behind binary, digest binary, pos long")
     order = ["h", "backward", "ahead", "behind", "digest", "pos"]
     found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND)
     found = checkpointed(found.select(*(c.split()[0] for c in _FOUND.split(", "))))
-    ends = found.filter("place IS NOT NULL").select("part", "place", F.struct(*order).alias("b"))
+    ends = found.filter("place < 2").select("part", "place", F.struct(*order).alias("b"))
     by_part = Window.orderBy("part", "place")
     seams = ends.withColumn("a", F.lag("b").over(by_part)).withColumn("from", F.lag("part").over(by_part)).filter("from < part")
+    shares = found.filter("place = 2").groupBy("h", "digest", "pos").agg(
+        F.coalesce(F.max(F.when(~F.col("backward"), F.col("start"))), F.lit(0)).alias("right"),
+        F.coalesce(F.max(F.when(F.col("backward"), F.col("start"))), F.lit(0)).alias("left"),
+        F.max("end").alias("both"),
+    )
+    hard = shares.filter((F.col("left") + F.col("right") >= LEAST) & (F.col("both") < F.col("left") + F.col("right"))).select("h")
+    hard = hard.unionByName(seams.filter("a.h = b.h").select("a.h")).distinct()
     across = seams.select("a", "b").mapInArrow(_seams, "digest binary, start long, end long")
-    spans = found.filter("place IS NULL").select("digest", "start", "end").unionByName(across).distinct()
+    spans = found.filter("place IS NULL").select("digest", "start", "end").unionByName(across).unionByName(_repeated_windows(held, hard)).distinct()
     by_start = Window.partitionBy("digest").orderBy("start", "end")
     joined = (
         spans.withColumn("reach", F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))

@@ -443,6 +443,19 @@ def test_repeats_are_those_of_all_windows(spark):
     check_repeats(spark, rows)
 
 
+@pytest.mark.parametrize("parts", [1, 5])
+def test_repeats_of_mixed_stretches(spark, parts):
+    """Texts that share more words ahead, and others that share more behind, stand between true partners."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    passage, rows = [word() for _ in range(120)], []
+    for k in range(500):
+        n = rng.randint(13, 60)
+        at = rng.randint(0, 120 - n)
+        rows.append((k, " ".join([*(word() for _ in range(20)), *passage[at : at + n], *(word() for _ in range(20))])))
+    check_repeats(spark, rows, parts)
+
+
 def test_repeats_edges(spark, nothing):
     copy = " ".join(f"w{i}" for i in range(60))
     docs = docs_of(spark, [(1, copy), (None, copy), (1, copy), (2, copy + " x"), (3, "short"), (4, "short")])
