@@ -96,15 +96,34 @@ class Pieces:
                 share = np.exp(alpha[i, rows] + through - alpha[-1, rows])
                 into += np.bincount(piece, weights=share * counts[rows], minlength=len(into))
 
+    def _into(self, word: bytes) -> Iterator[list[tuple[int, int]]]:
+        """For each end in one word, the (start, piece) of the pieces that end there."""
+        for j in range(1, len(word) + 1):
+            yield [(i, n) for i in range(max(0, j - self.longest), j) if (n := self.number.get(word[i:j])) is not None]
+
     def alone(self, word: bytes) -> float:
         """The log probability of one long word, all segmentations summed in log space."""
         alpha = [0.0]
-        for j in range(1, len(word) + 1):
-            terms = [alpha[i] + self.weights[n] for i in range(max(0, j - self.longest), j) if (n := self.number.get(word[i:j])) is not None]
-            top = max(terms)
-            alpha.append(top + math.log(sum(math.exp(t - top) for t in terms)))
+        for ending in self._into(word):
+            alpha.append(_log_sum([alpha[i] + self.weights[n] for i, n in ending]))
         return alpha[-1]
 
+    def expected_alone(self, word: bytes, count: float, into: np.ndarray) -> None:
+        """expected() of one long word."""
+        ends, alpha = list(self._into(word)), [0.0]
+        for ending in ends:
+            alpha.append(_log_sum([alpha[i] + self.weights[n] for i, n in ending]))
+        onward: list[list[float]] = [[] for _ in alpha]
+        onward[-1].append(0.0)
+        for j in range(len(word), 0, -1):
+            if not onward[j]:
+                continue  # no piece leads from here to the word's end
+            beta = _log_sum(onward[j])
+            for i, n in ends[j - 1]:
+                through = self.weights[n] + beta
+                onward[i].append(through)
+                into[n] += math.exp(alpha[i] + through - alpha[-1]) * count
+
     def log10(self, words: list[bytes]) -> np.ndarray:
         """log10 of each word's probability, summed over all its segmentations."""
         out = np.empty(len(words))
@@ -116,6 +135,11 @@ class Pieces:
         return out / math.log(10)
 
 
+def _log_sum(terms: list[float]) -> float:
+    top = max(terms)
+    return top + math.log(sum(math.exp(t - top) for t in terms))
+
+
 def _by_length(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     lengths = np.array([len(w) for w in words])
     for n in np.unique(lengths).tolist():
@@ -178,7 +202,10 @@ def _expect(shared):
         for batch in batches:
             words, counts = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False)
             for rows, data in _by_length(words):
-                if data is not None:
+                if data is None:
+                    for r in rows.tolist():
+                        pieces.expected_alone(b" " + words[r], counts[r], into)
+                else:
                     pieces.expected(data, counts[rows], into)
         some = np.flatnonzero(into)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(into[some])], ["piece", "n"])

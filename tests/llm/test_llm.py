@@ -390,6 +390,39 @@ def test_lattice_edges(spark, edges, nothing):
     assert lattice.lattice_scores(nothing, F.lit(True)).count() == 0
 
 
+def test_long_training_words_are_learned_from(spark):
+    """Weights after the counting pass against brute force, with a training word of 60 bytes and more."""
+    long = "abcdefghij" * 7
+    docs = docs_of(spark, [(1, long), (2, "the cat"), (3, long[:63] + " cat")])
+    got = {r.doc_id: r.score for r in lattice.lattice_scores(docs, F.lit(True)).collect()}
+    start = lattice.load_pieces()
+    uses = np.zeros(len(start.names))
+    for w, n in ((long, 1), (long[:63], 1), ("the", 1), ("cat", 2)):
+        start.expected(np.frombuffer(b" " + w.encode(), np.uint8)[None], np.array([float(n)]), uses)
+    share = lattice.PRIOR_SHARE
+    weights = (1 - share) * uses / (uses.sum() + 3) + share * np.exp(start.weights)
+    end = math.log10((1 - share) * 3 / (uses.sum() + 3) + share * math.exp(start.end))
+    model = lattice.Pieces(start.names, np.log(weights), 0.0)
+    for i, ws in ((1, [long]), (2, ["the", "cat"]), (3, [long[:63], "cat"])):
+        assert math.isclose(got[i], model.log10([w.encode() for w in ws]).sum() + end, rel_tol=1e-9)
+
+
+def test_expected_pieces_of_a_long_word():
+    pieces = lattice.Pieces([b" ", b" a", b"a", b"b", b"ab", b" ab", b"c"], np.log([0.1, 0.2, 0.1, 0.1, 0.2, 0.1, 0.1]), math.log(0.1))
+
+    def enumerate_all(s):
+        return [[]] if not s else [[n, *rest] for n in range(7) if s.startswith(pieces.names[n]) for rest in enumerate_all(s[len(pieces.names[n]) :])]
+
+    for word in (b" abab" + b"c" * 60, b" " + b"ab" * 5 + b"c" * 50):
+        ways = enumerate_all(word)
+        chance = np.array([math.exp(pieces.weights[w].sum()) for w in ways])
+        wanted, got = np.zeros(7), np.zeros(7)
+        for way, p in zip(ways, chance / chance.sum()):
+            np.add.at(wanted, way, 3 * p)
+        pieces.expected_alone(word, 3.0, got)
+        assert np.allclose(got, wanted)
+
+
 # suffix arrays
 
 
