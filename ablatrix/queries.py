@@ -20,6 +20,8 @@ from ablatrix.sources.views import cells, metric_dim, obs, obs_scores, table
 from ablatrix.streaming.resume import retries
 
 DRAWS, ITEMS, DOCS = 200, 20, 5
+#: Draws of the reference's own bootstrap, which no SQL can repeat.
+PUBLISHED_DRAWS = 10_000
 GRID = ["model", "target", "layer"]
 
 
@@ -332,21 +334,33 @@ def material_sets_jaccard(spark: SparkSession, sf: str) -> DataFrame:
 # resampling, with draws that SQL can repeat
 
 
-def _drawn_damages(spark: SparkSession, items: DataFrame) -> DataFrame:
-    draws = resample.congruential(spark, DRAWS, ITEMS, ITEMS)
+def _sql_draws(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """Draws of items and of documents.  Their numbers cycle, so few draws differ and intervals are too narrow."""
+    return resample.congruential(spark, DRAWS, ITEMS, ITEMS), resample.congruential(spark, DRAWS, DOCS, DOCS, shift=7)
+
+
+def _drawn_damages(items: DataFrame, draws: DataFrame) -> DataFrame:
     return resample.resampled_mean(items, draws, GRID, "item", "paired_damage").withColumnRenamed("paired_damage", "damage")
 
 
-def bootstrap_damage_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(resample.interval(_drawn_damages(spark, _items(spark, sf)), GRID, "damage"), "median", "low", "high")
+def _damage_ci(items: DataFrame, draws: DataFrame) -> DataFrame:
+    return rounded(resample.interval(_drawn_damages(items, draws), GRID, "damage"), "median", "low", "high")
 
 
-def bootstrap_rank_ci(spark: SparkSession, sf: str) -> DataFrame:
-    drawn = checkpointed(rounded(_drawn_damages(spark, _items(spark, sf)), "damage"))
+def _rank_ci(items: DataFrame, draws: DataFrame) -> DataFrame:
+    drawn = checkpointed(rounded(_drawn_damages(items, draws), "damage"))
     out = resample.rank_intervals(drawn, ["model", "target"], "layer", "damage")
     return rounded(out, "median", "low", "high", "top_fraction")
 
 
+def bootstrap_damage_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return _damage_ci(_items(spark, sf), _sql_draws(spark)[0])
+
+
+def bootstrap_rank_ci(spark: SparkSession, sf: str) -> DataFrame:
+    return _rank_ci(_items(spark, sf), _sql_draws(spark)[0])
+
+
 def _grid(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Items and documents, both reduced to the grid's cells, for queries that resample them and fit them too."""
     return checkpointed(_items(spark, sf)), checkpointed(_documents(spark, sf))
@@ -357,20 +371,20 @@ def _grid_points(items: DataFrame, documents: DataFrame) -> DataFrame:
     return _damages(items).withColumnRenamed("damage", "y").join(_proxies(ratio), ["model", "layer"])
 
 
-def _drawn_points(spark: SparkSession, items: DataFrame, documents: DataFrame) -> DataFrame:
-    docs = resample.congruential(spark, DRAWS, DOCS, DOCS, shift=7)
+def _drawn_points(items: DataFrame, documents: DataFrame, draws: tuple[DataFrame, DataFrame]) -> DataFrame:
+    drawn, docs = draws
     met = documents.join(docs.withColumnRenamed("item", "doc"), "doc")
     ratio = met.groupBy("draw", "model", "layer").agg((F.sum(F.col("ppl") * F.col("times")) / F.sum(F.col("base_ppl") * F.col("times"))).alias("ratio"))
-    return _drawn_damages(spark, items).withColumnRenamed("damage", "y").join(_proxies(ratio), ["draw", "model", "layer"])
+    return _drawn_damages(items, drawn).withColumnRenamed("damage", "y").join(_proxies(ratio), ["draw", "model", "layer"])
 
 
-def _band(spark: SparkSession, items: DataFrame, documents: DataFrame) -> DataFrame:
-    boot = resample.ols_by_draw(_drawn_points(spark, items, documents), FIT, "x", "y")
+def _band(items: DataFrame, documents: DataFrame, draws: tuple[DataFrame, DataFrame]) -> DataFrame:
+    boot = resample.ols_by_draw(_drawn_points(items, documents, draws), FIT, "x", "y")
     return resample.simultaneous_band(boot, estimate.ols_points(_grid_points(items, documents), FIT), [*FIT, "layer"], "residual")
 
 
 def simultaneous_band(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(_band(spark, *_grid(spark, sf)), "point", "se", "critical", "low", "high")
+    return rounded(_band(*_grid(spark, sf), _sql_draws(spark)), "point", "se", "critical", "low", "high")
 
 
 def split_half_rho(spark: SparkSession, sf: str) -> DataFrame:
@@ -383,18 +397,40 @@ def split_half_rho(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(resample.interval(rho, ["model", "target"], "rho"), "median", "low", "high")
 
 
-def robust_selection(spark: SparkSession, sf: str) -> DataFrame:
+def _selection(grid: tuple[DataFrame, DataFrame], draws: tuple[DataFrame, DataFrame]) -> DataFrame:
     """Blocks that stay material under both proxies, without themselves, and monotonically, for each of the targets."""
     least = -0.2
-    grid = _grid(spark, sf)
     fits = checkpointed(_grid_points(*grid))
-    bands = _band(spark, *grid).groupBy(*GRID).agg(F.min("low").alias("low"))
+    bands = _band(*grid, draws).groupBy(*GRID).agg(F.min("low").alias("low"))
     points = estimate.ols_points(fits, FIT).groupBy(*GRID).agg(F.min("loo_residual").alias("loo"))
     shape = estimate.isotonic(fits.filter("spec = 'log'"), ["model", "target"]).select(*GRID, "isotonic_residual")
     chosen = bands.join(points, GRID).join(shape, GRID).filter((F.col("low") > least) & (F.col("loo") >= least / 4) & (F.col("isotonic_residual") >= least / 4))
     return sets.in_all(chosen, ["model", "layer"], "target", len(views.TARGETS))
 
 
+def robust_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return _selection(_grid(spark, sf), _sql_draws(spark))
+
+
+# the same with the reference's draws
+
+
+def published_damage_ci(spark: SparkSession, sf: str, draws: int = PUBLISHED_DRAWS) -> DataFrame:
+    return _damage_ci(_items(spark, sf), resample.published_bootstrap(spark, draws)[0])
+
+
+def published_rank_ci(spark: SparkSession, sf: str, draws: int = PUBLISHED_DRAWS) -> DataFrame:
+    return _rank_ci(_items(spark, sf), resample.published_bootstrap(spark, draws)[0])
+
+
+def published_band(spark: SparkSession, sf: str, draws: int = PUBLISHED_DRAWS) -> DataFrame:
+    return rounded(_band(*_grid(spark, sf), resample.published_bootstrap(spark, draws)), "point", "se", "critical", "low", "high")
+
+
+def published_selection(spark: SparkSession, sf: str, draws: int = PUBLISHED_DRAWS) -> DataFrame:
+    return _selection(_grid(spark, sf), resample.published_bootstrap(spark, draws))
+
+
 def cluster_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
     draws = resample.congruential(spark, 20, 50, 50).withColumnRenamed("item", "group_id")
     rows = aggregate.complete(_scores(spark, sf, "discovery")[1]).filter("cond = 'baseline.beginning'").join(draws, "group_id")
@@ -530,3 +566,6 @@ QUERIES = {
         resume_pending_tasks, latest_attempt, retry_accounting, trace_parent_graph, trace_graph_violations, event_counter_equality, record_span_coverage, hook_balance,
     )
 }
+
+#: Without SQL: the draws come from NumPy's generator.
+PUBLISHED = {f.__name__: f for f in (published_damage_ci, published_rank_ci, published_band, published_selection)}

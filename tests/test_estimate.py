@@ -94,6 +94,27 @@ def test_published_streams_are_the_libraries_own(spark):
     assert sum(r.times for r in docs.filter("draw = 3").collect()) == 5 and {r.item for r in docs.filter("draw = 3").collect()} == set(second[3].tolist())
 
 
+def test_published_damage_interval_is_that_of_numpys_draws(spark):
+    from ablatrix import queries
+
+    data, draws = "/root/testdata/sf0.01", 500
+    assert queries.PUBLISHED_DRAWS == 10_000
+    rng, picks = np.random.default_rng(resample.PUBLISHED_SEED), []
+    for _ in range(draws // 250):
+        picks.append(rng.integers(0, 20, (250, 20)))
+        rng.integers(0, 5, (250, 5))
+    picks = np.concatenate(picks)
+    values = {}
+    for r in queries._items(spark, data).collect():
+        values.setdefault((r.model, r.target, r.layer), {})[r.item] = r.paired_damage
+    found = queries.published_damage_ci(spark, data, draws).collect()
+    assert len(found) == len(values)
+    for r in found:
+        cell = values[r.model, r.target, r.layer]
+        means = np.array([cell[i] for i in range(20)])[picks].mean(axis=1)
+        assert np.allclose([r.median, r.low, r.high], np.quantile(means, [0.5, 0.025, 0.975]), atol=1e-6)
+
+
 def test_cluster_draws_and_split_half(spark):
     picked, orders = resample.published_clusters(spark, 3, range(5))
     assert {r.draw: r.n for r in picked.groupBy("draw").agg({"times": "sum"}).toDF("draw", "n").collect()} == {0: 5, 1: 5, 2: 5}
