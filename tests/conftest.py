@@ -2,6 +2,7 @@ import os
 import sys
 from pathlib import Path
 
+import pandas as pd
 import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -37,7 +38,7 @@ def comparable(df):
     """Rows as sorted tuples of text, numbers to six decimals."""
 
     def show(v):
-        if v is None or v != v:
+        if pd.isna(v):
             return ""
         return f"{v + 0.0:.6f}".replace("-0.000000", "0.000000") if isinstance(v, float) else str(v)
 
