@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: White space as the contracts have it: space and U+0009 to U+000D.
 BLANKS = "[\\x20\\x09-\\x0D]+"
 
-__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "checkpointed", "components", "look_up", "ship", "table"]
+__all__ = ["BLANKS", "LOWER", "UPPER", "ascii_lower", "checkpointed", "components", "look_up", "parts", "ship", "table"]
 
 _shipped: set[str] = set()
 
@@ -43,6 +45,16 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+#: Texts of a batch that become Python objects at a time.
+TEXTS = 512
+
+
+def parts(column: pa.Array) -> Iterator[list]:
+    """A column's values as Python objects, TEXTS at a time: a task never holds a whole batch of texts twice."""
+    for at in range(0, len(column), TEXTS):
+        yield column.slice(at, TEXTS).to_pylist()
+
+
 #: At most so many keys can each hold rows / HOT_SLOTS rows or more; that bounds what look_up broadcasts.
 HOT_SLOTS = 10_000
 

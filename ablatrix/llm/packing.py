@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,13 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import checkpointed, ship, table
+from ablatrix.llm.common import checkpointed, parts, ship, table
 
 CAPACITY = 2048
 #: A bin that lacks at most so many tokens is nearly full and leaves at once.
 NEARLY = 8
-#: Groups of bins merged into one in each round, and bins that a group hands on at most.
-FAN, CARRIED = 16, 1024
+#: Groups of bins merged into one in each round, and rounds that suffice for any number of partitions: 16 ** 8 > 2 ** 31.
+FAN, ROUNDS = 16, 8
 
 PIECES = "doc_id {id}, piece int, start long, length long, ids_crc32 long, bin string, bin_offset long, bin_fill long, grp long"
 
@@ -40,18 +41,24 @@ def best_fit(sizes: list[int], capacity: int) -> list[tuple[int, int]]:
     return place
 
 
-def carried(fills: list[tuple[int, str]], capacity: int, nearly: int) -> set[str]:
-    """The bins that go on to the next round: the emptiest of those that aren't nearly full, CARRIED at most.
+def carried(fills: list[tuple[int, str]], capacity: int, nearly: int, each: int) -> set[str]:
+    """The bins that go on to the next round: of those that aren't nearly full, ``each`` of every fill at most.
 
-    Best fit leaves at most one bin of half the capacity or less in a group, and whatever merges later takes one of
-    those.  A round brings FAN groups together and so as many of them; the CARRIED emptiest bins of each group are more
-    than they can fill.  The others are sequences as they are.  So a round's group has FAN * CARRIED bins at most,
-    whatever the sizes of the items.
+    Bins of one fill are alike, and no more than ``each`` of them can be of use.  Best fit leaves no two bins in a group
+    that fit together, so one of half the capacity or less at most; two bins merge only if one of them is such a bin.
+    A round brings fan groups and so fan such bins together, each of which goes into one bin: in that round a group
+    loses fan of its bins of one fill at most, in all rounds to come fan times their number.  With ``each`` that number
+    the packing is the one that handing on every bin gives, and a group has capacity / 2 * each * fan bins at most.
     """
-    return {name for _, name in sorted((fill, name) for fill, name in fills if capacity - fill > nearly)[:CARRIED]}
+    found, taken = set(), Counter()
+    for fill, name in sorted(fills):
+        if capacity - fill > nearly and taken[fill] < each:
+            taken[fill] += 1
+            found.add(name)
+    return found
 
 
-def _pack_partition(tokens, capacity: int, nearly: int):
+def _pack_partition(tokens, capacity: int, nearly: int, each: int):
     """A mapInArrow function: tokenise, cut, and best-fit what a partition holds.  Only lengths are kept, not texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +70,8 @@ def _pack_partition(tokens, capacity: int, nearly: int):
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
+            texts = (t for some in parts(batch.column("body")) for t in some)
+            for doc, text in zip(batch.column("doc_id").to_pylist(), texts):
                 data = encode(text or "")
                 step = 4 * capacity
                 for number, at in enumerate(range(0, len(data), step)):
@@ -80,7 +88,7 @@ def _pack_partition(tokens, capacity: int, nearly: int):
         for (number, offset), length in zip(place, lengths):
             fill[number] = fill.get(number, 0) + length
         names = {b: f"{part}-{b}" for b in fill}
-        on = carried([(f, names[b]) for b, f in fill.items()], capacity, nearly)
+        on = carried([(f, names[b]) for b, f in fill.items()], capacity, nearly, each)
         columns = [
             pa.array(ids, id_type), pa.array(pieces, pa.int32()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.int64()),
             pa.array([names[b] for b, _ in place]), pa.array([o for _, o in place], pa.int64()), pa.array([fill[b] for b, _ in place], pa.int64()),
@@ -93,7 +101,7 @@ def _pack_partition(tokens, capacity: int, nearly: int):
     return run
 
 
-def _merge(capacity: int, nearly: int, last: bool):
+def _merge(capacity: int, nearly: int, each: int):
     def run(key: tuple, bins: pd.DataFrame) -> pd.DataFrame:
         bins = bins.sort_values(["fill", "bin"], ascending=[False, True]).reset_index(drop=True)
         place = best_fit(bins["fill"].tolist(), capacity)
@@ -102,7 +110,7 @@ def _merge(capacity: int, nearly: int, last: bool):
         for (number, _), name, fill in zip(place, bins["bin"], bins["fill"]):
             into = lead.setdefault(number, name)
             total[into] = total.get(into, 0) + int(fill)
-        on = set() if last else carried([(f, b) for b, f in total.items()], capacity, nearly)
+        on = carried([(f, b) for b, f in total.items()], capacity, nearly, each)
         into = [lead[number] for number, _ in place]
         return pd.DataFrame({
             "bin": bins["bin"], "into": into, "shift": [o for _, o in place], "fill": [total[b] for b in into], "grp": [key[0] if b in on else -1 for b in into],
@@ -128,23 +136,24 @@ def pack(docs: DataFrame, tokens, capacity: int = CAPACITY, fan: int = FAN, near
     ship(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("body"))
     id_type = source.schema["doc_id"].dataType.simpleString()
-    packed = checkpointed(source.mapInArrow(_pack_partition(tokens, capacity, nearly), PIECES.format(id=id_type)))
+    packed = checkpointed(source.mapInArrow(_pack_partition(tokens, capacity, nearly, fan * ROUNDS), PIECES.format(id=id_type)))
     bins = packed.filter("grp IS NOT NULL").groupBy("bin").agg(F.first("bin_fill").alias("fill"), F.first("grp").alias("grp"))
     top = packed.agg(F.max("grp")).first()[0]
     groups = (top or 0) + 1
     moved = bins.select("bin", F.col("bin").alias("into"), F.lit(0).cast("long").alias("shift"), "fill", "grp")
     while groups > 1:
-        last = groups <= fan
+        groups, rounds = -(-groups // fan), 0
+        while fan**rounds < groups:
+            rounds += 1
         live = moved.filter("grp >= 0").groupBy("into").agg(F.first("fill").alias("fill"), F.first("grp").alias("grp"))
         live = live.select(F.col("into").alias("bin"), "fill", F.floor(F.col("grp") / fan).alias("grp"))
-        merged = live.groupBy("grp").applyInPandas(_merge(capacity, nearly, last), "bin string, into string, shift long, fill long, grp long")
+        merged = live.groupBy("grp").applyInPandas(_merge(capacity, nearly, fan * rounds), "bin string, into string, shift long, fill long, grp long")
         merged = merged.select(F.col("bin").alias("into"), F.col("into").alias("next"), F.col("shift").alias("more"), F.col("fill").alias("now"), F.col("grp").alias("to"))
         moved = moved.join(merged, "into", "left").select(
             "bin", F.coalesce("next", "into").alias("into"), (F.col("shift") + F.coalesce("more", F.lit(0))).alias("shift"),
             F.coalesce("now", "fill").alias("fill"), F.coalesce("to", F.lit(-1)).alias("grp"),
         )
         moved = checkpointed(moved)
-        groups = -(-groups // fan)
     moved = moved.select(F.col("bin").alias("from"), "into", "shift")
     placed = packed.join(moved, F.col("bin") == F.col("from"), "left")
     part, number = F.split(F.coalesce("into", "bin"), "-")[0].cast("long"), F.split(F.coalesce("into", "bin"), "-")[1].cast("long")
@@ -154,8 +163,8 @@ def pack(docs: DataFrame, tokens, capacity: int = CAPACITY, fan: int = FAN, near
     )
 
 
-#: Chunks, and words, that a Python worker remembers from task to task; about 0.2 KB each.
-REMEMBERED = 500_000
+#: Chunks that a Python worker remembers from task to task, and characters of the longest that it does: some 40 MB.
+REMEMBERED, REMEMBERED_LETTERS = 150_000, 40
 _memory: dict[str, tuple] = {}
 
 
@@ -164,32 +173,27 @@ class WordBpe:
 
     This tokenizer drops white space and treats what stands between it by itself, so a text's ids are those of its
     chunks in turn.  A chunk that is one word of Latin letters, perhaps with punctuation but no apostrophe after it, is the ids
-    of the lower-cased word and of that tail; any other chunk goes through the whole tokenizer.
+    of the lower-cased word and of that tail; any other chunk, and any text that holds a special token's own string, goes
+    through the whole tokenizer as it was loaded.
     """
 
     def __init__(self, file: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model = self.tokenizer.model
         self.octets = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) > REMEMBERED:
-                self.words.clear()
-            symbols = word if word.isascii() else self.octets.pre_tokenize_str(word)[0][0]
-            ids = [t.id for t in self.model.tokenize(symbols)]
-            found = self.words[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return found
+        symbols = word if word.isascii() else self.octets.pre_tokenize_str(word)[0][0]
+        ids = [t.id for t in self.model.tokenize(symbols)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def chunk(self, chunk: str) -> bytes:
         core = chunk.rstrip(".,!?:;%*#$&)")
@@ -199,20 +203,20 @@ class WordBpe:
                 found += self.word(chunk[len(core) :])
         else:
             found = self.whole(chunk)
-        self.chunks[chunk] = found
+        if len(chunk) <= REMEMBERED_LETTERS:
+            if len(self.chunks) >= REMEMBERED:
+                self.chunks.clear()
+            self.chunks[chunk] = found
         return found
 
     def encode(self, text: str) -> bytes:
-        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85"):  # white space to Python alone
+        if any(c in text for c in "\x1c\x1d\x1e\x1f\x85") or any(t in text for t in self.added):  # the first are white space to Python alone
             return self.whole(text)
-        found = text.split()
         chunks = self.chunks
-        try:
-            return b"".join([chunks[c] for c in found])
-        except KeyError:
-            if len(chunks) > REMEMBERED:
-                chunks.clear()
-            return b"".join([chunks.get(c) or self.chunk(c) for c in found])
+        found = [chunks.get(c) for c in text.split()]
+        if None in found:
+            found = [chunks.get(c) or self.chunk(c) for c in text.split()]
+        return b"".join(found)
 
 
 def word_bpe_tokens(path: str | None = None):

@@ -199,9 +199,9 @@ def test_packing_tokens_are_the_tokenizers(spark, edges, nothing):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tokenizer.encode_special_tokens = True
     encode = packing.word_bpe_tokens()()
-    texts = [*(t or "" for _, t in EDGES if t is None or len(t) < 100), "Don't I'LL 'Sx' it's!? $5,000.00 #tag", "ΑΣ Σ İ ı ſ K ﬁ ½ é é 日本 😀😀", "a\x1cb\x85c d e​f", "<|endoftext|> x", "abc.,def. ..."]
+    texts = [*(t or "" for _, t in EDGES if t is None or len(t) < 100), "Don't I'LL 'Sx' it's!? $5,000.00 #tag", "ΑΣ Σ İ ı ſ K ﬁ ½ é é 日本 😀😀", "a\x1cb\x85c d e​f", "<|endoftext|> x", "<|startoftext|>a", "one<|endoftext|>two <|END", "abc.,def. ..."]
+    assert encode("<|endoftext|> x") == np.array([49407, 343, 0], dtype="<u4").tobytes()
     for text in texts:
         ids = tokenizer.encode(text, add_special_tokens=False).ids + [0]
         assert encode(text) == np.array(ids, dtype="<u4").tobytes(), text
