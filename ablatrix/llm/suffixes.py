@@ -9,10 +9,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import BLANKS, checkpointed, look_up, ship, table
+from ablatrix.llm.common import BLANKS, checkpointed, look_up, parts, ship, table
 
 #: Words in the shortest repeat that is reported, and in the k-gram that a retained suffix begins with.
 LEAST, GRAM = 50, 12
+#: A k-gram with more places than this is matched by its windows, not by its sorted suffixes.
+OFTEN = 2048
 #: k-grams in a window.  Any LEAST words hold one whole window, and so a retained position.
 WINDOW = LEAST - GRAM + 1
 
@@ -42,22 +44,12 @@ def _rolled(values: np.ndarray, width: int) -> np.ndarray:
 def minimisers(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes): in each window of k-grams the one of the smallest hash, the first where several are.
 
-    Where one hash repeats inside a window's length (a passage that repeats itself), only as many of its positions stay
-    as leave each window one.
+    What a window retains depends on its own words alone, so texts that share a window retain the same place in it.
     """
     if len(tokens) < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _rolled(_word_hashes(tokens), GRAM)
     best = np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1))
-    same = h[best][1:] == h[best][:-1]
-    if same.any():
-        at, kept = best.tolist(), [int(best[0])]
-        for i in range(1, len(at)):
-            again = h[at[i]] == h[kept[-1]]
-            needed = i + 1 == len(at) or h[at[i + 1]] != h[at[i]] or at[i + 1] - kept[-1] >= WINDOW
-            if not again or needed:
-                kept.append(at[i])
-        best = np.array(kept)
     return best.astype(np.int64), h[best].view(np.int64)
 
 
@@ -66,7 +58,7 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[bytes] = set()
     for batch in batches:
         digests, rows, positions, hashes = batch.column("digest").to_pylist(), [], [], []
-        for digest, text in zip(digests, batch.column("body").to_pylist()):
+        for digest, text in zip(digests, (t for some in parts(batch.column("body")) for t in some)):
             if digest not in seen:
                 seen.add(digest)
                 at, h = minimisers(words(text))
@@ -79,28 +71,31 @@ def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield whole.slice(a, 20_000)
 
 
+_SUFFIX = {"h": pa.int64(), "ahead": pa.binary(), "behind": pa.binary(), "digest": pa.binary(), "places": pa.list_(pa.int64())}
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each marked suffix twice: by the words from it on, and by the words before it, nearest first."""
-    names = ["h", "backward", "ahead", "behind", "digest", "pos"]
+    """Each marked suffix of a k-gram that isn't too common: the words from it on, and those before it, nearest first.
+
+    Suffixes of one text that are alike in both are one row with several places.
+    """
     for batch in batches:
-        out: list[list] = [[] for _ in names]
-        for digest, text, marks in zip(*(batch.column(c).to_pylist() for c in ("digest", "body", "marks"))):
-            tokens = words(text)
+        out: list[list] = [[] for _ in _SUFFIX]
+        for at in range(batch.num_rows):
+            digest, text, marks = (batch.column(c)[at].as_py() for c in ("digest", "body", "marks"))
+            tokens, alike = words(text), {}
             for mark in marks:
-                at = mark["pos"]
-                right, left = b" ".join(tokens[at : at + LEAST]), b" ".join(reversed(tokens[max(0, at - LEAST + GRAM) : at]))
-                for backward in (False, True):
-                    for column, value in zip(out, (mark["h"], backward, left if backward else right, right if backward else left, digest, at)):
-                        column.append(value)
+                if not mark["often"]:
+                    p = mark["pos"]
+                    around = (mark["h"], b" ".join(tokens[p : p + LEAST]), b" ".join(reversed(tokens[max(0, p - LEAST + GRAM) : p])))
+                    alike.setdefault(around, []).append(p)
+            for around, places in alike.items():
+                for column, value in zip(out, (*around, digest, sorted(places))):
+                    column.append(value)
             if len(out[0]) >= 4000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUFFIX)], names)
-                out = [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUFFIX)], names)
-
-
-_SUFFIX = (pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int64())
-_FOUND = "digest binary, start long, end long, part int, place int, h long, backward boolean, ahead binary, behind binary, pos long"
-_FOUND_ARROW = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUFFIX.values())], list(_SUFFIX))
+                out = [[] for _ in _SUFFIX]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, _SUFFIX.values())], list(_SUFFIX))
 
 
 def _common(a: bytes, b: bytes) -> int:
@@ -115,111 +110,111 @@ def _common(a: bytes, b: bytes) -> int:
     return n
 
 
-def _extend(a: tuple, b: tuple, most: dict | None = None) -> list[tuple[bytes, int, int]]:
-    """The span of the match in either text, extended right and left, if it has LEAST words.
-
-    ``most`` notes, by either suffix, the most words shared in the order of the sort, and in both directions together.
-    """
-    right, left = _common(a[2], b[2]), _common(a[3], b[3])
-    if most is not None:
-        for x in (a, b):
-            far, both = most.get((x[4], x[5]), (0, 0))
-            most[x[4], x[5]] = (max(far, right), max(both, left + right))
-    if a[1]:
-        right, left = left, right
-    if right < GRAM or left + right < LEAST:
-        return []
-    return [(x[4], x[5] - left, x[5] + right) for x in (a, b)]
+def _pairs(run: list[tuple]) -> Iterator[tuple[int, int]]:
+    """Pairs of places in a sorted run: each suffix with the nearest one of another text on either side."""
+    block: list[int] = []  # suffixes of one text that stand together
+    before = -1  # the last one of another text before them
+    for i, row in enumerate(run):
+        if block and row[2] != run[block[-1]][2]:
+            yield from ((j, i) for j in block)
+            before, block = block[-1], [i]
+        else:
+            if before >= 0:
+                yield before, i
+            block.append(i)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare neighbours of different texts in a sorted partition; give its first and last suffix too, for the seams.
+def matches(run: list[tuple[bytes, bytes, bytes, list[int]]]) -> dict[bytes, list[tuple[int, int]]]:
+    """(start, end) by text of the matches of LEAST words or more between different texts, in the suffixes of one k-gram.
 
-    Where a k-gram has three suffixes or more, also what each shares with its neighbours at most (place 2, the number of
-    words in the sort's direction as start, in both directions as end).
+    A suffix is (words ahead, words behind, text, places).  Neighbours in the order by words ahead share most words
+    ahead, in the order by words behind most words behind.  A third text may share more of both together than either
+    neighbour; where the figures leave that open for any suffix, all windows of LEAST words around the k-gram are compared.
     """
-    from pyspark import TaskContext
+    found: dict[bytes, set[tuple[int, int]]] = {}
+
+    def span(row: tuple, left: int, right: int) -> None:
+        at = found.setdefault(row[2], set())
+        for p in row[3]:
+            at.add((p - left, p + right))
+
+    ahead, behind, both = ([0] * len(run) for _ in range(3))
+    for far, order in ((ahead, range(len(run))), (behind, sorted(range(len(run)), key=lambda i: run[i][1::-1] + run[i][2:]))):
+        order = list(order)
+        for x, y in _pairs([run[i] for i in order]):
+            i, j = order[x], order[y]
+            right, left = _common(run[i][0], run[j][0]), _common(run[i][1], run[j][1])
+            for k in (i, j):
+                far[k] = max(far[k], right if far is ahead else left)
+                both[k] = max(both[k], left + right)
+            if right >= GRAM and left + right >= LEAST:
+                span(run[i], left, right)
+                span(run[j], left, right)
+    if any(a + b >= LEAST and c < a + b for a, b, c in zip(ahead, behind, both)):
+        held: dict[int, list[tuple[int, int, int]]] = {}
+        for i, row in enumerate(run):
+            back = row[1].split()
+            around = back[::-1] + row[0].split()
+            if len(around) >= LEAST:
+                for s, w in enumerate(_rolled(_word_hashes(around), LEAST)[: len(back) + 1].tolist()):
+                    held.setdefault(w, []).append((i, len(back) - s, s + LEAST - len(back)))
+        for rows in held.values():
+            if len({run[i][2] for i, _, _ in rows}) > 1:
+                for i, left, right in rows:
+                    span(run[i], left, right)
+    return {digest: _joined(spans) for digest, spans in found.items()}
+
+
+def _joined(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for start, end in sorted(spans):
+        if out and start <= out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((start, end))
+    return out
 
-    part = TaskContext.get().partitionId()
-    block: list[tuple] = []  # suffixes of one text that stand together
-    before: tuple | None = None  # the last one of another text before them
-    first: tuple | None = None
-    last: tuple | None = None
-    most: dict[tuple[bytes, int], tuple[int, int]] = {}
-    size, run = 0, None  # suffixes of the k-gram and direction that are being read
 
-    def shares() -> list[tuple]:
-        rows = [(d, far, both, part, 2, *run, None, None, pos) for (d, pos), (far, both) in most.items()] if size > 2 else []
-        most.clear()
-        return rows
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """matches() of each k-gram of a sorted partition, one run of OFTEN suffixes at most after the other."""
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 10, _FOUND_ARROW)], [f.split()[0] for f in _FOUND.split(", ")])
+    def batch_of(run: list[tuple]) -> pa.RecordBatch:
+        spans = [(digest, *s) for digest, found in matches(run).items() for s in found] if len(run) > 1 else []
+        return pa.RecordBatch.from_arrays([pa.array([s[k] for s in spans], t) for k, t in enumerate((pa.binary(), pa.int64(), pa.int64()))], ["digest", "start", "end"])
 
+    run, of = [], None
     for batch in batches:
-        spans: set[tuple[bytes, int, int]] = set()
-        shared: list[tuple] = []
-        for row in zip(*(batch.column(c).to_pylist() for c in ("h", "backward", "ahead", "behind", "digest", "pos"))):
-            first, last = first or row, row
-            if row[:2] != run:
-                shared += shares()
-                run, size = row[:2], 0
-            size += 1
-            if block and row[:2] != block[-1][:2]:
-                block, before = [], None
-            if block and row[4] != block[-1][4]:
-                for other in block:
-                    spans.update(_extend(other, row, most))
-                before, block = block[-1], [row]
-            else:
-                if before is not None:
-                    spans.update(_extend(before, row, most))
-                block.append(row)
-        if size > 2:
-            shared += shares()
-        if spans or shared:
-            yield batch_of([*((*s, part, None, None, None, None, None, None) for s in spans), *shared])
-    if first is not None:
-        if rest := shares():
-            yield batch_of(rest)
-        yield batch_of([(r[4], None, None, part, place, r[0], r[1], r[2], r[3], r[5]) for place, r in ((0, first), (1, last))])
-
-
-def _seams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare the last suffix of a partition with the first of the next."""
-    for batch in batches:
-        spans: list[tuple] = []
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-            x, y = (tuple(r[c] for c in ("h", "backward", "ahead", "behind", "digest", "pos")) for r in (a, b))
-            if x[:2] == y[:2] and x[4] != y[4]:
-                spans += _extend(x, y)
-        yield pa.RecordBatch.from_arrays([pa.array([s[i] for s in spans], t) for i, t in enumerate(_FOUND_ARROW[:3])], ["digest", "start", "end"])
+        for h, *row in zip(*(batch.column(c).to_pylist() for c in _SUFFIX)):
+            if h != of:
+                if run:
+                    yield batch_of(run)
+                run, of = [], h
+            run.append(tuple(row))
+    yield batch_of(run)
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, start, h, w): every window of LEAST words that covers a marked k-gram, w the hash of its words."""
+    """(digest, start, h, w): every window of LEAST words that covers a common k-gram, w the hash of its words."""
     names, types = ("digest", "start", "h", "w"), (pa.binary(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
-        for digest, text, marks in zip(*(batch.column(c).to_pylist() for c in ("digest", "body", "marks"))):
-            tokens = words(text)
+        for at in range(batch.num_rows):
+            marks = [m for m in batch.column("marks")[at].as_py() if m["often"]]
+            if not marks:
+                continue
+            digest, tokens = batch.column("digest")[at].as_py(), words(batch.column("body")[at].as_py())
             w = _rolled(_word_hashes(tokens), LEAST).view(np.int64)
-            at = np.array([m["pos"] for m in marks])[:, None] - np.arange(WINDOW)
-            h = np.broadcast_to(np.array([m["h"] for m in marks], dtype=np.int64)[:, None], at.shape)
-            fits = (at >= 0) & (at < len(w))
-            found = np.unique(np.stack([at[fits], h[fits]]), axis=1)
+            starts = np.array([m["pos"] for m in marks])[:, None] - np.arange(WINDOW)
+            h = np.broadcast_to(np.array([m["h"] for m in marks], dtype=np.int64)[:, None], starts.shape)
+            fits = (starts >= 0) & (starts < len(w))
+            found = np.unique(np.stack([starts[fits], h[fits]]), axis=1)
             for a in range(0, found.shape[1], 20_000):
                 start, key = found[:, a : a + 20_000]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([digest] * len(start), start, key, w[start]), types)], names)
 
 
-def _repeated_windows(held: DataFrame, hard: DataFrame) -> DataFrame:
-    """(digest, start, end) of the windows around k-grams of ``hard`` that stand in two texts."""
-    places = held.select("digest", F.explode("marks").alias("mark")).select("digest", "mark.pos", "mark.h")
-    sizes = checkpointed(places.groupBy("h").agg(F.count("*").alias("n")).join(hard, "h"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    chosen = look_up(places, sizes, "h", "n", total, F.col("digest")).filter("n IS NOT NULL")
-    chosen = chosen.groupBy("digest").agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
-    windows = held.select("digest", "body").join(chosen, "digest").mapInArrow(_windows, "digest binary, start long, h long, w long")
+def _repeated_windows(held: DataFrame) -> DataFrame:
+    """(digest, start, end) of the windows around common k-grams that stand in two texts."""
+    windows = held.select("digest", "body", "marks").mapInArrow(_windows, "digest binary, start long, h long, w long")
     windows = windows.select("digest", "start", F.concat_ws("/", "h", "w").alias("window"))
     twice = windows.groupBy("window").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
     twice = checkpointed(twice.filter("low < high").select("window", "n"))
@@ -228,50 +223,37 @@ def _repeated_windows(held: DataFrame, hard: DataFrame) -> DataFrame:
     return found.select("digest", "start", (F.col("start") + LEAST).alias("end"))
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", often: int = OFTEN) -> DataFrame:
     """Passages of LEAST words or more that stand in two different texts, or in two rows of one text.
 
     1. Each text, copies once, retains the suffixes at its minimiser positions: any passage of LEAST words holds one.
-    2. Only suffixes whose k-gram occurs elsewhere go on, with the words around them.
-    3. A global sort by k-gram and words ahead, and one by k-gram and words behind, puts like suffixes next to each
-       other; it is ranged by the whole key, so a k-gram however common is spread over tasks.  Neighbours of different
-       texts are compared word by word and their match extended right and left, across task borders too.
-    4. Neighbours in one sort share most words ahead, in the other most words behind; a third text may share more of both
-       together.  k-grams are therefore taken again where the two sorts leave that open at one of their suffixes, or where
-       they cross a task border: all windows of LEAST words around them are keyed by a hash, and those that two texts hold
-       are matches.
+    2. Only suffixes whose k-gram occurs in another text go on, with the words around them.
+    3. Suffixes are sorted by k-gram and words ahead, and those of a k-gram by words behind too.  Neighbours of different
+       texts are compared word by word and their match extended right and left; see matches().
+    4. A k-gram with more than ``often`` places would be too much for one task.  Around its places all windows of LEAST
+       words are keyed by a hash, counted with a map-side combine, and those that two texts hold are matches.  Both ways
+       find every match.
     5. The matches of a text are joined to maximal spans.  A text of LEAST words or more that several rows hold is one
        span from end to end.
 
-    Returns id, n_words, start_word, end_word (exclusive), one row a span, none for a document without repeats.  Words
-    are runs of anything but white space, A-Z in lower case.  Null text counts as empty.  Ids may be null; rows that
-    repeat an id and text are copies of each other.  An empty table gives an empty result.
+    Returns id, n_words, start_word, end_word (exclusive), one row a span, none for a document without repeats; a passage
+    that repeats inside one document alone is none.  Words are runs of anything but white space, A-Z in lower case.  Null
+    text counts as empty.  Ids may be null; rows that repeat an id and text are copies of each other.  An empty table gives
+    an empty result; texts of any length are read whole; other columns play no part.
     """
     ship(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     source = docs.select(F.col(f"`{id_col}`").alias("id"), body.alias("body"), F.unhex(F.md5(body)).alias("digest"))
-    retained = source.select("digest", "body").mapInArrow(_select, "digest binary, pos long, h long")
-    place = F.struct("digest", "pos")
-    shared = retained.groupBy("h").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low < high").select("h")
-    marks = retained.join(shared, "h").groupBy("digest").agg(F.collect_set(F.struct("pos", "h")).alias("marks"))
+    retained = checkpointed(source.select("digest", "body").mapInArrow(_select, "digest binary, pos long, h long"))
+    shared = retained.groupBy("h").agg(F.count("*").alias("n"), F.min("digest").alias("low"), F.max("digest").alias("high"))
+    shared = checkpointed(shared.filter("low < high").select("h", "n"))
+    marks = look_up(retained, shared, "h", "n", retained.count(), F.col("digest")).filter("n IS NOT NULL")
+    marks = marks.groupBy("digest").agg(F.collect_set(F.struct("pos", "h", (F.col("n") > often).alias("often"))).alias("marks"))
     texts = source.groupBy("digest").agg(F.first("body").alias("body"))
     held = checkpointed(texts.join(marks, "digest").select("digest", "body", "marks"))
-    suffixes = held.mapInArrow(_suffixes, "h long, backward boolean, ahead binary, behind binary, digest binary, pos long")
-    order = ["h", "backward", "ahead", "behind", "digest", "pos"]
-    found = suffixes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_neighbours, _FOUND)
-    found = checkpointed(found.select(*(c.split()[0] for c in _FOUND.split(", "))))
-    ends = found.filter("place < 2").select("part", "place", F.struct(*order).alias("b"))
-    by_part = Window.orderBy("part", "place")
-    seams = ends.withColumn("a", F.lag("b").over(by_part)).withColumn("from", F.lag("part").over(by_part)).filter("from < part")
-    shares = found.filter("place = 2").groupBy("h", "digest", "pos").agg(
-        F.coalesce(F.max(F.when(~F.col("backward"), F.col("start"))), F.lit(0)).alias("right"),
-        F.coalesce(F.max(F.when(F.col("backward"), F.col("start"))), F.lit(0)).alias("left"),
-        F.max("end").alias("both"),
-    )
-    hard = shares.filter((F.col("left") + F.col("right") >= LEAST) & (F.col("both") < F.col("left") + F.col("right"))).select("h")
-    hard = hard.unionByName(seams.filter("a.h = b.h").select("a.h")).distinct()
-    across = seams.select("a", "b").mapInArrow(_seams, "digest binary, start long, end long")
-    spans = found.filter("place IS NULL").select("digest", "start", "end").unionByName(across).unionByName(_repeated_windows(held, hard)).distinct()
+    suffixes = held.mapInArrow(_suffixes, "h long, ahead binary, behind binary, digest binary, places array<long>")
+    spans = suffixes.repartition("h").sortWithinPartitions("h", "ahead", "behind", "digest").mapInArrow(_neighbours, "digest binary, start long, end long")
+    spans = spans.unionByName(_repeated_windows(held)).distinct()
     by_start = Window.partitionBy("digest").orderBy("start", "end")
     joined = (
         spans.withColumn("reach", F.max("end").over(by_start.rowsBetween(Window.unboundedPreceding, -1)))
@@ -280,7 +262,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         .groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     )
     rows = source.select("id", "digest", F.size(F.filter(F.split("body", BLANKS), lambda w: w != "")).cast("long").alias("n_words"))
-    rows = rows.filter(F.col("n_words") >= LEAST)
+    rows = checkpointed(rows.filter(F.col("n_words") >= LEAST))
     counts = checkpointed(rows.groupBy("digest").agg(F.count("*").alias("n")).join(joined, "digest", "left").filter("n > 1 OR spans IS NOT NULL"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     rows = rows.withColumn("digest", F.lower(F.hex("digest")))

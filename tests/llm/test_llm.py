@@ -489,6 +489,67 @@ def test_repeats_of_mixed_stretches(spark, parts):
     check_repeats(spark, rows, parts)
 
 
+def mixed_texts(seed):
+    """Texts in which partners stand apart in both sorts, lines repeat, or stretches are periodic."""
+    rng = random.Random(seed)
+    some = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n)]
+    kind = seed % 5
+    if kind == 0:
+        left, right = some(25), some(25)
+        texts = [some(20) + left + right + some(20), some(10) + left + right + some(30), some(30) + right + some(10), some(10) + left + right[:8] + some(20), left[5:] + right[:20] + some(9)]
+    elif kind == 1:
+        passage, texts = some(120), []
+        for _ in range(60):
+            n = rng.randint(13, 60)
+            at = rng.randint(0, 120 - n)
+            texts.append(some(20) + passage[at : at + n] + some(20))
+    elif kind == 2:
+        line = some(rng.randint(1, 20))
+        texts = [some(rng.randint(0, 10)) + line * rng.randint(2, 40) + some(rng.randint(0, 30)) for _ in range(12)]
+    elif kind == 3:
+        line, texts = some(14), []
+        base = [w for _ in range(4) for w in (*line, *some(rng.randint(1, 9)))]
+        for _ in range(20):
+            a = rng.randint(0, len(base) - 1)
+            texts.append(some(5) + line * rng.randint(0, 2) + base[a : rng.randint(a, len(base))] + line * rng.randint(0, 2) + some(5))
+    else:
+        few = some(3)
+        texts = [[rng.choice(few) if rng.random() < 0.1 else few[0] for _ in range(rng.randint(50, 300))] for _ in range(15)]
+    return [" ".join(t) for t in texts]
+
+
+@pytest.mark.parametrize("seed", range(60))
+def test_matches_are_those_of_all_windows(seed):
+    """The operator's steps on a few texts, without Spark."""
+    texts = mixed_texts(seed)
+    runs = {}
+    for d, text in enumerate(texts):
+        tokens, alike = suffixes.words(text), {}
+        for p, h in zip(*(x.tolist() for x in suffixes.minimisers(tokens))):
+            alike.setdefault((h, b" ".join(tokens[p : p + 50]), b" ".join(reversed(tokens[max(0, p - 38) : p]))), []).append(p)
+        for (h, ahead, behind), places in alike.items():
+            runs.setdefault(h, []).append((ahead, behind, b"%d" % d, places))
+    got = [np.zeros(len(suffixes.words(t)), bool) for t in texts]
+    for run in runs.values():
+        for d, spans in suffixes.matches(sorted(run)).items():
+            for start, end in spans:
+                assert end - start >= 50
+                got[int(d)][start:end] = True
+    for a, b in zip(covered(list(enumerate(texts))), got):
+        assert (a == b).all()
+
+
+@pytest.mark.parametrize("often", [0, 3, 2048])
+def test_common_grams_lose_nothing(spark, often):
+    rows = [(k, t) for seed in (0, 1, 2, 3) for k, t in enumerate(mixed_texts(seed))]
+    docs = docs_of(spark, [(k, t) for k, (_, t) in enumerate(rows)]).repartition(3)
+    got = [np.zeros(len(suffixes.words(t)), bool) for _, t in rows]
+    for r in suffixes.repeats(docs, often=often).collect():
+        got[r.doc_id][r.start_word : r.end_word] = True
+    for a, b in zip(covered(rows), got):
+        assert (a == b).all()
+
+
 def test_repeats_edges(spark, nothing):
     copy = " ".join(f"w{i}" for i in range(60))
     docs = docs_of(spark, [(1, copy), (None, copy), (1, copy), (2, copy + " x"), (3, "short"), (4, "short")])
