@@ -12,8 +12,9 @@ from ablatrix.llm.common import table
 
 SHINGLE = 5
 CONTAINMENT = 0.8
-#: Sketch rows up to which the benchmark's sketches are broadcast (some 16 MB); beyond it the join is shuffled.
-BROADCAST_ROWS = 500_000
+#: Sketch rows (some 16 MB), and bytes of item text (five times that as shingles), up to which the benchmark is broadcast;
+#: beyond either the joins are shuffled.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -57,6 +58,34 @@ def sketches(items: DataFrame, threshold: float) -> DataFrame:
     return items.select("item", "n", F.explode(smallest).alias("hash"))
 
 
+def _matches(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, threshold: float, broadcast_rows: int) -> DataFrame:
+    """(id, row_key, item_id, item_shingles, shared) of each row of docs and each item that it holds; see contained_items()."""
+    items = (
+        benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
+        .select("item_id", F.octet_length("item_text").alias("bytes"), shingles(F.col("item_text")).alias("grams"), shingle_hashes(F.col("item_text")).alias("hashes"))
+        .withColumn("n", F.size("grams")).filter("n > 0")
+        .withColumn("item", F.xxhash64("item_id", "grams"))
+    )
+    sketch = sketches(items, threshold)
+    fits = sketch.limit(broadcast_rows + 1).count() <= broadcast_rows
+    fits = fits and items.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    near = F.broadcast if fits else (lambda df: df)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    body = docs.select(own.alias("id"), F.xxhash64(own, text).alias("row_key"), text.alias("body"))  # rows alike in id and text share a key
+    hashed = body.select(*(body.columns if fits else ("id", "row_key")), F.explode(shingle_hashes(F.col("body"))).alias("hash"))
+    met = hashed.join(near(sketch.select("hash", "item").distinct()), "hash")
+    if fits:
+        candidates = met.groupBy("id", "row_key", "body").agg(F.collect_set("item").alias("found"))
+    else:
+        found = met.groupBy("row_key").agg(F.collect_set("item").alias("found"))
+        candidates = body.join(found, "row_key")
+    listed = candidates.select("id", "row_key", shingles(F.col("body")).alias("doc_grams"), "found").select("id", "row_key", "doc_grams", F.explode("found").alias("item"))
+    shared = listed.join(near(items.select("item", "item_id", "n", "grams")), "item").select(
+        "id", "row_key", "item_id", F.col("n").cast("long").alias("item_shingles"), F.size(F.array_intersect("grams", "doc_grams")).cast("long").alias("shared")
+    )
+    return shared.filter(F.col("shared") >= F.col("item_shingles") * threshold)
+
+
 def contained_items(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -72,37 +101,25 @@ def contained_items(
     and so is nothing in a document of fewer.  Where an id repeats, its best match is given.  Empty tables give an empty
     result; other columns play no part.
 
-    Each document's shingle hashes meet the sketches inside the scan's own stage; only candidates move on, once each,
-    with their text, and are verified by their shingles as strings.
+    With a benchmark of a size that is checked, each document's shingle hashes meet the sketches inside the scan's own
+    stage; only candidates move on, once each, with their text.  Beyond that size hashes alone are shuffled, and the text
+    is fetched for the candidates.  These are verified by their shingles as strings.
     """
-    items = (
-        benchmark.select("item_id", F.col("text").alias("item_text")).distinct()
-        .select("item_id", shingles(F.col("item_text")).alias("grams"), shingle_hashes(F.col("item_text")).alias("hashes"))
-        .withColumn("n", F.size("grams")).filter("n > 0")
-        .withColumn("item", F.xxhash64("item_id", "grams"))
-    )
-    sketch = sketches(items, threshold)
-    fits = sketch.limit(broadcast_rows + 1).count() <= broadcast_rows
-    near = F.broadcast if fits else (lambda df: df)
-    body = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
-    hashed = body.select("id", "body", F.explode(shingle_hashes(F.col("body"))).alias("hash"))
-    candidates = hashed.join(near(sketch.select("hash", "item").distinct()), "hash").groupBy("id", "body").agg(F.collect_set("item").alias("found"))
-    listed = candidates.select("id", shingles(F.col("body")).alias("doc_grams"), "found").select("id", "doc_grams", F.explode("found").alias("item"))
-    shared = listed.join(near(items.select("item", "item_id", "n", "grams")), "item").select(
-        "id", "item_id", F.col("n").cast("long").alias("item_shingles"), F.size(F.array_intersect("grams", "doc_grams")).cast("long").alias("shared")
-    )
     best = F.max(F.struct((F.col("shared") / F.col("item_shingles")).alias("containment"), "shared", "item_shingles"))
-    return (
-        shared.filter(F.col("shared") >= F.col("item_shingles") * threshold)
-        .groupBy("id", "item_id").agg(best.alias("b"))
-        .select(F.col("id").alias(id_col), "item_id", "b.item_shingles", "b.shared", "b.containment")
-    )
+    found = _matches(docs, benchmark, id_col, text_col, threshold, broadcast_rows).groupBy("id", "item_id").agg(best.alias("b"))
+    return found.select(F.col("id").alias(id_col), "item_id", "b.item_shingles", "b.shared", "b.containment")
+
 
+def clean_rows(docs: DataFrame, benchmark: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """The rows of docs in which no item is found, with the columns of docs.
 
-def clean_rows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs in which no item is found."""
-    found = contained_items(docs, benchmark).select(F.col("doc_id").alias("leaked")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("leaked")), "left_anti")
+    Rows are judged one by one: a row stays if its own text is clean, whatever other rows of its id hold.  Null ids and
+    repeated rows are rows like any other; a null text is clean.
+    """
+    leaked = _matches(docs, benchmark, "doc_id", "text", CONTAINMENT, broadcast_rows).select(F.col("id").alias("leaked_id"), F.col("row_key").alias("leaked_key")).distinct()
+    marked = docs.select(F.col("doc_id").alias("own_id"), F.xxhash64("doc_id", "text").alias("own_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("own_id").eqNullSafe(F.col("leaked_id")) & (F.col("own_key") == F.col("leaked_key"))
+    return marked.join(leaked, same, "left_anti").select("row.*")
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
