@@ -13,19 +13,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import checkpointed, ship, table
+from ablatrix.llm.common import parts, ship, table
 
-#: The classifier is fitted on about FIT_ROWS labelled rows at most, chosen by a hash of their id.
-FIT_ROWS = 10_000
-#: Most frequent words, and character n-grams of each order, that the model keeps.
-MODEL_WORDS, MODEL_GRAMS, ORDERS = 100_000, 30_000, (5, 4, 3, 2, 1)
+#: The classifier is fitted on about FIT_ROWS labelled rows at most, as many of each language, chosen by a hash of their id.
+FIT_ROWS = 8_000
+#: Orders of character n-grams.
+ORDERS = (5, 4, 3, 2, 1)
 #: Unseen words that a task remembers at a time.
 REMEMBERED = 100_000
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str | None) -> list[str]:
-    return LETTERS.findall((text or "").lower())
+    """Runs of letters (Unicode category L) in lower case."""
+    found = LETTERS.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return "".join(c if c.isalpha() else " " for w in found for c in (*w, " ")).split()  # numerals among the letters
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -37,7 +41,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, order, token, n) of a partition; order 0 stands for words."""
     seen: dict[str, Counter] = {}
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("body").to_pylist()):
+        for lang, text in zip(batch.column("lang").to_pylist(), (t for some in parts(batch.column("body")) for t in some)):
             seen.setdefault(lang, Counter()).update(words(text))
     for lang, counts in seen.items():
         for order in (0, *ORDERS):
@@ -70,38 +74,32 @@ class Model:
             known = self.index[order]
             rows = [known[g] for g in grams(word, order) if g in known]
             if rows:
-                return self.table[rows].mean(axis=0)
+                return self.table[rows].mean(axis=0, dtype=float)
         return np.zeros(len(self.languages))
 
 
 def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
-    """Fit on docs (id, body, lang) with a language.  At most MODEL_WORDS + 5 * MODEL_GRAMS tokens reach the driver."""
+    """Fit on docs (id, body, lang) with a language: about ``rows`` of them, so many of each language as there are or fit.
+
+    All words and n-grams of that sample reach the driver with their counts; the sample bounds them.
+    """
     labelled = docs.filter(F.col("lang").isNotNull())
-    total = labelled.count()
-    if total > rows:
-        labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
+    sizes = {r.lang: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    languages = sorted(sizes)
+    if not languages:
+        return Model([], {order: {} for order in (0, *ORDERS)}, np.zeros((0, 0), np.float32))
+    share = F.create_map(*(F.lit(x) for lang in languages for x in (lang, int((1 << 30) * min(1.0, rows / len(languages) / sizes[lang])))))
+    labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")])
     counted = labelled.select("lang", "body").mapInArrow(_count, "lang string, order int, token string, n long")
-    counted = counted.groupBy("order", "token", "lang").agg(F.sum("n").alias("n"))
-    by_token = counted.groupBy("order", "token").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"), F.sum("n").alias("n"))
-    by_token = checkpointed(by_token)
-    kept: list[tuple] = []
+    each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{j}") for j, lang in enumerate(languages)]
+    kept = counted.groupBy("order", "token").agg(*each).toPandas()
+    orders, n = kept["order"].to_numpy(), kept[[f"n{j}" for j in range(len(languages))]].to_numpy(dtype=float)
+    index: dict[int, dict[str, int]] = {}
+    values, smooth = np.zeros(n.shape, np.float32), 0.1
     for order in (0, *ORDERS):
-        best = by_token.filter(F.col("order") == order).orderBy(F.desc("n"), "token").limit(MODEL_GRAMS if order else MODEL_WORDS)
-        kept += best.select("order", "token", "by").collect()
-    totals: Counter = Counter()
-    kinds: Counter = Counter()
-    for order, _, by in kept:
-        for lang, n in by.items():
-            totals[lang, order] += n
-            kinds[lang, order] += 1
-    languages = sorted({lang for lang, _ in totals})
-    index: dict[int, dict[str, int]] = {order: {} for order in (0, *ORDERS)}
-    values = np.zeros((len(kept), len(languages)))
-    smooth = 0.1
-    for i, (order, token, by) in enumerate(kept):
-        index[order][token] = i
-        for j, lang in enumerate(languages):
-            values[i, j] = math.log((by.get(lang, 0) + smooth) / (totals[lang, order] + smooth * (kinds[lang, order] + 1)))
+        at = np.flatnonzero(orders == order)
+        index[order] = dict(zip(kept["token"].to_numpy()[at], at.tolist()))
+        values[at] = np.log((n[at] + smooth) / (n[at].sum(axis=0) + smooth * ((n[at] > 0).sum(axis=0) + 1)))
     return Model(languages, index, values)
 
 
@@ -112,7 +110,7 @@ def _predict(shared):
         vectors: list[np.ndarray] = []
         for batch in batches:
             best, score = [], []
-            for text in batch.column("body").to_pylist():
+            for text in (t for some in parts(batch.column("body")) for t in some):
                 found = words(text)
                 if not found or not model.languages:
                     best.append("und")
@@ -120,7 +118,7 @@ def _predict(shared):
                     continue
                 at = [known.get(w, -1) for w in found]
                 rows = np.array(at)
-                total = model.table[rows[rows >= 0]].sum(axis=0)
+                total = model.table[rows[rows >= 0]].sum(axis=0, dtype=float)
                 for w, i in zip(found, at):
                     if i < 0:
                         v = seen.get(w)
@@ -141,10 +139,10 @@ def _predict(shared):
 def identify(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
     """Predict the language of every whole text, learning from the rows where ``train`` holds and lang isn't null.
 
-    Words are lower-case runs of letters.  A known word scores by its log frequency in each language; an unseen one by
+    Words are lower-case runs of letters (Unicode category L).  A known word scores by its log frequency in each language; an unseen one by
     its n-grams of five characters, else of four, down to one.  Scores add up over the text; score is the posterior of
     the best language under equal priors, ties going to the first in order.  The fit uses about fit_rows rows at most,
-    and a model of bounded size is broadcast.
+    as many of each language; whatever they hold is known, so their number bounds the model that is broadcast.
 
     Returns id, held_out (train doesn't hold), lang_pred, score.  A null text, one without letters, and any text where
     nothing can be learned get ``und`` and 0.  Ids may be null or repeat; an empty table gives an empty result.
