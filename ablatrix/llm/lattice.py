@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,14 +13,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import checkpointed, ship, table
+from ablatrix.llm.common import checkpointed, parts, ship, table
 from ablatrix.llm.language import in_fold
 
 #: Most frequent words whose figures are broadcast; every other word is looked up by a shuffled join.
 HEAD_WORDS = 200_000
-#: Weight of each of the 256 single bytes that stand in where no piece fits, and of the vocabulary's own scores after
-#: the corpus has been counted.
-BYTE_WEIGHT, PRIOR_SHARE = 1e-7, 0.02
+#: Weight of each of the 256 single bytes that stand in where no piece fits, and of a text's end.
+BYTE_WEIGHT, END_WEIGHT = 1e-7, 1e-3
+#: What the vocabulary's own scores weigh in the adapted weights, beside the corpus's counts.
+PRIOR_SHARE = 0.02
 #: Words up to this many bytes are scored together, by length; longer ones one by one.
 TOGETHER = 48
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -75,6 +77,12 @@ class Pieces:
                     out[i + length].append((i, rows, piece[rows]))
         return out
 
+    def weighted(self, weights: np.ndarray, end: float) -> Pieces:
+        """The same pieces with other log weights."""
+        other = copy(self)
+        other.weights, other.end = weights, end
+        return other
+
     def forward(self, data: np.ndarray, arcs: list) -> np.ndarray:
         alpha = np.full((data.shape[1] + 1, len(data)), -np.inf)
         alpha[0] = 0
@@ -124,15 +132,15 @@ class Pieces:
                 onward[i].append(through)
                 into[n] += math.exp(alpha[i] + through - alpha[-1]) * count
 
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of each word's probability, summed over all its segmentations."""
-        out = np.empty(len(words))
+    def log10(self, words: list[bytes], *others: Pieces) -> np.ndarray:
+        """log10 of each word's probability, summed over all its segmentations; a row more for each of others' weights."""
+        models = (self, *others)
+        out = np.empty((len(models), len(words)))
         for rows, data in _by_length(words):
-            if data is None:
-                out[rows] = [self.alone(b" " + words[r]) for r in rows]
-            else:
-                out[rows] = self.forward(data, self.arcs(data))[-1]
-        return out / math.log(10)
+            arcs = self.arcs(data) if data is not None else None
+            for line, model in zip(out, models):
+                line[rows] = [model.alone(b" " + words[r]) for r in rows] if data is None else model.forward(data, arcs)[-1]
+        return (out if others else out[0]) / math.log(10)
 
 
 def _log_sum(terms: list[float]) -> float:
@@ -173,7 +181,7 @@ def load_pieces(path: str | None = None) -> Pieces:
     weights = dict(zip(scores, weights / weights.sum()))
     for byte in range(256):
         weights[bytes([byte])] = weights.get(bytes([byte]), 0) + BYTE_WEIGHT
-    return Pieces(list(weights), np.log(np.array(list(weights.values()))), math.log(1e-3))
+    return Pieces(list(weights), np.log(np.array(list(weights.values()))), math.log(END_WEIGHT))
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -215,26 +223,30 @@ def _expect(shared):
 
 def _weigh(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            values = shared.value.log10(batch.column("word").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(values)], ["word", "c", "lattice"])
+        own, weights, end = shared.value
+        adapted = own.weighted(weights, end)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 4000):
+                batch = whole.slice(at, 4000)
+                values = own.log10(batch.column("word").to_pylist(), adapted)
+                yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), *map(pa.array, values)], ["word", "c", "lattice", "adapted"])
 
     return run
 
 
-_COLUMNS = ("word", "key", "id", "held_out", "n_tokens", "n_known", "base", "score", "n")
+_COLUMNS = ("word", "key", "id", "held_out", "n_tokens", "n_known", "base", "score", "adapted", "n")
 
 
 def _score(shared):
     """A row for each document, with what its frequent words sum to, and one for each of its other words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, base, lattice, known, end = shared.value
+        index, figures, known, end = shared.value
         for batch in batches:
             keys, n = batch.column("key").to_pylist(), batch.num_rows
-            own: list[list] = [[], [], [], []]
+            own: list[list] = [[], [], [], [], []]
             tail_key, tail_word, tail_n = [], [], []
-            for key, text in zip(keys, batch.column("body").to_pylist()):
+            for key, text in zip(keys, (t for some in parts(batch.column("body")) for t in some)):
                 words = _words(text)
                 at = np.array([index.get(w, -1) for w in words], dtype=np.int64)
                 seen = at[at >= 0]
@@ -244,19 +256,19 @@ def _score(shared):
                     tail_word += rest
                     tail_n += rest.values()
                 own[0].append(len(words) + 1)
-                own[1].append(int(known[seen].sum()) + end[2])
-                own[2].append(float(base[seen].sum()) + end[0])
-                own[3].append(float(lattice[seen].sum()) + end[1])
+                own[1].append(int(known[seen].sum()) + end[3])
+                for column, figure, ends in zip(own[2:], figures, end):
+                    column.append(float(figure[seen].sum()) + ends)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([b" %d" % k for k in keys], pa.binary()), batch.column("key"), batch.column("id"), batch.column("held_out"),
-                    pa.array(own[0], pa.int64()), pa.array(own[1], pa.int64()), pa.array(own[2]), pa.array(own[3]), pa.nulls(n, pa.int64()),
+                    pa.array(own[0], pa.int64()), pa.array(own[1], pa.int64()), *(pa.array(x, pa.float64()) for x in own[2:]), pa.nulls(n, pa.int64()),
                 ],
                 _COLUMNS,
             )
             for a in range(0, len(tail_key), 20_000):
                 part = tail_key[a : a + 20_000]
-                nothing = [pa.nulls(len(part), t) for t in (batch.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]
+                nothing = [pa.nulls(len(part), t) for t in (batch.schema.field("id").type, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(tail_word[a : a + 20_000], pa.binary()), pa.array(part, pa.int64()), *nothing, pa.array(tail_n[a : a + 20_000], pa.int64())], _COLUMNS
                 )
@@ -277,20 +289,21 @@ def _least_count(words: DataFrame, most: int) -> int:
 
 
 def lattice_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", pieces: str | None = None, head_words: int = HEAD_WORDS) -> DataFrame:
-    """Two log10 probabilities of every whole text, learned from the rows where train holds.
+    """log10 probabilities of every whole text, learned from the rows where train holds.
 
     Tokens are the text's words, A-Z in lower case, and one end.  base_score adds their smoothed log frequencies.
     score is the subword lattice's: a text is a sequence of pieces and an end, its probability the sum over all
-    segmentations, computed word by word in log space, which is exact as no piece spans a space.  The vocabulary's
-    scores weight the segmentations at first; one pass over the training words' counts (expected uses of each piece
-    over all segmentations) then gives the weights that are used, with a small share of the vocabulary's own kept.
+    segmentations, computed word by word in log space, which is exact as no piece spans a space.  The vocabulary's own
+    scores weight the segmentations.  adapted_score is the same with weights fitted to the training rows: one pass over
+    the words' counts gives the expected uses of each piece over all segmentations, beside which the vocabulary's scores
+    keep a small share.
 
     Words are counted over all documents.  A document's frequent words (head_words at most, broadcast with their
     figures) are summed where it is read; each of its other words is one row that meets its count by a shuffled join.
 
-    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score.  A null or wordless text is an end alone.
-    Ids may be null or repeat, each row is scored; with no training rows counts are zero; an empty table gives an empty
-    result.
+    Returns id, held_out, n_tokens, n_known, train_tokens, base_score, score, adapted_score.  A null or wordless text is
+    an end alone.  Ids may be null or repeat, each row is scored; with no training rows counts are zero and adapted_score
+    is score; words of any length are scored; an empty table gives an empty result; other columns play no part.
     """
     spark = docs.sparkSession
     ship(spark)
@@ -300,26 +313,30 @@ def lattice_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = n + ends, v + (ends > 0)
 
-    start = load_pieces(pieces)
-    counted = words.filter("c > 0").mapInArrow(_expect(spark.sparkContext.broadcast(start)), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
-    uses = np.zeros(len(start.names))
+    own = load_pieces(pieces)
+    counted = words.filter("c > 0").mapInArrow(_expect(spark.sparkContext.broadcast(own)), "piece int, n double").groupBy("piece").agg(F.sum("n").alias("n"))
+    uses = np.zeros(len(own.names))
     for piece, used in counted.collect():
         uses[piece] = used
     total = uses.sum() + ends
     share = PRIOR_SHARE if total else 1.0
-    weights = (1 - share) * uses / max(total, 1) + share * np.exp(start.weights)
-    model = spark.sparkContext.broadcast(Pieces(start.names, np.log(weights), math.log(((1 - share) * ends / max(total, 1)) + share * math.exp(start.end))))
+    weights = np.log((1 - share) * uses / max(total, 1) + share * np.exp(own.weights))
+    end = math.log(((1 - share) * ends / max(total, 1)) + share * math.exp(own.end))
+    weigh = _weigh(spark.sparkContext.broadcast((own, weights, end)))
+    weighed = checkpointed(words.mapInArrow(weigh, "word binary, c long, lattice double, adapted double"))
 
-    weighed = lambda df: df.mapInArrow(_weigh(model), "word binary, c long, lattice double")
-    head = weighed(words.filter(F.col("c") >= _least_count(words, head_words))).toPandas()
+    least = _least_count(words, head_words)
+    head = weighed.filter(F.col("c") >= least).toPandas()
     smooth = lambda c: np.log10((c + 1) / (n + v + 1))
     c = head["c"].to_numpy(dtype=float)
-    end = (float(smooth(ends)), model.value.end / math.log(10), int(ends > 0))
-    figures = ({bytes(w): i for i, w in enumerate(head["word"])}, smooth(c), head["lattice"].to_numpy(dtype=float), c > 0, end)
+    ending = (float(smooth(ends)), own.end / math.log(10), end / math.log(10), int(ends > 0))
+    figures = (smooth(c), head["lattice"].to_numpy(dtype=float), head["adapted"].to_numpy(dtype=float))
+    shared = spark.sparkContext.broadcast(({bytes(w): i for i, w in enumerate(head["word"])}, figures, c > 0, ending))
     id_type = source.schema["id"].dataType.simpleString()
-    schema = f"word binary, key long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, n long"
-    parts = source.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_score(spark.sparkContext.broadcast(figures)), schema)
-    joined = parts.join(weighed(words), "word", "left")
+    schema = f"word binary, key long, id {id_type}, held_out boolean, n_tokens long, n_known long, base double, score double, adapted double, n long"
+    found = source.withColumn("key", F.monotonically_increasing_id()).mapInArrow(_score(shared), schema)
+    tail = weighed.filter(F.col("c") < least).withColumnRenamed("adapted", "tail_adapted")
+    joined = found.join(tail, "word", "left")
     is_tail = F.col("n").isNotNull()
     log_base = F.log10((F.coalesce("c", F.lit(0)) + 1) / F.lit(float(n + v + 1)))
     out = joined.groupBy("key").agg(
@@ -329,8 +346,11 @@ def lattice_scores(docs: DataFrame, train: Column, id_col: str = "doc_id", text_
         F.sum(F.when(is_tail, F.when(F.col("c") > 0, F.col("n")).otherwise(0)).otherwise(F.col("n_known"))).alias("n_known"),
         F.sum(F.when(is_tail, F.col("n") * log_base).otherwise(F.col("base"))).alias("base_score"),
         F.sum(F.when(is_tail, F.col("n") * F.col("lattice")).otherwise(F.col("score"))).alias("score"),
+        F.sum(F.when(is_tail, F.col("n") * F.col("tail_adapted")).otherwise(F.col("adapted"))).alias("adapted_score"),
+    )
+    return out.select(
+        F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score", "adapted_score"
     )
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op8_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -156,7 +156,9 @@ def test_decontamination(spark, nothing, broadcast_rows):
     docs = docs_of(spark, rows)
     found = decontaminate.contained_items(docs, bench, broadcast_rows=broadcast_rows).collect()
     assert sorted((str(r.doc_id), r.item_id, r.shared, r.item_shingles) for r in found) == [("1", 10, 10, 10), ("3", 10, 9, 10), ("7", 10, 10, 10), ("None", 10, 10, 10)]
-    assert sorted(r.doc_id for r in decontaminate.clean_rows(docs, bench).collect()) == [2, 4, 5, 6]
+    clean = decontaminate.clean_rows(docs, bench, broadcast_rows=broadcast_rows)
+    assert sorted((r.doc_id, r.text) for r in clean.collect() if r.doc_id != 5) == [(1, rows[6][1]), (2, part), (4, None), (6, "quick brown")]
+    assert clean.columns == docs.columns and clean.filter("doc_id = 5").count() == 1
     assert decontaminate.contained_items(nothing, bench).count() == 0
     assert decontaminate.contained_items(docs, bench.filter("item_id = 0")).count() == 0
 
@@ -371,17 +373,41 @@ def test_lattice_scores(spark, head_words):
         if not held[i]:
             for w in ws:
                 counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()) + ends, len(counts) + 1
+    n, v, own = sum(counts.values()) + ends, len(counts) + 1, lattice.load_pieces()
     for i, ws in texts.items():
         base = sum(math.log10((counts.get(w, 0) + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1))
         r = out[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(ws) + 1, sum(w in counts for w in ws) + 1, n)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and r.score < 0
+        if i % 10 == 0:
+            wanted = own.log10(ws).sum() + own.end / math.log(10)
+            assert math.isclose(r.score, wanted, rel_tol=1e-9)
     shuffled = docs.withColumn("text", F.reverse("text"))
     backwards = {r.doc_id: r.score for r in lattice.lattice_scores(docs.unionByName(shuffled.withColumn("doc_id", F.col("doc_id") + 10_000)), F.col("doc_id") < 10_000, head_words=head_words).collect()}
     assert np.mean([backwards[i] > backwards[i + 10_000] for i in texts if len(texts[i]) > 20]) > 0.95
 
 
+def slow_segmentations(pieces, word):
+    """log10 of a word's probability: every segmentation by itself, those of each rest remembered."""
+    known = {b"": 1.0}
+
+    def chance(rest):
+        if rest not in known:
+            known[rest] = sum(math.exp(pieces.weights[pieces.number[rest[:n]]]) * chance(rest[n:]) for n in range(1, min(len(rest), pieces.longest) + 1) if rest[:n] in pieces.number)
+        return known[rest]
+
+    return math.log10(chance(b" " + word))
+
+
+def test_score_is_that_of_the_vocabularys_own_weights(spark):
+    texts = {1: "The  cat sat", 2: "unübersehbar 日本 " + "ab" * 40, 3: None, 4: "the the cat"}
+    own = lattice.load_pieces()
+    for train in (F.lit(True), F.lit(False), F.col("doc_id") == 4):
+        for r in lattice.lattice_scores(docs_of(spark, list(texts.items())), train).collect():
+            wanted = sum(slow_segmentations(own, w) for w in low(texts[r.doc_id]).encode().split()) - 3
+            assert math.isclose(r.score, wanted, rel_tol=1e-9)
+
+
 def test_lattice_edges(spark, edges, nothing):
     out = lattice.lattice_scores(edges, F.lit(True)).collect()
     assert len(out) == len(EDGES) and sorted(r.n_tokens for r in out)[:3] == [1, 1, 1]
@@ -394,7 +420,7 @@ def test_long_training_words_are_learned_from(spark):
     """Weights after the counting pass against brute force, with a training word of 60 bytes and more."""
     long = "abcdefghij" * 7
     docs = docs_of(spark, [(1, long), (2, "the cat"), (3, long[:63] + " cat")])
-    got = {r.doc_id: r.score for r in lattice.lattice_scores(docs, F.lit(True)).collect()}
+    got = {r.doc_id: r.adapted_score for r in lattice.lattice_scores(docs, F.lit(True)).collect()}
     start = lattice.load_pieces()
     uses = np.zeros(len(start.names))
     for w, n in ((long, 1), (long[:63], 1), ("the", 1), ("cat", 2)):
