@@ -23,7 +23,9 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^
 _HINT = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
-DROPPED = frozenset("script style title noscript template svg math iframe object select textarea button canvas audio video".split())
+#: Elements whose text isn't markup, and others that hold no text of the page.
+RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
+DROPPED = RAW | frozenset("noscript template svg math object select button canvas audio video".split())
 BLOCKS = {
     name: group
     for group, names in {
@@ -69,13 +71,14 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block-level nodes, the body first and parents before children, and the text blocks as (node, text) in page order.
 
     Inline elements belong to their block.  Any page parses: a paragraph ends where a block begins, stray end tags are
-    passed over, what is open at the end is closed.
+    passed over, what is open at the end is closed.  A dropped element goes with all that it holds; one that is never
+    closed takes no more than the text up to the next block with it, but scripts and styles the rest of the page.
     """
     nodes, blocks = [Node("body", "none", -1)], []
     stack, pieces, anchor = [0], [], False
 
     def flush() -> None:
-        text = " ".join(html.unescape("".join(t for t, _ in pieces)).split()) if pieces else ""
+        text = " ".join("".join(html.unescape(t) for t, _ in pieces).split()) if pieces else ""
         if text:
             node = nodes[stack[-1]]
             node.runs.append(len(blocks))
@@ -107,8 +110,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag = m[2].lower()
         if tag in DROPPED:
             if not m[1] and not m[3].endswith("/"):
-                over = re.compile(rf"</{re.escape(tag)}\s*>|</{re.escape(tag)}\Z", re.I).search(page, at)
-                at = over.end() if over else end
+                at = _past(page, at, tag)
             continue
         if tag == "a":
             anchor = not m[1]
@@ -131,13 +133,31 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     return nodes, blocks
 
 
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
+
+
+def _past(page: str, at: int, tag: str) -> int:
+    """Where the page goes on after a dropped element whose start tag ends at ``at``."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).finditer(page, at):
+        depth += -1 if m[1] else 0 if tag in RAW or m[0].endswith("/>") else 1
+        if not depth:
+            return m.end()
+    if tag in ("script", "style"):
+        return len(page)
+    block = _BLOCK_TAG.search(page, at)
+    return block.start() if block else len(page)
+
+
 def _hint(attributes: str) -> str:
     if not attributes:
         return "none"
     found = {w.lower() for m in _HINT.finditer(attributes) for w in _PARTS.findall(m[1] or m[2] or m[3] or "")}
     if re.search(r"\bhidden\b|display:\s*none", attributes):
         return "against"
-    return "comments" if found & COMMENTS else "against" if found & AGAINST else "for" if found & FOR else "none"
+    if found & COMMENTS:
+        return "comments"
+    return "both" if found & AGAINST and found & FOR else "against" if found & AGAINST else "for" if found & FOR else "none"
 
 
 def observed(node: Node) -> tuple[tuple[str, object], ...]:
@@ -257,6 +277,8 @@ def labelled_pages(count: int = TRAINING_PAGES, seed: int = SEED) -> list[tuple[
                 f"<blockquote{mark}>{sentences(1, 4)}</blockquote>", f"<p{mark}>{sentences(1, 3)} <a href='/y'>{words(1, 3)}</a> {sentences(1, 3)}</p>",
                 f"<table{mark}><tr{mark}><td{mark}>{words(1, 4)}</td><td{mark}>{words(1, 4)}</td></tr></table>",
             )
+            if rng.random() < 0.03:
+                body += f'<div class="{pick("text-header", "post-banner", "story meta", "content-widget", "article-header")}"{mark}>' + "".join(f"<p{mark}>{sentences(1, 6)}</p>" for _ in range(rng.randint(1, 3))) + "</div>"
             if rng.random() < 0.06:
                 body += pick(f'<div class="ad">{sentences(1, 2)}</div>', f"<aside><p>{sentences(1, 2)}</p></aside>", f'<div class="share">{links("span")}</div>')
         return body

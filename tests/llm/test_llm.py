@@ -224,6 +224,11 @@ def test_packing_tokens_are_the_tokenizers(spark, edges, nothing):
     ("<body><nav><a href=x>Home</a></nav><article><p>Text of it.</p><div class='ad'>Buy this now.</div><form><label>Name</label></form></article><footer>(c) me</footer>", "Text of it."),
     ("<article><p>First one.</p><script>if (a < b) { '</p>' }</script><style>p{}</style><!-- no --><p>Second.</p></article>", "First one.\nSecond."),
     ("<main><h2>Title</h2><p>Text here, with words.</p><section id='comments'><p>Nice post, thanks for it.</p></section></main><aside><p>More to read here.</p></aside>", "Title\nText here, with words."),
+    ("<article><p>Before.</p><button>Go<p>After the button, text goes on.</p><button>OK</button></article>", "Before.\nAfter the button, text goes on."),
+    ("<article><p>Before.</p><video src=x><select><option>one<p>After the video, text goes on.</p></article>", "Before.\nAfter the video, text goes on."),
+    ("<article><p>Text with <svg><svg><p>no</p></svg><text>no</text></svg>a drawing.</p><noscript><p>Enable it.</p></noscript></article>", "Text with a drawing."),
+    ("<article><p>The &am<b>p;</b> stays &lt<i>x</i> here.</p></article>", "The &amp; stays <x here."),
+    ("<article><h1>A title here</h1><div class='text-header'><p>Real text that opens the article, with words.</p></div><p>And more text of it here.</p></article>", "A title here\nReal text that opens the article, with words.\nAnd more text of it here."),
     ("<article><p>cut &am", "cut &am"), ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one\ntwo\na\nb"),
 ])
 def test_main_text(page, text):
@@ -260,6 +265,8 @@ def test_html_edges(spark):
     rows = spark.createDataFrame([(1, "u", None), (1, None, ""), (None, "v", "<p>" + "Long text, really. " * 20_000)], "page_id long, url string, html string").withColumn("text", F.lit("own"))
     out = {(r.page_id, r.url): r.n_chars for r in html_text.extract_text(rows).collect()}
     assert out == {(1, "u"): 0, (1, None): 0, (None, "v"): 20_000 * 19 - 1}
+    twice = html_text.extract_text(rows.unionByName(rows).withColumns({c: F.lit("own") for c in ("n_chars", "row", "id")}))
+    assert twice.count() == 6 and twice.columns == ["page_id", "url", "text", "n_chars"]
     assert html_text.extract_text(rows.filter("page_id = 5")).count() == 0
 
 
