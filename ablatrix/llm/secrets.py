@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
+from itertools import product
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import checkpointed, ship, table
+from ablatrix.llm.common import checkpointed, parts, ship, table
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -19,21 +22,27 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Shortest run that the battery tests, the false-discovery rate, and lower ends of the length classes.
-LEAST, RATE, CLASSES = 20, 0.001, (20, 24, 32, 48, 80)
+LEAST, RATE, CLASSES = 16, 0.001, (16, 20, 24, 32, 48, 80)
+#: Runs whose symbols the battery finds less uniform than this are not taken for random.
+UNIFORM = 0.01
 #: Fixed values of ordinary text: chance that two letters agree, that three do, that the character class changes from
-#: one letter to the next, and the serial correlation of vowels.
-PAIR, TRIPLE, CHANGE, VOWELS = 0.066, 0.0055, 0.06, -0.3
+#: one symbol to the next, the share of neighbours of which one is a vowel and one isn't, and the vowels' serial correlation.
+PAIR, TRIPLE, CHANGE, TURN, VOWELS = 0.066, 0.0055, 0.06, 0.65, -0.3
+#: Counts from which on tails are those of the normal distribution.
+LARGE = 1000
 #: Evidence is counted in steps of a quarter of a power of ten, up to this many.
 STEPS = 240
 
-_ALPHABETS = (
-    ("hex", re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16),
-    ("base32", re.compile(r"[A-Z2-7]+"), 32),
-    ("letters", re.compile(r"[a-z]+|[A-Z]+"), 26),
-    ("base36", re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 36),
-    ("base62", re.compile(r"[A-Za-z0-9]+"), 62),
-    ("base64", re.compile(r"[A-Za-z0-9+/_-]+"), 64),
-)
+#: Encodings from the narrowest on: pattern, number of symbols, and those of each character class.
+_ENCODINGS = {
+    "hex": (re.compile(r"[0-9a-f]+|[0-9A-F]+"), 16, (10, 6)),
+    "letters": (re.compile(r"[a-z]+|[A-Z]+"), 26, (26,)),
+    "base32": (re.compile(r"[A-Z2-7]+"), 32, (26, 6)),
+    "base36": (re.compile(r"[a-z0-9]+|[A-Z0-9]+"), 36, (26, 10)),
+    "base62": (re.compile(r"[A-Za-z0-9]+"), 62, (26, 26, 10)),
+    "base64": (re.compile(r"[A-Za-z0-9+]+"), 63, (26, 26, 10, 1)),
+}
+_VOWELS = frozenset("aeiouyAEIOUY")
 
 
 def _lower_tail(z: float) -> float:
@@ -41,48 +50,93 @@ def _lower_tail(z: float) -> float:
 
 
 def _at_least(k: int, n: int, p: float) -> float:
-    """P(X >= k), X binomial."""
+    """P(X >= k), X binomial; by the normal distribution where n is large."""
     if k <= 0:
         return 1.0
+    if n > LARGE:
+        return _lower_tail((n * p - k + 0.5) / math.sqrt(n * p * (1 - p)))
     total, term = 0.0, math.lgamma(n + 1)
     for i in range(k, n + 1):
         total += math.exp(term - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p))
     return min(max(total, 1e-30), 1.0)
 
 
-def battery(run: str) -> float:
-    """p-value of the hypothesis that a run is ordinary text, from three tests that uniform random symbols pass.
+def _at_most(k: int, n: int, p: float) -> float:
+    return _at_least(n - k, n, 1 - p)
 
-    * chi-squared uniformity over the inferred alphabet, against the agreement of letters in text;
-    * runs of one character class: text changes class seldom;
-    * serial correlation: in text vowels and consonants alternate.
-    Fisher's method combines them.  Separators and padding are left out; digits alone give 1.
+
+def _many(k: int, mean: float) -> float:
+    """P(X >= k), X Poisson; by the normal distribution where the mean is large."""
+    if k <= 0:
+        return 1.0
+    if k > LARGE:
+        return _lower_tail((mean - k + 0.5) / math.sqrt(mean))
+    below = sum(math.exp(i * math.log(mean) - mean - math.lgamma(i + 1)) for i in range(k))
+    return min(max(1 - below, 1e-30), 1.0)
+
+
+def _fisher(*chances: float) -> float:
+    """Fisher's combination of three p-values."""
+    half = -sum(map(math.log, chances))
+    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
+
+
+def _kinds(body: str | list[str]) -> list[str]:
+    """The class of each symbol; a capital before a small letter begins a word and counts as one."""
+    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in body]
+    return ["l" if a == "u" and b == "l" else a for a, b in zip(kinds, [*kinds[1:], ""])]
+
+
+@cache
+def _change(classes: tuple[int, ...]) -> float:
+    """The chance that the class changes from one uniform symbol to the next, given the number of symbols of each class."""
+    size, symbols = sum(classes), "aA0+" if len(classes) > 2 else "a0"
+    return sum(
+        x * y * z / size**3
+        for (x, a), (y, b), (z, c) in product(zip(classes, symbols), repeat=3)
+        if len(set(_kinds([a, b, c])[:2])) > 1
+    )
+
+
+def battery(run: str) -> tuple[str, float, float]:
+    """(encoding, p-value of uniform random symbols, p-value of ordinary text) of a run, by three statistics.
+
+    * agreeing pairs of symbols, which is the chi-squared statistic of uniformity over the inferred encoding's alphabet;
+    * runs of one character class; of vowels or consonants where the encoding has one class alone;
+    * serial correlation of vowels.
+    Each is held against what uniform symbols of the encoding give, and against what text gives: text has more agreeing
+    pairs, seldom changes class, and alternates vowels with consonants.  Fisher's method combines the three.  Separators
+    and padding are left out.  Digits alone look as a number does: they give 1 for text.
     """
     body = re.sub(r"[-_=/]", "", run)
     n = len(body)
     if n < LEAST or body.isdigit():
-        return 1.0
-    size = next(a for _, pattern, a in _ALPHABETS if pattern.fullmatch(body))
-    counts: dict[str, int] = {}
-    for c in body:
-        counts[c] = counts.get(c, 0) + 1
-    chi = size / n * sum(f * f for f in counts.values()) - n
-    share = max(PAIR, 1.5 / size)  # of agreeing pairs in text of this alphabet
-    mean = size * share * (n - 1) + size - n
-    pairs = n * (n - 1) / 2
-    var = pairs * share * (1 - share) + n * (n - 1) * (n - 2) * max(TRIPLE - PAIR * PAIR, 0)
-    p_uniform = _lower_tail((chi - mean) / (2 * size / n * math.sqrt(var)))
-    kind = ["l" if c.islower() else "u" if c.isupper() else "d" for c in body]
-    p_runs = _at_least(sum(a != b for a, b in zip(kind, kind[1:])), n - 1, CHANGE)
-    x = [c in "aeiouyAEIOUY" for c in body]
-    m = sum(x) / n
-    if 0 < m < 1:
-        r = sum((a - m) * (b - m) for a, b in zip(x, x[1:])) / (n * m * (1 - m))
-        p_serial = _lower_tail(-(r - VOWELS) * math.sqrt(n))
+        return "digits" if body.isdigit() else "short", 1.0, 1.0
+    name, (_, size, classes) = next((name, e) for name, e in _ENCODINGS.items() if e[0].fullmatch(body))
+    pairs = sum(f * (f - 1) for f in Counter(body).values()) // 2
+    every = n * (n - 1) / 2
+    vowels = [c in _VOWELS for c in body]
+    m = sum(vowels) / n
+    r = sum((a - m) * (b - m) for a, b in zip(vowels, vowels[1:])) / (n * m * (1 - m)) if 0 < m < 1 else None
+    if len(classes) > 1:
+        kinds, change = _kinds(body), _change(classes)
     else:
-        p_serial = 0.5
-    half = -math.log(p_uniform) - math.log(p_runs) - math.log(p_serial)
-    return min(1.0, math.exp(-half) * (1 + half + half * half / 2))
+        kinds, change = vowels, 2 * (6 / 26) * (20 / 26)
+    changes = sum(a != b for a, b in zip(kinds, kinds[1:]))
+
+    uniform = _fisher(
+        _many(pairs, every / size),
+        min(1.0, 2 * min(_at_least(changes, n - 1, change), _at_most(changes, n - 1, change))),
+        2 * _lower_tail(-abs(r) * math.sqrt(n)) if r is not None else 1.0,
+    )
+    share = max(PAIR, 1.5 / size)  # of agreeing pairs in text of this alphabet
+    spread = every * share * (1 - share) + n * (n - 1) * (n - 2) * max(TRIPLE - PAIR * PAIR, 0)
+    text = _fisher(
+        _lower_tail((pairs - every * share) / math.sqrt(spread)),
+        _at_least(changes, n - 1, CHANGE) if len(classes) > 1 else _at_most(changes, n - 1, TURN),
+        _lower_tail(-(r - VOWELS) * math.sqrt(n)) if r is not None else 0.5,
+    )
+    return name, uniform, text
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -97,22 +151,20 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, length class, steps of evidence) of each run that overlaps no span in taken."""
+    """(start, end, length class, steps of evidence) of each run, or of what the spans in taken leave of it."""
     out, at = [], 0
     for chunk in text.split():
         if len(chunk) < LEAST:
             continue
         at = text.find(chunk, at)
         for m in RUN.finditer(chunk):
-            start, end = at + m.start(), at + m.end()
-            if end - start < LEAST or any(s < end and start < e for s, _, e in taken):
-                continue
-            p = battery(m[0])
-            if p < 1:
-                length = sum(end - start >= low for low in CLASSES) - 1
-                out.append((start, end, length, min(STEPS, int(-4 * math.log10(max(p, 1e-60))))))
-            else:
-                out.append((start, end, sum(end - start >= low for low in CLASSES) - 1, 0))
+            begin, close = at + m.start(), at + m.end()
+            inside = [(s, e) for s, _, e in taken if s < close and begin < e]
+            for start, end in zip([begin, *(e for _, e in inside)], [*(s for s, _ in inside), close]):
+                if end - start >= LEAST:
+                    _, uniform, p = battery(text[start:end])
+                    steps = min(STEPS, int(-4 * math.log10(max(p, 1e-60)))) if uniform >= UNIFORM else 0
+                    out.append((start, end, sum(end - start >= low for low in CLASSES) - 1, steps))
         at += len(chunk)
     return out
 
@@ -128,7 +180,7 @@ _RUN = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("length", pa.int3
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         base, runs = [], []
-        for text in batch.column("body").to_pylist():
+        for text in (t for some in parts(batch.column("body")) for t in some):
             base.append(base_spans(text or ""))
             runs.append(candidates(text or "", base[-1]))
         count = lambda k: pa.array([sum(s[1] == k for s in x) for x in base], pa.int64())
@@ -160,12 +212,14 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float) -> dict[int, int
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = RATE) -> DataFrame:
     """Secrets in every whole text: assignments, access keys, hexadecimal runs, and runs that look random.
 
-    Runs of 20 or more base64 or URL-safe symbols outside the fixed patterns' spans go through battery().  Their evidence
-    is counted over all documents by length class, in STEPS steps each, and Benjamini-Hochberg sets each class's
-    threshold: only those counts, of bounded number, reach the driver.
+    Runs of LEAST or more base64 or URL-safe symbols outside the fixed patterns' spans go through battery().  Those that
+    it finds uniform over their encoding are random unless they may be text.  That evidence is counted over all documents
+    by length class, in STEPS steps each, and Benjamini-Hochberg sets each class's threshold: only those counts, of bounded
+    number, reach the driver.
 
     Returns id, n_assign, n_access, n_hex, base_sha256, spans, and found, an array of (kind, start, end) in code points.
-    Null text counts as empty; ids may be null or repeat, each row gives one row; an empty table gives an empty result.
+    Null text counts as empty; ids may be null or repeat, each row gives one row; texts of any length are read whole; an
+    empty table gives an empty result; other columns play no part.
     """
     ship(docs.sparkSession)
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"))
