@@ -169,3 +169,8 @@ def decision_counts(decisions: DataFrame) -> DataFrame:
     """Decisions by component, operation, outcome and the last part of the reason."""
     reason = F.element_at(F.split("reason", ":"), -1)
     return decisions.groupBy("component_id", "operation", "outcome", reason.alias("reason")).agg(F.count("*").alias("n"))
+
+
+def first_repetition(rows: DataFrame) -> DataFrame:
+    """Each item once: the rows of repetition 0, by which items are grouped."""
+    return rows.filter(F.col("repetition") == 0)

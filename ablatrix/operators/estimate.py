@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -49,25 +50,36 @@ def fit_summary(points: DataFrame, keys: Sequence[str], base: str, x: str = "x",
     return fitted.groupBy(*keys).agg(F.max("leverage").alias("max_leverage"), F.count_if(impossible).alias("predictions_outside_possible_damage_bounds"))
 
 
+def pooled(values: Sequence[float], weights: Sequence[float]) -> list[float]:
+    """The nondecreasing least-squares fit: adjacent violators are pooled, each value once."""
+    blocks: list[tuple[float, float, int]] = []  # (sum, weight, values)
+    for total, weight in zip(values, weights):
+        size = 1
+        while blocks and blocks[-1][0] * weight >= total * blocks[-1][1]:
+            total, weight, size = total + blocks[-1][0], weight + blocks[-1][1], size + blocks[-1][2]
+            blocks.pop()
+        blocks.append((total, weight, size))
+    return [total / weight for total, weight, size in blocks for _ in range(size)]
+
+
 def isotonic(points: DataFrame, keys: Sequence[str], x: str = "x", y: str = "y", tolerance: float = 1e-12) -> DataFrame:
     """points with fitted, the nondecreasing least-squares fit, and isotonic_residual.
 
-    Points whose x lies within the tolerance of the one before are one point of their mean.  The fit at i is the
-    largest, over starts a <= i, of the least mean over a..b, b >= i.  A group is one metric's layers, so its intervals
-    are few; both extremes are taken in one window pass each.
+    Points whose x lies within the tolerance of the one before are one point of their mean.  A group's distinct x, one
+    metric's layers, are in one task, which goes over them once.
     """
     by_x = Window.partitionBy(*keys).orderBy(x)
     new = F.coalesce(F.col(x) - F.lag(x).over(by_x) > tolerance, F.lit(True))
     tied = points.withColumn("_step", F.sum(new.cast("int")).over(by_x.rangeBetween(Window.unboundedPreceding, 0)))
-    steps = tied.groupBy(*keys, "_step").agg(F.sum(y).alias("_y"), F.count("*").alias("_w"))
-    so_far = Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0)
-    sums = steps.withColumn("_sum", F.sum("_y").over(so_far)).withColumn("_count", F.sum("_w").over(so_far))
-    starts = sums.select(*keys, F.col("_step").alias("a"), (F.col("_sum") - F.col("_y")).alias("_sum0"), (F.col("_count") - F.col("_w")).alias("_count0"))
-    ends = sums.select(*keys, F.col("_step").alias("b"), "_sum", "_count")
-    spans = starts.join(ends, list(keys)).filter("b >= a").withColumn("mean", (F.col("_sum") - F.col("_sum0")) / (F.col("_count") - F.col("_count0")))
-    least = F.min("mean").over(Window.partitionBy(*keys, "a").orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    fit = spans.withColumn("m", least).groupBy(*keys, F.col("b").alias("_step")).agg(F.max("m").alias("fitted"))
-    return tied.join(fit, [*keys, "_step"]).drop("_step").withColumn("isotonic_residual", F.col(y) - F.col("fitted"))
+    steps = tied.groupBy(*keys, "_step").agg(F.sum(y).cast("double").alias("_y"), F.count("*").cast("double").alias("_w"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in steps.schema if f.name in {*keys, "_step"})
+
+    def fit(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("_step")
+        return group[[*keys, "_step"]].assign(fitted=pooled(group["_y"].tolist(), group["_w"].tolist()))
+
+    fitted = steps.groupBy(*keys).applyInPandas(fit, f"{kinds}, fitted double")
+    return tied.join(fitted, [*keys, "_step"]).drop("_step").withColumn("isotonic_residual", F.col(y) - F.col("fitted"))
 
 
 def pearson(rows: DataFrame, keys: Sequence[str], a: str, b: str, name: str = "r") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +17,29 @@ def average_rank(rows: DataFrame, keys: Sequence[str], value: str, name: str = "
     return rows.withColumn(name, place + (ties - 1) / F.lit(2.0))
 
 
+def anchors(values: Sequence[float], tolerance: float, strict: bool) -> list[float]:
+    """The first value of each one's run, of values in order: a run goes on while they are within the tolerance of its first."""
+    out: list[float] = []
+    for v in values:
+        near = out and (v - out[-1] < tolerance if strict else v - out[-1] <= tolerance)
+        out.append(out[-1] if near else v)
+    return out
+
+
 def average_rank_within(rows: DataFrame, keys: Sequence[str], value: str, tolerance: float = 1e-12, strict: bool = False, name: str = "rank") -> DataFrame:
     """average_rank() where values tie with the first of their run within a tolerance (strict: below it).
 
-    A run's first value anchors it, which no window frame can say, so each group's distinct values, in order, are folded
-    once; a group is one metric's layers.  The fold's result is joined back by value.
+    A run's first value anchors it, which no window frame can say.  A group's distinct values, one metric's layers, are in
+    one task, which goes over them once; the anchors are joined back by value.
     """
-    distinct = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    ordered = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(value).alias("v"), F.col("_n").alias("n")))).alias("_s"))
-    start = F.array().cast("array<struct<v:double,n:bigint,anchor:double>>")
+    distinct = rows.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.schema)
 
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))["anchor"]
-        near = (x["v"] - last < tolerance) if strict else (x["v"] - last <= tolerance)
-        anchor = F.when(F.coalesce(near, F.lit(False)), last).otherwise(x["v"])
-        return F.concat(done, F.array(F.struct(x["v"].alias("v"), x["n"].alias("n"), anchor.alias("anchor"))))
+    def anchored(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(value)
+        return group.assign(anchor=[float(a) for a in anchors(group[value].tolist(), tolerance, strict)])
 
-    folded = ordered.select(*keys, F.explode(F.aggregate("_s", start, step)).alias("x")).select(*keys, F.col("x.v").alias(value), "x.n", "x.anchor")
+    folded = distinct.groupBy(*keys).applyInPandas(anchored, f"{kinds}, anchor double")
     runs = folded.groupBy(*keys, "anchor").agg(F.sum("n").alias("run"))
     before = F.coalesce(F.sum("run").over(Window.partitionBy(*keys).orderBy("anchor").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = runs.withColumn(name, before + (F.col("run") + 1) / F.lit(2.0)).select(*keys, "anchor", name)

@@ -57,6 +57,27 @@ def graph_violations(nodes: DataFrame, graph: str, node: str, parent: str) -> Da
     return again.unionByName(lost).unionByName(roots.select(graph, F.lit(None).cast(nodes.schema[node].dataType).alias("node"), F.lit("not_one_root").alias("reason")))
 
 
+def topology_violations(components: DataFrame, model: str, component: str, parent: str, order: str) -> DataFrame:
+    """By model: ids that repeat, parents that don't exist, orders below zero, and components that reach no root.
+
+    The hierarchy is held as one graph whose nodes are (model, component); a component whose ancestors end in a missing
+    parent or go round reaches none.
+    """
+    of = [F.col(model).alias("model"), F.col(component).alias("component")]
+    again = components.groupBy(model, component).agg(F.count("*").alias("n")).filter("n > 1").select(*of, F.lit("component_duplicated").alias("reason"))
+    negative = components.filter(F.col(order) < 0).select(*of, F.lit("order_negative").alias("reason"))
+    known = components.select(F.col(model).alias("m"), F.col(component).alias("c")).distinct()
+    lost = components.filter(F.col(parent).isNotNull()).join(known, (F.col(model) == F.col("m")) & (F.col(parent) == F.col("c")), "left_anti")
+    lost = lost.select(*of, F.lit("parent_missing").alias("reason"))
+    nodes = components.select(
+        *of, F.to_json(F.struct(F.col(model).alias("m"), F.col(component).alias("c"))).alias("node"),
+        F.when(F.col(parent).isNotNull(), F.to_json(F.struct(F.col(model).alias("m"), F.col(parent).alias("c")))).alias("above"),
+    ).dropDuplicates(["node"])
+    rootless = reach_roots(nodes, "node", "above").filter("root IS NULL").select("node")
+    rootless = nodes.join(rootless, "node").select("model", "component", F.lit("no_root_above").alias("reason"))
+    return again.unionByName(negative).unionByName(lost).unionByName(rootless)
+
+
 def hook_balance(counters: DataFrame, segment: str) -> DataFrame:
     """Segments in which hooks were left active or a clean-up failed: counters are rows (segment, kind, value)."""
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("value")).otherwise(0))

@@ -85,6 +85,30 @@ def order_difference(stored: DataFrame, derived: DataFrame, key: str, ordinal: s
     return violation(both.filter(~F.col("a").eqNullSafe(F.col("b"))), "execution_order", F.col(key), F.col("b"), F.col("a"))
 
 
+def headlines(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """Recorded headline numbers, each with its own tolerance, against those found: (headline, value, tolerance) and (headline, value).
+
+    A headline that wasn't found, or was never recorded, is a violation too.
+    """
+    both = recorded.select("headline", F.struct("value", "tolerance").alias("a")).join(found.select("headline", F.struct("value").alias("b")), "headline", "full")
+    near = F.abs(F.col("a.value") - F.col("b.value")) <= F.col("a.tolerance")
+    rule = F.when(F.col("a").isNull(), "headline_unrecorded").when(F.col("b").isNull(), "headline_missing").when(~F.coalesce(near, F.lit(False)), "headline_differs")
+    marked = both.withColumn("rule", rule).filter("rule IS NOT NULL")
+    return marked.select("rule", F.col("headline").alias("key"), F.col("a.value").cast("string").alias("expected"), F.col("b.value").cast("string").alias("actual"))
+
+
+def band_violations(stored: DataFrame, cells: Sequence[str], tolerance: float = 1e-12) -> DataFrame:
+    """Cells of a stored band (point, se, critical, low, high) whose ends aren't point -+ critical * se."""
+    key = F.concat_ws("/", *(F.col(c).cast("string") for c in cells))
+    found = []
+    for end, sign in (("low", -1), ("high", 1)):
+        wanted = F.col("point") + sign * F.col("critical") * F.col("se")
+        off = ~F.coalesce(close(F.col(end), wanted, 0.0, tolerance), F.lit(False))
+        found.append(F.when(off, F.struct(F.lit(f"band_{end}").alias("rule"), wanted.alias("wanted"), F.col(end).alias("stored"))))
+    rows = stored.select(key.alias("key"), F.explode(F.array_compact(F.array(*found))).alias("v"))
+    return rows.select("v.rule", "key", F.col("v.wanted").cast("string").alias("expected"), F.col("v.stored").cast("string").alias("actual"))
+
+
 def union_violations(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

@@ -245,6 +245,37 @@ ORACLES = {
     "format_prefix_score": "SELECT conv_id, turn, (starts_with(coalesce(text, ''), 'The') AND NOT contains(coalesce(text, ''), chr(10)))::INT::DOUBLE AS score FROM conversations",
     "json_key_order": """WITH p AS (SELECT event_id, CASE WHEN event_id % 3 = 0 THEN replace(props, '}', ', "j": 1}') WHEN event_id % 5 = 0 THEN '[1]' ELSE props END AS props FROM events)
         SELECT event_id, (json_type(props) = 'OBJECT' AND json_keys(props) = ['k'])::INT::DOUBLE AS score FROM p""",
+    "typed_answers": """WITH r AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN chr(9) || event_id % 50 || chr(10) WHEN 1 THEN '-' || event_id % 50 ELSE (event_id % 50)::VARCHAR END AS o FROM events)
+        SELECT event_id, (event_id % 11 <> 0 AND regexp_replace(o, '^\\s+|\\s+$', '', 'g') IN ((event_id * 7 % 50)::VARCHAR, '7'))::INT::DOUBLE AS score FROM r""",
+    "tool_argument_scores": """WITH r AS (SELECT event_id AS e, event_id, event_id % 17 <> 0 AS called FROM events), s AS (
+        SELECT event_id, called AND e % 4 <> 3 AS named, called AND e % 13 <> 0 AND e % 5 IN (1, 2) AND (e % 3 = 0 OR e % 2 = 0) AS bound FROM r)
+        SELECT event_id, named::INT::DOUBLE AS tool_selection, bound::INT::DOUBLE AS argument_binding, (named AND bound)::INT::DOUBLE AS full_call FROM s""",
+    "matched_calls": """WITH r AS (SELECT event_id, event_id % 19 = 0 AS bad, event_id % 5 = 0 AS nothing, event_id % 4 AS k, event_id % 3 = 1 AS same FROM events)
+        SELECT event_id, CASE WHEN bad THEN 'error' ELSE 'complete' END AS status,
+          CASE WHEN NOT bad AND NOT nothing THEN (k = 1)::INT::DOUBLE END AS tool_selection, CASE WHEN NOT bad AND NOT nothing THEN (k = 1 AND same)::INT::DOUBLE END AS full_call,
+          CASE WHEN NOT bad AND NOT nothing AND k IN (1, 2) THEN same::INT::DOUBLE END AS argument_binding, CASE WHEN NOT bad AND nothing THEN (k = 0)::INT::DOUBLE END AS abstention FROM r""",
+    "abstention_decisions": """SELECT event_id, CASE WHEN event_id % 8 IN (2, 3) THEN 1.0 ELSE 0.0 END::DOUBLE AS value, 'abstention_' || CASE event_id % 8 WHEN 0 THEN 'empty_or_invalid_type'
+        WHEN 1 THEN 'empty_or_invalid_type' WHEN 2 THEN 'explicit_form' WHEN 3 THEN 'empty_call_list' WHEN 4 THEN 'tool_invocation' WHEN 5 THEN 'unrecognized_or_malformed'
+        WHEN 6 THEN 'unrecognized_or_malformed' ELSE CASE WHEN json_type(props) = 'OBJECT' THEN 'tool_invocation' ELSE 'unrecognized_or_malformed' END END AS reason FROM events""",
+    "format_scores": """SELECT event_id, ['json_keys', 'ordered_list', 'exact_prefix', 'case_transform'][event_id % 4 + 1] AS kind,
+        (CASE event_id % 4 WHEN 1 THEN event_id % 3 <> 2 ELSE event_id % 3 <> 0 END)::INT::DOUBLE AS score FROM events""",
+    "pending_after_commit": """SELECT DISTINCT user_id AS id FROM events WHERE user_id NOT IN (
+        SELECT user_id FROM events WHERE event_type = 'purchase' AND event_id % 5 = 0 AND event_id % 3 <> 0)""",
+    "first_repetitions": f"WITH {OBS} SELECT cond, split, example_id, group_id, event_id FROM obs WHERE repetition = 0",
+    "headline_check": """SELECT CASE c_mktsegment WHEN 'BUILDING' THEN 'headline_differs' WHEN 'MACHINERY' THEN 'headline_unrecorded' ELSE 'headline_missing' END AS rule, c_mktsegment AS key
+        FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY', 'FURNITURE') GROUP BY ALL""",
+    "band_check": """SELECT 'band_low' AS rule, user_id::VARCHAR AS key FROM events WHERE user_id % 7 = 0 GROUP BY ALL
+        UNION ALL SELECT 'band_high', user_id::VARCHAR FROM events WHERE user_id % 11 = 0 GROUP BY ALL""",
+    "topology_check": """WITH RECURSIVE one AS (
+        SELECT conv_id AS model, turn AS component, CASE WHEN turn > 0 THEN turn - 1 WHEN conv_id % 11 = 0 THEN 1 END AS above, conv_id % 17 = 0 AND turn = 0 AS below
+        FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 1)
+      ), r AS (SELECT * FROM one UNION ALL SELECT * FROM one WHERE model % 13 = 0 AND component = 2), reached AS (
+        SELECT model, component FROM one WHERE above IS NULL UNION SELECT o.model, o.component FROM one o JOIN reached p ON p.model = o.model AND p.component = o.above
+      )
+      SELECT model, component, 'component_duplicated' AS reason FROM r GROUP BY ALL HAVING count(*) > 1
+      UNION ALL SELECT model, component, 'order_negative' FROM r WHERE below
+      UNION ALL SELECT model, component, 'parent_missing' FROM r WHERE above IS NOT NULL AND NOT EXISTS (SELECT 1 FROM one p WHERE p.model = r.model AND p.component = r.above)
+      UNION ALL SELECT model, component, 'no_root_above' FROM (SELECT DISTINCT model, component FROM one) o WHERE NOT EXISTS (SELECT 1 FROM reached p WHERE p.model = o.model AND p.component = o.component)""",
     "exact_match_score": """WITH r AS (SELECT lang, CASE WHEN length(d.text) % 5 = 0 THEN 1.0 WHEN regexp_replace(d.text, '^\\s+|\\s+$', '', 'g') = b.text THEN 1.0 ELSE 0.0 END AS v FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)
         SELECT lang, sum(v)::DOUBLE AS numerator, count(*) AS denominator, round(sum(v)::DOUBLE / count(*), 6) AS value FROM r GROUP BY ALL""",
     "synthetic_scan": """SELECT cond, lang, round(avg(CASE WHEN cond = 'scan.component.damage' THEN (text = 'damaged')::INT ELSE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') = text)::INT END), 6) AS value, count(*) AS records

@@ -6,8 +6,9 @@ import math
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ablatrix import schemas
 from ablatrix.errors import InvalidConfiguration, InvalidEvidence
@@ -28,28 +29,43 @@ def matched_random(ids: Sequence[str], count: int, seed: int) -> list[str]:
     return random.Random(seed).sample(list(ids), count)
 
 
+#: Fixed values of the published protocol: what surrounds the scans, as (place, id, stage, condition, position).
+SURROUND = (
+    (0.0, "baseline.beginning", "baseline", "baseline", "beginning"),
+    (1.0, "control.no-op", "control", "no_op", None),
+    (5.0, "baseline.end", "baseline", "baseline", "end"),
+)
+
+
 def campaign_tasks(components: Sequence[str], seed: int, *, matched: int, middle: float = 0.5, no_op: bool = True) -> list[tuple]:
-    """Baseline, no-op, a scan of each component with a baseline in the middle, matched controls, baseline."""
-    if not components or len(set(components)) < len(components):
-        raise InvalidEvidence("component_plan_invalid")
-    if not 0 < middle < 1:
-        raise InvalidConfiguration("middle_control_placement_invalid")
-    if not 0 <= matched <= len(components):
-        raise InvalidConfiguration("matched_control_count_invalid")
-    halfway = min(len(components) - 1, max(1, math.ceil(len(components) * middle)))
-    scans = [(f"scan.{c}", "scan", "bypass", c, None) for c in components]
-    tasks = [("baseline.beginning", "baseline", "baseline", None, "beginning")]
-    tasks += [("control.no-op", "control", "no_op", None, None)] if no_op else []
-    tasks += [*scans[:halfway], ("baseline.middle", "baseline", "baseline", None, "middle"), *scans[halfway:]]
-    tasks += [(f"control.random.{c}", "control", "matched_random", c, None) for c in matched_random(components, matched, seed)]
-    tasks.append(("baseline.end", "baseline", "baseline", None, "end"))
-    if len({t[0] for t in tasks}) < len(tasks):
-        raise InvalidEvidence("campaign_task_duplicated")
-    return [(i, *t) for i, t in enumerate(tasks)]
+    """(place, id, stage, condition, component, position) of each task, in no order: the places tell it.
+
+    Scans take the places from 2 to 3, by component, the middle baseline one between two of these; matched controls those
+    from 4 to 5, as drawn.
+    """
+    n = len(components)
+    for refused, error in (
+        (n == 0 or n != len(set(components)), InvalidEvidence("component_plan_invalid")),
+        (not 0.0 < middle < 1.0, InvalidConfiguration("middle_control_placement_invalid")),
+        (matched not in range(n + 1), InvalidConfiguration("matched_control_count_invalid")),
+    ):
+        if refused:
+            raise error
+    between = min(max(math.ceil(n * middle), 1), n - 1)
+    tasks = {id: (place, id, stage, condition, None, at) for place, id, stage, condition, at in SURROUND if no_op or condition != "no_op"}
+    tasks["baseline.middle"] = (2 + (between - 0.5) / n, "baseline.middle", "baseline", "baseline", None, "middle")
+    tasks |= {f"scan.{c}": (2 + i / n, f"scan.{c}", "scan", "bypass", c, None) for i, c in enumerate(components)}
+    drawn = matched_random(components, matched, seed)
+    tasks |= {f"control.random.{c}": (4 + i / n, f"control.random.{c}", "control", "matched_random", c, None) for i, c in enumerate(drawn)}
+    return list(tasks.values())
 
 
 def campaign_plan(spark: SparkSession, components: Sequence[str], seed: int, **options) -> DataFrame:
-    return spark.createDataFrame(campaign_tasks(components, seed, **options), schemas.TASK)
+    """The campaign's tasks as schemas.TASK, numbered by their places; a task a component, so one window holds them."""
+    fields = [f for f in schemas.TASK.fields if f.name != "ordinal"]
+    rows = spark.createDataFrame(campaign_tasks(components, seed, **options), T.StructType([T.StructField("place", schemas.REAL), *fields]))
+    ordinal = (F.row_number().over(Window.orderBy("place")) - 1).cast("int")
+    return rows.select(ordinal.alias("ordinal"), *(f.name for f in fields))
 
 
 def generic_plan(spark: SparkSession, components: Sequence[str]) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ablatrix.checkpoints import checkpointed
 from ablatrix.functions.expressions import material
+from ablatrix.functions import scoring
 from ablatrix.functions.scoring import exact_prefix, json_keys_in_order, tagged_calls, text_match
 from ablatrix.operators import aggregate, compare, decide, estimate, rank, resample, sets, trace, verify
 from ablatrix.operators.decide import RULE
@@ -17,7 +18,7 @@ from ablatrix.plans import campaign
 from ablatrix.plans.run import synthetic_scan as run_synthetic_scan
 from ablatrix.sources import views
 from ablatrix.sources.views import cells, metric_dim, obs, obs_scores, table
-from ablatrix.streaming.resume import retries
+from ablatrix.streaming.resume import pending_tasks, retries
 
 DRAWS, ITEMS, DOCS = 200, 20, 5
 #: Draws of the reference's own bootstrap, which no SQL can repeat.
@@ -482,6 +483,60 @@ def json_key_order(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select("event_id", json_keys_in_order(props, F.array(F.lit("k"))).alias("score"))
 
 
+def typed_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers as texts, some with white space around them or a sign before, against two texts or, at times, two numbers."""
+    e = F.col("event_id")
+    number = (e % 50).cast("string")
+    output = F.when(e % 5 == 0, F.concat(F.lit(" \t"), number, F.lit("\n"))).when(e % 5 == 1, F.concat(F.lit("-"), number)).otherwise(number)
+    options = F.array((e * 7 % 50).cast("string"), F.lit("7"))
+    expected = F.when(e % 11 == 0, F.to_json(options.cast("array<int>"))).otherwise(F.to_json(options))
+    return table(spark, sf, "events").select("event_id", scoring.typed_match(output, expected).alias("score"))
+
+
+def tool_argument_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """One call by event, tagged or in a list, with an optional argument, at times one too many, and at times no call at all."""
+    e = F.col("event_id")
+    unit = F.when(e % 3 != 0, F.when(e % 2 == 0, "C").otherwise("F"))
+    arguments = F.struct((e % 5).alias("x"), unit.alias("unit"), F.when(e % 13 == 0, 1).alias("z"))
+    call = F.to_json(F.struct(F.when(e % 4 == 3, "g").otherwise("f").alias("name"), arguments.alias("arguments")))
+    output = F.when(e % 17 == 0, "no call").when(e % 7 == 0, F.concat(F.lit("<tool_call> "), call, F.lit("</tool_call>"))).otherwise(F.concat(F.lit("["), call, F.lit("]")))
+    expected, rules = F.lit('[{"f": {"x": [1, 2.0], "unit": ["C", ""]}}]'), F.lit('{"argument_names": ["x", "unit"], "required": ["x"]}')
+    return table(spark, sf, "events").select("event_id", scoring.tool_scores(output, expected, rules).alias("s")).select("event_id", "s.*")
+
+
+def matched_calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Lists of up to two calls against one call or none: each metric over its own population, null outside it."""
+    e = F.col("event_id")
+    f = F.concat(F.lit('{"name": "f", "arguments": {"x": '), (e % 3).cast("string"), F.lit("}}"))
+    g = F.lit('{"name": "g", "arguments": {}}')
+    output = F.when(e % 19 == 0, "nonsense").when(e % 4 == 0, "[]").when(e % 4 == 1, F.concat(F.lit("["), f, F.lit("]"))).when(e % 4 == 2, F.concat(F.lit("["), g, F.lit(","), f, F.lit("]"))).otherwise(F.concat(F.lit("["), g, F.lit("]")))
+    expected = F.when(e % 5 == 0, "[]").otherwise('[{"name": "f", "arguments": {"x": 1}}]')
+    found = table(spark, sf, "events").select("event_id", scoring.matched_call_scores(output, expected).alias("s"))
+    return found.select("event_id", "s.status", *(F.try_element_at("s.scores", F.lit(m))["value"].alias(m) for m in ("tool_selection", "full_call", "argument_binding", "abstention")))
+
+
+def abstention_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    e = F.col("event_id") % 8
+    output = (
+        F.when(e == 1, "  \n").when(e == 2, " No applicable TOOL. ").when(e == 3, " [] ").when(e == 4, '[{"name": "f", "arguments": {}}]').when(e == 5, "No applicable tool. But f.")
+        .when(e == 6, F.col("props")).when(e == 7, F.concat(F.lit('<tool_call>{"name": "f", "arguments": '), "props", F.lit("}</tool_call>")))
+    )
+    return table(spark, sf, "events").select("event_id", scoring.abstention(output).alias("s")).select("event_id", "s.value", "s.reason")
+
+
+def format_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """The four format contracts, each met by some outputs and missed by others."""
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*map(F.lit, ("json_keys", "ordered_list", "exact_prefix", "case_transform"))), (e % 4 + 1).cast("int"))
+    output = (
+        F.when(e % 4 == 0, F.when(e % 3 == 0, '{"b": 1, "a": 2}').otherwise('{"a": 1, "b": 2}'))
+        .when(e % 4 == 1, F.concat(F.lit("1. a\n2. "), F.when(e % 3 == 0, "b").when(e % 3 == 1, "b\n").otherwise("a")))
+        .otherwise(F.concat(F.upper("event_type"), F.when(e % 3 == 0, "\n").otherwise("")))
+    )
+    value = F.when(e % 4 == 2, F.upper(F.substring("event_type", 1, 2))).otherwise(F.upper("event_type"))
+    return table(spark, sf, "events").select("event_id", kind.alias("kind"), scoring.format_score(output, kind, value, F.array(F.lit("a"), F.lit("b"))).alias("score"))
+
+
 def exact_match_score(spark: SparkSession, sf: str) -> DataFrame:
     """Benchmark items against documents dealt to them by number."""
     docs = table(spark, sf, "documents").select((F.col("doc_id") % 40).alias("item_id"), F.col("lang"), F.coalesce("text", F.lit("")).alias("output"))
@@ -503,6 +558,46 @@ def resume_pending_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return trace.uncommitted(plan, done, "user_id")
 
 
+def pending_after_commit(spark: SparkSession, sf: str) -> DataFrame:
+    """Users as tasks; some of their purchases are commit markers, some of these of an older configuration."""
+    rows = table(spark, sf, "events")
+    plan = rows.select(F.col("user_id").alias("id")).distinct()
+    digest = F.when(F.col("event_id") % 3 == 0, "old").otherwise("now")
+    markers = rows.filter("event_type = 'purchase' AND event_id % 5 = 0").select(F.col("user_id").alias("task"), digest.alias("configuration_sha256"), F.lit("v1").alias("compatibility_sha256"))
+    return pending_tasks(plan, markers, "now", "v1")
+
+
+def first_repetitions(spark: SparkSession, sf: str) -> DataFrame:
+    return aggregate.first_repetition(obs(spark, sf)).select("cond", "split", "example_id", "group_id", "event_id")
+
+
+def headline_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean balances by segment, of which one was recorded wrongly, one isn't found any more, and one never was recorded."""
+    found = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("headline")).agg(F.avg("c_acctbal").alias("value"))
+    recorded = found.withColumn("value", F.col("value") + F.when(F.col("headline") == "BUILDING", 0.001).otherwise(0.0001)).withColumn("tolerance", F.lit(0.0005))
+    recorded = recorded.filter("headline <> 'MACHINERY'")
+    return verify.headlines(recorded, found.filter("headline <> 'FURNITURE'")).select("rule", "key")
+
+
+def band_check(spark: SparkSession, sf: str) -> DataFrame:
+    """Users' mean values with stored bands, some of whose ends were changed or lost."""
+    u = F.col("user_id")
+    cells = table(spark, sf, "events").groupBy("user_id").agg(F.avg("value").alias("point"), F.coalesce(F.stddev_samp("value"), F.lit(0.0)).alias("se")).withColumn("critical", F.lit(3.0))
+    low, high = F.col("point") - F.col("critical") * F.col("se"), F.col("point") + F.col("critical") * F.col("se")
+    stored = cells.withColumn("low", low + F.when(u % 7 == 0, 1e-6).otherwise(0.0)).withColumn("high", F.when(u % 11 != 0, high))
+    return verify.band_violations(stored, ["user_id"], 1e-9).select("rule", "key")
+
+
+def topology_check(spark: SparkSession, sf: str) -> DataFrame:
+    """A conversation is a model, a turn a component under the one before; some lack a turn, go round, repeat or count below zero."""
+    c, t = F.col("conv_id"), F.col("turn")
+    rows = table(spark, sf, "conversations").filter("NOT (conv_id % 7 = 0 AND turn = 1)")
+    parent = F.when(t > 0, t - 1).when(c % 11 == 0, F.lit(1))
+    rows = rows.select("conv_id", "turn", parent.cast("long").alias("above"), F.when((c % 17 == 0) & (t == 0), -1).otherwise(t).alias("place"))
+    rows = rows.unionByName(rows.filter("conv_id % 13 = 0 AND turn = 2"))
+    return trace.topology_violations(rows, "conv_id", "turn", "above", "place")
+
+
 def _failures(spark: SparkSession, sf: str) -> DataFrame:
     rows = obs(spark, sf).filter("status = 'error'").select(F.col("cond").alias("task"), "event_id", "example_id")
     return rank.average_rank(rows, ["task"], "event_id", "attempt").withColumn("attempt", F.col("attempt").cast("long"))
@@ -563,6 +658,7 @@ QUERIES = {
         ols_fit, ols_residuals, leverage, loo_residual, fit_summary, isotonic_fit, spearman_proxy, spearman_cross_model, metric_pair_rank_corr, material_sets_jaccard,
         bootstrap_damage_ci, bootstrap_rank_ci, simultaneous_band, split_half_rho, robust_selection, cluster_weighted_mean,
         content_digest_manifest, digest_mismatch, table_difference, tool_call_extract, format_prefix_score, json_key_order, exact_match_score, synthetic_scan,
+        typed_answers, tool_argument_scores, matched_calls, abstention_decisions, format_scores, pending_after_commit, first_repetitions, headline_check, band_check, topology_check,
         resume_pending_tasks, latest_attempt, retry_accounting, trace_parent_graph, trace_graph_violations, event_counter_equality, record_span_coverage, hook_balance,
     )
 }

@@ -75,10 +75,23 @@ def publish_bundle(spark: SparkSession, tables: dict[str, DataFrame], path: str)
     return spark.read.parquet(f"{path}.manifest")
 
 
+def payload_digest(df: DataFrame, buckets: int = 4096) -> DataFrame:
+    """One row, payload_sha256: a digest of the rows as a multiset.
+
+    Rows' digests are put in order and digested by bucket, by their first characters, and the buckets' digests again:
+    no task holds more than a bucket, and the last one ``buckets`` digests at most.
+    """
+    rows = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("d"))
+    bucket = F.pmod(F.conv(F.substring("d", 1, 8), 16, 10).cast("long"), F.lit(buckets))
+    combined = lambda c: F.sha2(F.concat_ws("", F.array_sort(F.collect_list(c))), 256)
+    parts = rows.groupBy(bucket.alias("bucket")).agg(combined("d").alias("d"))
+    return parts.agg(combined(F.concat_ws(":", F.lpad(F.col("bucket").cast("string"), 8, "0"), "d")).alias("payload_sha256"))
+
+
 def commit_task(df: DataFrame, path: str, task: str, configuration_sha256: str, compatibility_sha256: str) -> None:
     """A task's rows, then its marker, which binds their digest, the configuration and the compatible version."""
     df.write.mode("overwrite").parquet(f"{path}/payload/task={task}")
-    digest = df.select(F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256).alias("d")).agg(F.sha2(F.concat_ws("", F.array_sort(F.collect_list("d"))), 256).alias("payload_sha256"))
+    digest = payload_digest(df)
     marker = digest.withColumns({"task": F.lit(task), "configuration_sha256": F.lit(configuration_sha256), "compatibility_sha256": F.lit(compatibility_sha256)})
     marker.write.mode("append").parquet(f"{path}/markers")
 
