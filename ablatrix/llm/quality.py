@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -11,45 +10,106 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import ship, table
+from ablatrix.llm.common import checkpointed, parts, ship, table
 
-#: The classifiers are fitted on about FIT_ROWS labelled rows, and exchange pseudo-labels over about POOL_ROWS others.
-FIT_ROWS, POOL_ROWS = 12_000, 6_000
+#: The classifiers are fitted on about FIT_ROWS labelled rows at most, half of them of either class where there are so
+#: many.  Pseudo-labels are looked for among all other rows.
+FIT_ROWS = 4_000
 #: Rounds of co-training; rows that a view may label in each, for each class; and how sure it has to be.
-ROUNDS, EXCHANGED, SURE = 3, 500, 0.95
+ROUNDS, EXCHANGED, SURE = 2, 500, 0.95
 #: Rows whose combined chance of good quality is below it are rejected.
 THRESHOLD = 0.5
-#: Features of the text view, and hashed one-hot places of the metadata view, which has two more.
-SHAPES, PLACES = 14, 64
+#: Shapes of the text view; places that its words are hashed to, and those of its n-grams of GRAM bytes after these.
+SHAPES, WORD_PLACES, GRAM_PLACES, GRAM = 14, 1 << 14, 1 << 12, 4
+CONTENT = WORD_PLACES + GRAM_PLACES
+#: Hashed one-hot places of the metadata view, which has two more.
+PLACES = 64
 
-_WORDLIKE = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?]?")
 
+def _is(some: bytes | range) -> np.ndarray:
+    """Which byte values are among some."""
+    return np.isin(np.arange(256), list(some))
 
-def text_features(text: str | None) -> list[float]:
-    """Shape of a text: shares of words, symbols, capitals, repeats and lines.  Lengths enter by their logarithm."""
-    text = text or ""
-    words = text.split()
+
+_SPACE, _UPPER, _LOWER, _DIGIT = _is(b" \t\n\v\f\r"), _is(range(65, 91)), _is(range(97, 123)), _is(range(48, 58))
+_LETTER = _UPPER | _LOWER | _is(range(128, 256))  # what isn't ASCII counts as a letter
+_SYMBOL = ~(_LETTER | _DIGIT)
+_JOINS, _STOPS = _is(b"'-"), _is(b".,;:!?")
+#: Of each byte value: is it a letter, a digit, or a join, in 21 bits each, so that one sum over a word counts all three.
+_KINDS = _LETTER + (_DIGIT.astype(np.int64) << 21) + (_JOINS.astype(np.int64) << 42)
+_CASES = _UPPER + (_LOWER.astype(np.int64) << 32)
+
+
+@dataclass
+class Rows:
+    """Features of some rows: dense ones, and for each row the places of its content and their values, end to end."""
+
+    dense: np.ndarray
+    sizes: np.ndarray
+    places: np.ndarray
+    values: np.ndarray
+
+    def __len__(self) -> int:
+        return len(self.dense)
+
+    def take(self, at: np.ndarray) -> Rows:
+        starts = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        at = np.flatnonzero(at) if at.dtype == bool else at
+        some = lambda x: np.concatenate([x[:0], *(x[starts[i] : starts[i + 1]] for i in at.tolist())])
+        return Rows(self.dense[at], self.sizes[at], some(self.places), some(self.values))
+
+    def join(self, *others: Rows) -> Rows:
+        return Rows(*(np.concatenate([getattr(r, f) for r in (self, *others)]) for f in ("dense", "sizes", "places", "values")))
+
+    @staticmethod
+    def of(x: np.ndarray | Rows) -> Rows:
+        return x if isinstance(x, Rows) else Rows(x, np.zeros(len(x), np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32))
+
+
+def text_features(text: str | None) -> tuple[list[float], np.ndarray, np.ndarray]:
+    """(shapes, places, values) of a text.
+
+    Shapes are shares of words, symbols, capitals, repeats and lines; lengths enter by their logarithm.  The places are
+    those of its words and of its n-grams, A-Z in lower case, by hash; a value is the logarithm of one more than the
+    count, and a text's values have length one.
+    """
+    raw = (text or "").encode("utf-8", "surrogatepass")
+    low = raw.lower()
+    words = low.split()  # bytes: ASCII white space only
     n = len(words)
     if not n:
-        return [0.0] * SHAPES
+        return [0.0] * SHAPES, np.zeros(0, np.int32), np.zeros(0, np.float32)
+    octets = np.frombuffer(raw, np.uint8)
+    space = np.concatenate([[True], _SPACE[octets], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sizes, first, last = ends - starts, octets[starts], octets[ends - 1]
+    kind, case, low_bits = np.add.reduceat(_KINDS[octets], starts), np.add.reduceat(_CASES[octets], starts), (1 << 21) - 1
+    letters, digits, joins = kind & low_bits, kind >> 21 & low_bits, kind >> 42
+    plain = _LETTER[first] & (letters + joins + _STOPS[last] == sizes)
+    marks = (sizes > 1) & _SYMBOL[last] & _SYMBOL[octets[np.maximum(ends - 2, 0)]]
+    lines = [x for x in raw.split(b"\n") if not x.isspace() and x]
     counts = Counter(words)
-    letters = sum(len(w) * c for w, c in counts.items())
-    lines = [x for x in text.split("\n") if x.strip()]
-    distinct = len(set(lines))
-    plain = sum(c for w, c in counts.items() if _WORDLIKE.fullmatch(w))
-    marks = sum(c for w, c in counts.items() if len(w) > 1 and not w[-1].isalnum() and not w[-2].isalnum())
-    bare = sum(c for w, c in counts.items() if not any(ch.isalnum() for ch in w))
-    capitals = sum(c for w, c in counts.items() if len(w) > 1 and w.isupper())
-    digits = sum(c for w, c in counts.items() if w[0].isdigit())
-    most = counts.most_common(1)[0][1]
-    same = sum(a == b for a, b in zip(words, words[1:]))
-    return [
-        math.log1p(n) / 10, letters / n / 10, len(counts) / n, len(counts) / math.sqrt(n) / 10, plain / n, marks / n, bare / n, capitals / n, digits / n,
-        most / n, same / n, 1 - distinct / max(len(lines), 1), min(n / max(len(lines), 1), 200) / 200, min(sum(len(w) > 20 for w in counts) / n, 1.0),
+    kinds, most, rows = len(counts), max(counts.values()), max(len(lines), 1)
+    shapes = [
+        math.log1p(n) / 10, sizes.sum() / n / 10, kinds / n, kinds / math.sqrt(n) / 10, plain.sum() / n, marks.sum() / n, (letters + digits == 0).sum() / n,
+        ((sizes > 1) & (case > 0) & (case >> 32 == 0)).sum() / n, _DIGIT[first].sum() / n, most / n, sum(map(bytes.__eq__, words, words[1:])) / n,
+        1 - len(set(lines)) / rows, min(n / rows, 200) / 200, (sizes > 20).sum() / n,
     ]
+    at = np.fromiter(map(zlib.crc32, counts), np.int64, kinds) % WORD_PLACES
+    held = np.bincount(at, weights=np.fromiter(counts.values(), float, kinds), minlength=CONTENT)
+    if len(low) >= GRAM:
+        octets = np.frombuffer(low, np.uint8).astype(np.uint32)
+        gram = octets[: len(octets) - GRAM + 1].copy()
+        for j in range(1, GRAM):
+            gram = gram * np.uint32(256) + octets[j : len(octets) - GRAM + 1 + j]
+        held[WORD_PLACES:] = np.bincount((gram * np.uint32(2654435761)) >> np.uint32(20), minlength=GRAM_PLACES)
+    places = np.flatnonzero(held)
+    values = np.log1p(held[places])
+    return shapes, places.astype(np.int32), (values / math.sqrt(values @ values)).astype(np.float32)
 
 
 def meta_features(source: object, lang: object, n_chars: object) -> list[float]:
@@ -57,17 +117,22 @@ def meta_features(source: object, lang: object, n_chars: object) -> list[float]:
     out = [0.0] * (PLACES + 2)
     for name, value in (("source", source), ("lang", lang)):
         out[zlib.crc32(f"{name}={value}".encode("utf-8", "replace")) % PLACES] += 1.0
-    size = math.log1p(max(float(n_chars or 0), 0.0)) / 10
+    size = float(n_chars or 0)
+    size = math.log1p(max(size, 0.0)) / 10 if math.isfinite(size) else 0.0
     out[PLACES], out[PLACES + 1] = size, size * size
     return out
 
 
+def _expit(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40) -> np.ndarray:
     """Ridge logistic regression by Newton's method; the last weight is the intercept."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        p = _expit(x @ w)
         grad = x.T @ (p - y) + ridge * w
         step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), grad)
         w -= np.clip(step, -5, 5)
@@ -78,12 +143,17 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 40
 
 @dataclass
 class View:
-    """A standardised logistic classifier over one view, with pairs and squares of the features where asked for."""
+    """A logistic classifier over one view: standardised dense features, with pairs and squares where asked for, and content.
+
+    The dense features are fitted first, by Newton's method; the content's weights then by stochastic gradient steps
+    that add to what the dense features say.
+    """
 
     squares: bool
     mean: np.ndarray = field(default_factory=lambda: np.zeros(0))
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weights: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    content: np.ndarray = field(default_factory=lambda: np.zeros(CONTENT))
 
     def _wide(self, x: np.ndarray) -> np.ndarray:
         if not self.squares:
@@ -91,14 +161,38 @@ class View:
         i, j = np.triu_indices(x.shape[1])
         return np.column_stack([x, x[:, i] * x[:, j]])
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> None:
-        wide = self._wide(x)
+    def fit(self, rows: Rows, y: np.ndarray, epochs: int = 4, batch: int = 256, rate: float = 0.5, ridge: float = 1e-3) -> None:
+        wide = self._wide(rows.dense)
         self.mean, self.scale = wide.mean(axis=0), wide.std(axis=0) + 1e-6
         self.weights = _logistic((wide - self.mean) / self.scale, y, ridge=1.0)
-
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        wide = (self._wide(x) - self.mean) / self.scale
-        return np.clip(np.clip(wide, -8, 8) @ self.weights[:-1] + self.weights[-1], -30, 30)
+        self.content = np.zeros(CONTENT)
+        if not len(rows.places):
+            return
+        known, steep = self.logit(rows), np.full(CONTENT, 1e-3)
+        starts = np.concatenate([[0], np.cumsum(rows.sizes)]).astype(np.int64)
+        rng = np.random.default_rng(0)
+        for _ in range(epochs):
+            order = rng.permutation(len(rows))
+            for a in range(0, len(order), batch):
+                at = order[a : a + batch]
+                flat = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in at.tolist()])
+                places, values, owner = rows.places[flat], rows.values[flat], np.repeat(np.arange(len(at)), rows.sizes[at])
+                z = known[at] + np.bincount(owner, weights=self.content[places] * values, minlength=len(at))
+                error = (_expit(z) - y[at]) / len(at)
+                slope = np.bincount(places, weights=values * error[owner], minlength=CONTENT) + ridge * self.content / len(order)
+                steep += slope * slope
+                self.content -= rate * slope / np.sqrt(steep)
+
+    def logit(self, rows: Rows) -> np.ndarray:
+        wide = (self._wide(rows.dense) - self.mean) / self.scale
+        z = np.clip(wide, -8, 8) @ self.weights[:-1] + self.weights[-1]
+        ends = np.cumsum(rows.sizes)
+        for a in range(0, len(rows) if len(rows.places) else 0, 256):
+            b = min(a + 256, len(rows))
+            some = slice(ends[a] - rows.sizes[a], ends[b - 1])
+            owner = np.repeat(np.arange(b - a), rows.sizes[a:b])
+            z[a:b] += np.bincount(owner, weights=self.content[rows.places[some]] * rows.values[some], minlength=b - a)
+        return np.clip(z, -30, 30)
 
 
 @dataclass
@@ -110,132 +204,224 @@ class CoTrained:
     meta: View | None = None
     combine: np.ndarray = field(default_factory=lambda: np.zeros(3))
 
-    def score(self, text: np.ndarray, meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def score(self, text: np.ndarray | Rows, meta: np.ndarray | Rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Chances of good quality by the text view, by the metadata view, and combined."""
         if self.text is None or not len(text):
             same = np.full(len(text), self.prior)
             return same, same, same
-        a, b = self.text.logit(text), self.meta.logit(meta)
-        expit = lambda z: 1 / (1 + np.exp(-z))
-        return expit(a), expit(b), expit(np.clip(self.combine[0] * a + self.combine[1] * b + self.combine[2], -30, 30))
+        a, b = self.text.logit(Rows.of(text)), self.meta.logit(Rows.of(meta))
+        return _expit(a), _expit(b), _expit(self.combine[0] * a + self.combine[1] * b + self.combine[2])
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray) -> CoTrained:
-    """Co-training: in each round either view labels the pool rows that it is surest of, for the other view to learn.
+class CoTraining:
+    """Co-training: in each round either view labels the rows that it is surest of, for the other view to learn.
 
     A fifth of the labelled rows takes no part in that; on it a logistic regression over both views' log odds calibrates
-    and combines them, so a view without information gets no weight.
+    and combines them, so a view without information gets no weight.  ``shift`` is what the log odds of the classes
+    among all labelled rows have over those in the sample.
     """
-    prior = float(y.mean()) if len(y) else 1.0
-    if len(y) < 20 or min(y.sum(), len(y) - y.sum()) < 2:
-        return CoTrained(prior)
-    held = np.arange(len(y)) % 5 == 4
-    views = (View(squares=True), View(squares=False))
-    x, pools = (text[~held], meta[~held]), (pool_text, pool_meta)
-    own_x, own_y = list(x), [y[~held], y[~held]]
+
+    def __init__(self, text: np.ndarray | Rows, meta: np.ndarray | Rows, y: np.ndarray, shift: float = 0.0, prior: float | None = None):
+        self.prior = prior if prior is not None else float(y.mean()) if len(y) else 1.0
+        self.shift = shift
+        self.views = (View(squares=True), View(squares=False))
+        self.able = len(y) >= 20 and min(y.sum(), len(y) - y.sum()) >= 2
+        if self.able:
+            held = np.arange(len(y)) % 5 == 4
+            text, meta = Rows.of(text), Rows.of(meta)
+            self.held, self.held_y = (text.take(held), meta.take(held)), y[held]
+            self.x, self.y = [text.take(~held), meta.take(~held)], [y[~held], y[~held]]
+            self.fit()
+
+    def fit(self) -> None:
+        for view, x, y in zip(self.views, self.x, self.y):
+            view.fit(x, y)
+
+    def learn(self, view: int, rows: Rows, labels: np.ndarray) -> None:
+        """Give a view rows that the other one has labelled."""
+        self.x[view] = self.x[view].join(rows)
+        self.y[view] = np.concatenate([self.y[view], labels])
+
+    def model(self) -> CoTrained:
+        if not self.able:
+            return CoTrained(self.prior)
+        both = np.column_stack([v.logit(x) for v, x in zip(self.views, self.held)])
+        combine = _logistic(both, self.held_y, ridge=1.0)
+        combine[2] += self.shift
+        return CoTrained(self.prior, *self.views, combine)
+
+
+def co_train(text: np.ndarray | Rows, meta: np.ndarray | Rows, y: np.ndarray, pool_text: np.ndarray | Rows, pool_meta: np.ndarray | Rows) -> CoTrained:
+    """Co-training where all rows are at hand; fit() does the same over a table."""
+    run, pools = CoTraining(text, meta, y), (Rows.of(pool_text), Rows.of(pool_meta))
     free = np.ones(len(pool_text), dtype=bool)
-    for turn in range(ROUNDS + 1):
-        for v, view in enumerate(views):
-            view.fit(own_x[v], own_y[v])
-        if turn == ROUNDS or not free.any():
-            break
-        for v, view in enumerate(views):
+    for _ in range(ROUNDS if run.able else 0):
+        taken = []
+        for v, view in enumerate(run.views):
             at = np.flatnonzero(free)
             if not len(at):
                 break
-            p = 1 / (1 + np.exp(-view.logit(pools[v][at])))
+            p = _expit(view.logit(pools[v].take(at)))
             good = at[np.argsort(-p, kind="stable")[: min(EXCHANGED, int((p >= SURE).sum()))]]
             bad = at[np.argsort(p, kind="stable")[: min(EXCHANGED, int((p <= 1 - SURE).sum()))]]
-            other = 1 - v
             for rows, label in ((good, 1.0), (bad, 0.0)):
-                own_x[other] = np.vstack([own_x[other], pools[other][rows]])
-                own_y[other] = np.concatenate([own_y[other], np.full(len(rows), label)])
+                taken.append(len(rows))
+                run.learn(1 - v, pools[1 - v].take(rows), np.full(len(rows), label))
                 free[rows] = False
-    both = np.column_stack([views[0].logit(text[held]), views[1].logit(meta[held])])
-    return CoTrained(prior, *views, _logistic(both, y[held], ridge=1.0))
+        if not sum(taken):
+            break
+        run.fit()
+    return run.model()
 
 
-def _features(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    text = np.array([text_features(t) for t in batch.column("body").to_pylist()]).reshape(batch.num_rows, SHAPES)
-    meta = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")))
-    return text, np.array([meta_features(*m) for m in meta]).reshape(batch.num_rows, PLACES + 2)
+_VIEWED = ("body", "source", "lang", "n_chars")
+
+
+def _features(columns: list[list]) -> tuple[Rows, Rows]:
+    """The text view's and the metadata view's features of some rows, given by the lists of their _VIEWED columns."""
+    n = len(columns[0])
+    found = [text_features(t) for t in columns[0]]
+    nothing = np.zeros(0)
+    text = Rows(
+        np.array([s for s, _, _ in found]).reshape(n, SHAPES), np.array([len(p) for _, p, _ in found], dtype=np.int64),
+        np.concatenate([nothing.astype(np.int32), *(p for _, p, _ in found)]), np.concatenate([nothing.astype(np.float32), *(v for _, _, v in found)]),
+    )
+    return text, Rows.of(np.array([meta_features(*m) for m in zip(*columns[1:])]).reshape(n, PLACES + 2))
+
+
+_EXTRACTED = "id {id}, quality int, label_view int, shapes binary, places binary, values binary, meta binary"
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text, meta = _features(batch)
-        lists = [pa.array(list(x), pa.list_(pa.float64())) for x in (text, meta)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("quality"), *lists], ["id", "quality", "text", "meta"])
+    """Features as bytes, for the driver."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 512):
+            batch = whole.slice(at, 512)
+            out: list[list[bytes]] = [[], [], [], []]
+            for body, *meta in zip(*(batch.column(c).to_pylist() for c in _VIEWED)):
+                shapes, places, values = text_features(body)
+                for column, x in zip(out, (np.array(shapes), places, values, np.array(meta_features(*meta)))):
+                    column.append(x.tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("quality"), batch.column("label_view"), *(pa.array(x, pa.binary()) for x in out)],
+                ["id", "quality", "label_view", "shapes", "places", "values", "meta"],
+            )
+
+
+def _gathered(found) -> tuple[Rows, Rows]:
+    """The rows of a frame from _extract()."""
+    read = lambda c, kind: np.frombuffer(b"".join(found[c]), dtype=kind)
+    sizes = np.array([len(b) // 4 for b in found["places"]], dtype=np.int64)
+    text = Rows(read("shapes", float).reshape(-1, SHAPES), sizes, read("places", np.int32), read("values", np.float32))
+    return text, Rows.of(read("meta", float).reshape(-1, PLACES + 2))
+
 
+_SCORES = "struct<text_score:double,meta_score:double,score:double>"
 
-def _score(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _scorer(shared):
+    """An Arrow UDF of the _VIEWED columns: the three scores of each row.  All other columns stay where they are."""
+
+    def score(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         model: CoTrained = shared.value
         for batch in batches:
-            scores = model.score(*_features(batch)) if batch.num_rows else ([], [], [])
-            rest = [c for c in batch.schema.names if c in ("id", "row")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in rest), *(pa.array(s, pa.float64()) for s in scores)], [*rest, "text_score", "meta_score", "score"]
-            )
+            scores = [[np.zeros(0)] * 3]
+            scores += [model.score(*_features(list(columns))) for columns in zip(*(parts(c) for c in batch))]
+            columns = [pa.array(np.concatenate(x), pa.float64()) for x in zip(*scores)]
+            yield pa.StructArray.from_arrays(columns, ["text_score", "meta_score", "score"])
 
-    return run
+    return F.arrow_udf(score, _SCORES).asNondeterministic()  # a filter on a score must not evaluate it again
 
 
-def _views(docs: DataFrame, id_col: str) -> DataFrame:
+def _views(docs: DataFrame, id_col: str) -> dict[str, Column]:
     have = set(docs.columns)
     column = lambda c, kind: (F.col(f"`{c}`") if c in have else F.lit(None)).cast(kind)
-    return docs.select(
-        F.col(f"`{id_col}`").alias("id"), F.col("text").alias("body"), column("source", "string").alias("source"),
-        column("lang", "string").alias("lang"), column("n_chars", "double").alias("n_chars"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
-    )
+    return {
+        "id": F.col(f"`{id_col}`"), "body": F.col("text"), "source": column("source", "string"), "lang": column("lang", "string"), "n_chars": column("n_chars", "double"),
+    }
 
 
-def _share(rows: int, total: int):
-    """A filter that leaves about ``rows`` of ``total`` rows, chosen by a hash of their id."""
-    return F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, rows / max(total, 1)))
+def _sample(known: DataFrame, rows: int) -> tuple[DataFrame, float, float | None]:
+    """About rows / 2 rows of either class, by a hash of their id; the shift of the log odds that this makes; the prior."""
+    sizes = {r.quality: r["count"] for r in known.groupBy("quality").count().collect()}
+    share = {q: min(1.0, rows / 2 / n) for q, n in sizes.items()}
+    draw = F.pmod(F.xxhash64("id", F.lit("quality")), F.lit(1 << 30))
+    limit = F.when(F.col("quality") == 1, int((1 << 30) * share.get(1, 1.0))).otherwise(int((1 << 30) * share.get(0, 1.0)))
+    good, bad = sizes.get(1, 0), sizes.get(0, 0)
+    return known.filter(draw < limit), math.log(share.get(0, 1.0) / share.get(1, 1.0)), good / (good + bad) if good + bad else None
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS, pool: int = POOL_ROWS) -> CoTrained:
-    """Fit on about ``rows`` labelled rows and ``pool`` unlabelled ones.  Of labels that disagree on an id the worst counts."""
-    ship(docs.sparkSession)
-    views = _views(docs, id_col).drop("row")
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", rows: int = FIT_ROWS) -> CoTrained:
+    """Fit on about ``rows`` labelled rows, and on those of all others that a view is surest of.
+
+    Of labels that disagree on an id the worst counts.  In each round all rows without a label are scored by both views;
+    each view's EXCHANGED surest rows of either class, if it is SURE of them, go to the other view.  Only these and the
+    labelled sample reach the driver.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    views = docs.select(*(c.alias(name) for name, c in _views(docs, id_col).items()))
     known = labels.filter(F.col("quality").isNotNull()).select(F.col(f"`{id_col}`").alias("id"), "quality").filter(F.col("id").isNotNull())
-    known = known.groupBy("id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = known.filter(_share(rows, labels.count()))
-    some = views.filter(_share(pool, docs.count()))
-    labelled = views.join(F.broadcast(chosen), "id")
-    others = some.join(known.select("id"), "id", "left_anti").withColumn("quality", F.lit(None).cast("int"))
-    id_type = views.schema["id"].dataType.simpleString()
-    both = labelled.select(*views.columns, "quality").unionByName(others.select(*views.columns, "quality"))
-    found = both.mapInArrow(_extract, f"id {id_type}, quality int, text array<double>, meta array<double>").toPandas()
-    found = found.sort_values("id", kind="stable")
-    text = np.array(found["text"].tolist()).reshape(len(found), SHAPES)
-    meta = np.array(found["meta"].tolist()).reshape(len(found), PLACES + 2)
-    has = found["quality"].notna().to_numpy()
-    y = (found["quality"][has] > 0).to_numpy().astype(float)
-    return co_train(text[has], meta[has], y, text[~has], meta[~has])
+    known = known.groupBy("id").agg((F.min("quality") > 0).cast("int").alias("quality"))
+    chosen, shift, prior = _sample(known, rows)
+    schema = _EXTRACTED.format(id=views.schema["id"].dataType.simpleString())
+    labelled = views.join(F.broadcast(chosen), "id").withColumn("label_view", F.lit(None).cast("int"))
+    found = labelled.select(*views.columns, "quality", "label_view").mapInArrow(_extract, schema).toPandas()
+    found = found.sort_values(["id", "places"], kind="stable")
+    run = CoTraining(*_gathered(found), found["quality"].to_numpy(dtype=float), shift, prior)
+    del found
+    taken: list[int] = []
+    for _ in range(ROUNDS if run.able else 0):
+        score = _scorer(spark.sparkContext.broadcast(CoTrained(0.5, *run.views)))
+        key = F.xxhash64("id", "body")
+        pool = views.select("id", key.alias("key"), score(*_VIEWED).alias("s")).select("id", "key", "s.text_score", "s.meta_score")
+        sure = pool.filter(F.greatest("text_score", "meta_score", 1 - F.col("text_score"), 1 - F.col("meta_score")) >= SURE)
+        sure = checkpointed(sure.join(known.select("id"), "id", "left_anti").filter(~F.col("key").isin(taken) if taken else F.lit(True)))
+        best: dict[int, tuple[int, int]] = {}
+        for view, column in enumerate(("text_score", "meta_score")):
+            for label, chance in ((1, F.col(column)), (0, 1 - F.col(column))):
+                top = sure.filter(chance >= SURE).groupBy("key").agg(F.max(chance).alias("chance")).orderBy(F.desc("chance"), "key").limit(EXCHANGED)
+                for r in top.collect():
+                    best.setdefault(r.key, (label, view))
+        if not best:
+            break
+        taken += best
+        given = spark.createDataFrame([(k, label, view) for k, (label, view) in best.items()], "key long, quality int, label_view int")
+        fetched = views.withColumn("key", key).join(F.broadcast(given), "key").select(*views.columns, "quality", "label_view")
+        found = fetched.mapInArrow(_extract, schema).toPandas().sort_values(["id", "places"], kind="stable").drop_duplicates(["id", "places"])
+        text, meta = _gathered(found)
+        for view in (0, 1):
+            at = (found["label_view"] == view).to_numpy()
+            run.learn(1 - view, (meta, text)[view].take(at), found["quality"].to_numpy(dtype=float)[at])
+        run.fit()
+    return run.model()
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", threshold: float = THRESHOLD, carry: bool = False) -> DataFrame:
     """Score every row of docs by both views: id, text_score, meta_score, score, kept.
 
-    The text view sees the whole text only, the metadata view source, language and recorded length only; nulls and
-    missing columns count as a value of their own, a null text as empty.  score is the calibrated chance of good quality;
-    rows below the threshold are rejected.  With fewer than 20 labelled rows, or one class only, every row gets the
-    prior.  Repeated ids are rows of their own; an empty table gives an empty result.  With ``carry`` all columns of docs
-    follow as a struct ``row``.
+    The text view sees the whole text only: its shape, and its words and character n-grams by hash.  The metadata
+    view sees source, language and recorded length only.  Nulls and missing columns count as a value of their own, a null
+    text as empty.  score is the calibrated chance of good quality; rows below the threshold are rejected.  With fewer
+    than 20 labelled rows, or fewer than two of a class, no model can be fitted: every row gets the share of good labels
+    as its score and is kept.  Repeated ids are rows of their own; an empty table gives an empty result.  With ``carry``
+    all columns of docs follow as a struct ``row``, which does not pass through Python.
     """
-    model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col))
-    views = _views(docs, id_col)
-    views = views if carry else views.drop("row")
-    kept = f", row {views.schema['row'].dataType.simpleString()}" if carry else ""
-    schema = f"id {views.schema['id'].dataType.simpleString()}{kept}, text_score double, meta_score double, score double"
-    out = views.mapInArrow(_score(model), schema).withColumn("kept", F.col("score") >= threshold)
-    return out.select(F.col("id").alias(id_col), "text_score", "meta_score", "score", "kept", *(["row"] if carry else []))
+    fitted = fit(docs, labels, id_col)
+    score = _scorer(docs.sparkSession.sparkContext.broadcast(fitted))
+    view = _views(docs, id_col)
+    own = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
+    out = docs.select(view["id"].alias("id"), score(*(view[c] for c in _VIEWED)).alias("s"), *own)
+    kept = F.col("s.score") >= threshold if fitted.text is not None else F.lit(True)
+    return out.select(F.col("id").alias(id_col), "s.text_score", "s.meta_score", "s.score", kept.alias("kept"), *(["row"] if carry else []))
 
 
 def good_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that classify() keeps, with the columns of docs."""
+    """The rows of docs that classify() keeps, with the columns of docs.
+
+    Each row is judged by itself: null and repeated ids, and repeated rows, stay or go one by one.  Where no model can be
+    fitted all rows stay.
+    """
     return classify(docs, labels, carry=True).filter("kept").select("row.*")
 
 
