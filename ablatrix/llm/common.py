@@ -85,8 +85,10 @@ def look_up(rows: DataFrame, found: DataFrame, key: str, n: str, total: int, spr
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of edges(u, v) as (v, root), root the smallest id; ids without an edge are left out.
 
-    Alternates large-star and small-star steps (Kiveris et al., 2014).  Every step groups by node with a map-side
-    minimum and joins that back, so a node of any degree is spread over tasks; each round is checkpointed.
+    Alternates large-star and small-star steps (Kiveris et al., 2014).  Every step takes each node's least neighbour with a
+    map-side minimum.  The large-star step looks that up, nodes of very many edges by broadcast, so that a node of any
+    degree is spread over tasks; in the small-star step a node has an edge for each root that it may join.  Each round is
+    checkpointed.
     """
     edges = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges, before = checkpointed(edges), None
@@ -96,8 +98,8 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             break
         before = now
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("node")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count("*").alias("n"))
+        large = look_up(both, least, "u", "n", 2 * now[0], F.col("v")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.filter("u <> v").distinct()
         lower = large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "node")
         small = large.join(lower, F.col("u") == F.col("node")).select(F.col("v").alias("a"), "m")

@@ -8,10 +8,10 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import checkpointed, components, look_up, ship, table
+from ablatrix.llm.common import checkpointed, components, look_up, parts, ship, table
 
 SHINGLE = 4
 DISTANCE = 4
@@ -39,10 +39,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(counts.ravel() * 2 > len(hashes)).tobytes(), "big")
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def fingerprints(text: Column) -> Column:
+    """fingerprint() of each text as a signed long; other columns of the row do not pass through Python."""
+    return F.arrow_udf(_fingerprints, "long")(text)
+
+
+def _fingerprints(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
-        values = np.array([fingerprint(t) for t in batch.column("body").to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "body"), pa.array(values)], [*(c for c in batch.schema.names if c != "body"), "fp"])
+        values = [fingerprint(t) for texts in parts(batch) for t in texts]
+        yield pa.array(np.array(values, dtype=np.uint64).view(np.int64))
 
 
 def _block_keys(blocks: int, distance: int) -> list[Column]:
@@ -86,9 +91,11 @@ def links(codes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, bloc
         count, blocks = codes.count(), distance + 2
         while count > 1 << (64 * (blocks - distance) // blocks + 1):
             blocks += 1
-    dealt = codes.select("fp", F.explode(F.array(*_block_keys(blocks, distance))).alias("k")).select("fp", "k.choice", "k.key")
-    sizes = dealt.groupBy("choice", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = dealt.join(sizes, ["choice", "key"])
+    dealt = codes.select("fp", F.explode(F.array(*_block_keys(blocks, distance))).alias("k"))
+    dealt = dealt.select("fp", "k.choice", "k.key", F.concat_ws("/", "k.choice", "k.key").alias("bucket"))
+    sizes = checkpointed(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    dealt = look_up(dealt, sizes, "bucket", "n", total, F.col("fp")).filter("n IS NOT NULL")
     small = dealt.filter(F.col("n") <= bucket).select("choice", "key", "fp")
     other = small.withColumnRenamed("fp", "other")
     close = (F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= distance)
@@ -104,39 +111,49 @@ def links(codes: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, bloc
     return pairs.unionByName(tiles).distinct()
 
 
-def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """Fingerprint every text and group the rows whose fingerprints connect at DISTANCE or fewer differing bits.
-
-    Returns id, fingerprint (16 hex digits), component_id (smallest id of the group), with ``carry`` also all columns of
-    docs as a struct ``row``.  A null or wordless text has fingerprint zero and links like any other.  Rows are grouped
-    by fingerprint first: copies, however many, are one node.  Repeated ids are rows of their own; a null id never is a
-    component_id unless its whole group has none.  An empty table gives an empty result.
-    """
-    spark = docs.sparkSession
-    ship(spark)
-    kept = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")] if carry else []
-    source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("body"), *kept)
-    id_type = source.schema["id"].dataType.simpleString()
-    row_type = f", row {source.schema['row'].dataType.simpleString()}" if carry else ""
-    rows = source.mapInArrow(_fingerprints, f"id {id_type}{row_type}, fp long")
-    if not carry:
-        rows = checkpointed(rows)
+def _grouped(rows: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, int]:
+    """(fp, root, component_id, n) of each fingerprint of rows(id, fp), root a component's own name, and the number of rows."""
     codes = checkpointed(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")))
     total = codes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    reach = components(links(codes.select("fp")))
+    reach = components(links(codes.select("fp"), distance))
     codes = codes.join(reach.withColumnRenamed("v", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = codes.groupBy("root").agg(F.min("least").alias("component_id"))
-    found = codes.join(least, "root").select("fp", "component_id", "n")
+    least = checkpointed(codes.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("codes")))
+    found = look_up(codes, least, "root", "codes", codes.count(), F.col("fp"))
+    return found.select("fp", "root", "component_id", "n"), total
+
+
+def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """Fingerprint every text and group the rows whose fingerprints connect at ``distance`` or fewer differing bits.
+
+    Returns id, fingerprint (16 hex digits), component_id (smallest id of the group).  A null or wordless text has
+    fingerprint zero and links like any other.  Rows are grouped by fingerprint first: copies, however many, are one node.
+    Repeated ids are rows of their own; a null id never is a component_id unless its whole group has none.  An empty table
+    gives an empty result; texts of any length are read whole; other columns play no part.
+    """
+    ship(docs.sparkSession)
+    rows = checkpointed(docs.select(F.col(f"`{id_col}`").alias("id"), fingerprints(F.col(f"`{text_col}`")).alias("fp")))
+    found, total = _grouped(rows, distance)
     out = look_up(rows, found, "fp", "n", total, F.col("id"))
-    return out.select(
-        F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *(["row"] if carry else [])
-    )
+    return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose id is their component's smallest; of rows that repeat it, one."""
-    marked = simhash_components(docs, carry=True).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return marked.dropDuplicates(["component_id", "fingerprint"]).select("row.*")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
+    """One row of docs for each component: that of its smallest id; where several rows have that id, one of them.
+
+    A null id is taken only where the whole component has no other.  Rows equal in all columns count as several.  Texts
+    pass through Python once, for their fingerprints, and rows not at all.
+    """
+    ship(docs.sparkSession)
+    own, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
+    key = F.xxhash64(own, text)
+    rows = checkpointed(docs.select(own.alias("id"), key.alias("row_key"), fingerprints(text).alias("fp")))
+    found, total = _grouped(rows, distance)
+    first = look_up(rows, found, "fp", "n", total, F.col("id")).filter(F.col("id").eqNullSafe(F.col("component_id")))
+    first = first.groupBy("root").agg(F.first("component_id").alias("first_id"), F.min("row_key").alias("first_key"))
+    marked = docs.select(own.alias("own_id"), key.alias("own_key"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = marked.join(first, F.col("own_id").eqNullSafe(F.col("first_id")) & (F.col("own_key") == F.col("first_key")))
+    number = F.row_number().over(Window.partitionBy("own_id", "own_key").orderBy(F.lit(0)))
+    return kept.withColumn("number", number).filter("number = 1").select("row.*")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
