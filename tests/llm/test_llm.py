@@ -215,6 +215,37 @@ def test_packing_tokens_are_the_tokenizers(spark, edges, nothing):
     assert packing.pack(nothing, packing.word_bpe_tokens()).count() == 0
 
 
+def tree_of(partitions, capacity, fan, nearly, each):
+    """Sequences that the packing rounds use, where a group hands on ``each`` bins of a fill at most."""
+    groups, whole = [], 0
+    for k, sizes in enumerate(partitions):
+        fill = {}
+        for (number, _), n in zip(packing.best_fit(sizes, capacity), sizes):
+            fill[f"{k}-{number}"] = fill.get(f"{k}-{number}", 0) + n
+        groups.append(fill)
+    while True:
+        handed = [packing.carried([(f, b) for b, f in g.items()], capacity, nearly, each) if len(groups) > 1 else set() for g in groups]
+        whole += sum(len(g) - len(h) for g, h in zip(groups, handed))
+        if len(groups) == 1:
+            return whole
+        bins = [[(f, b) for b, f in g.items() if b in h] for g, h in zip(groups, handed)]
+        groups = []
+        for at in range(0, len(bins), fan):
+            some = sorted((x for g in bins[at : at + fan] for x in g), key=lambda x: (-x[0], x[1]))
+            fill, lead = {}, {}
+            for (number, _), (f, b) in zip(packing.best_fit([f for f, _ in some], capacity), some):
+                fill[lead.setdefault(number, b)] = fill.get(lead.setdefault(number, b), 0) + f
+            groups.append(fill)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_handing_on_a_few_bins_of_each_fill_loses_nothing(seed):
+    rng = random.Random(seed)
+    capacity, fan = rng.choice([(20, 2), (30, 3), (12, 2)])
+    partitions = [[rng.randint(1, capacity) if rng.random() < 0.3 else rng.randint(capacity // 2 + 1, capacity - 2) for _ in range(rng.randint(1, 400))] for _ in range(rng.randint(1, 20))]
+    assert tree_of(partitions, capacity, fan, 1, fan * 5) == tree_of(partitions, capacity, fan, 1, 10**9)
+
+
 # HTML
 
 
@@ -417,6 +448,56 @@ def test_language_edges(spark, nothing):
     assert language.identify(nothing, F.lit(True)).count() == 0
 
 
+def test_language_scores_are_those_of_the_formula(spark):
+    """Every step by hand: counts by language and order, backoff of unseen words, posterior under equal priors."""
+    train = [("en", "The house and the garden"), ("de", "das Haus und der Garten"), ("de", "Ein Haus am See"), ("en", "a lake house")]
+    probes = ["the haus", "gartenhaus", "xyzzy qq", "½ ² Ⅷ", "und", "lakes, gardens & 3 seen", "naïve"]
+    rows = [(i, t, lang) for i, (lang, t) in enumerate(train)] + [(100 + i, t, None) for i, t in enumerate(probes)]
+    got = {r.doc_id: r for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.col("doc_id") < 100).collect()}
+
+    def split(text):
+        return "".join(c if c.isalpha() else " " for c in text.lower()).split()
+
+    def pieces(word, order):
+        marked = f"<{word}>" if order > 1 else word
+        return [word] if not order else [marked[i : i + order] for i in range(len(marked) - order + 1)]
+
+    counts = {}
+    for lang, text in train:
+        for word in split(text):
+            for order in range(6):
+                for piece in pieces(word, order):
+                    by = counts.setdefault((order, piece), {})
+                    by[lang] = by.get(lang, 0) + 1
+
+    def log_share(order, piece, lang):
+        own = [by[lang] for (o, _), by in counts.items() if o == order and lang in by]
+        return math.log((counts[order, piece].get(lang, 0) + 0.1) / (sum(own) + 0.1 * (len(own) + 1)))
+
+    def word_score(word, lang):
+        for order in (0, 5, 4, 3, 2, 1):
+            known = [p for p in pieces(word, order) if (order, p) in counts]
+            if known:
+                return sum(log_share(order, p, lang) for p in known) / len(known)
+        return 0.0
+
+    for i, text in enumerate(probes):
+        total = {lang: sum(word_score(w, lang) for w in split(text)) for lang in ("de", "en")}
+        best = max(sorted(total), key=total.get)
+        chance = math.exp(total[best]) / sum(map(math.exp, total.values()))
+        if split(text):
+            assert got[100 + i].lang_pred == best and math.isclose(got[100 + i].score, chance, rel_tol=1e-5), text
+        else:
+            assert (got[100 + i].lang_pred, got[100 + i].score) == ("und", 0.0)
+
+
+def test_a_rare_language_reaches_the_fit(spark):
+    rows = [(i, "the house and the garden", "en") for i in range(400)] + [(1000, "das haus und der garten", "de"), (2000, "der garten", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = language.identify(docs, F.col("doc_id") < 2000, fit_rows=40).filter("doc_id = 2000").first()
+    assert out.lang_pred == "de"
+
+
 # quality
 
 
@@ -446,6 +527,70 @@ def test_quality_edges(spark, edges, nothing):
     assert quality.good_rows(edges, labels.filter("doc_id = 9")).columns == edges.columns
 
 
+def slow_text_features(text):
+    """The shapes and counted content of a text, word by word."""
+    raw = text.encode()
+    words = raw.decode("latin-1").replace("\x85", "x").replace("\xa0", "x").split()
+    letter = lambda c: c.isascii() and c.isalpha() or ord(c) > 127
+    symbol = lambda c: not letter(c) and not c.isdigit()
+    n, lows = len(words), [low(w) for w in words]
+    plain = sum(letter(w[0]) and (all(letter(c) or c in "'-" for c in w) or (w[-1] in ".,;:!?" and all(letter(c) or c in "'-" for c in w[:-1]))) for w in words)
+    lines = [x for x in raw.split(b"\n") if x.strip(b" \t\n\v\f\r")]
+    cased = lambda w: any("A" <= c <= "Z" for c in w) and not any("a" <= c <= "z" for c in w)
+    shapes = [
+        math.log1p(n) / 10, sum(map(len, words)) / n / 10, len(set(lows)) / n, len(set(lows)) / math.sqrt(n) / 10, plain / n, sum(len(w) > 1 and symbol(w[-1]) and symbol(w[-2]) for w in words) / n,
+        sum(all(map(symbol, w)) for w in words) / n, sum(len(w) > 1 and cased(w) for w in words) / n, sum(w[0] in "0123456789" for w in words) / n, max(map(lows.count, lows)) / n,
+        sum(a == b for a, b in zip(lows, lows[1:])) / n, 1 - len(set(lines)) / max(len(lines), 1), min(n / max(len(lines), 1), 200) / 200, sum(len(w) > 20 for w in words) / n,
+    ]
+    content = {}
+    for w in lows:
+        at = zlib.crc32(w.encode("latin-1")) % quality.WORD_PLACES
+        content[at] = content.get(at, 0) + 1
+    octets = low(text).encode()
+    for i in range(len(octets) - 3):
+        at = quality.WORD_PLACES + ((int.from_bytes(octets[i : i + 4], "big") * 2654435761) % 2**32 >> 20)
+        content[at] = content.get(at, 0) + 1
+    size = math.sqrt(sum(math.log1p(v) ** 2 for v in content.values()))
+    return shapes, {k: math.log1p(v) / size for k, v in content.items()}
+
+
+@pytest.mark.parametrize("text", ["One TWO three. One", "a a A\n\n b-b 'c' ?! 12 x9 -- \n a a A", "é É naïve ÀB it's\tfine!!", "x", "w" * 30 + " " + "don't. " * 5])
+def test_text_features_by_hand(text):
+    shapes, places, values = quality.text_features(text)
+    wanted, content = slow_text_features(text)
+    assert np.allclose(shapes, wanted) and np.allclose([content[p] for p in places.tolist()], values) and len(places) == len(content)
+
+
+def test_quality_scores_are_the_models(spark):
+    """classify() against the fitted model row by row, by way of each view's formula."""
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
+    logit = lambda p: math.log(p / (1 - p))
+    for r in docs.limit(60).collect():
+        shapes, content = slow_text_features(r.text)
+        x = np.array([*shapes, *(shapes[i] * shapes[j] for i in range(14) for j in range(i, 14))])
+        a = np.clip((x - model.text.mean) / model.text.scale, -8, 8) @ model.text.weights[:-1] + model.text.weights[-1] + sum(model.text.content[p] * v for p, v in content.items())
+        y = np.array(quality.meta_features(r.source, r.lang, r.n_chars))
+        b = np.clip((y - model.meta.mean) / model.meta.scale, -8, 8) @ model.meta.weights[:-1] + model.meta.weights[-1]
+        a, b = np.clip([a, b], -30, 30)
+        g = got[r.doc_id]
+        assert abs(logit(g.text_score) - a) < 1e-3 and abs(logit(g.meta_score) - b) < 1e-3
+        assert abs(logit(g.score) - (model.combine[0] * a + model.combine[1] * b + model.combine[2])) < 1e-2 and g.kept == (g.score >= 0.5)
+
+
+def test_content_alone_tells_the_classes(spark):
+    """Texts alike in shape and metadata, told apart by their words; the classes are far from even."""
+    rng = random.Random(6)
+    vocabulary = {1: ["bread", "stone", "river", "table"], 0: ["spams", "clicks", "winns", "offer"]}
+    rows = [(i, i % 8 != 0) for i in range(600)]
+    text = lambda good: " ".join(rng.choice(vocabulary[good] if rng.random() < 0.4 else ["green", "house", "light", "paper"]) for _ in range(30))
+    docs = docs_of(spark, [(i, text(int(good))) for i, good in rows])
+    labels = spark.createDataFrame([(i, int(good)) for i, good in rows if i < 300], "doc_id long, quality int")
+    out = {r.doc_id: r.kept for r in quality.classify(docs, labels).collect()}
+    assert np.mean([out[i] == good for i, good in rows if i >= 300]) > 0.97
+
+
 # lattice
 
 
@@ -726,3 +871,35 @@ def test_pipeline_stages(spark):
     a, b = named["best-fit packing"]
     used = check_packing(b, 2048, {r.doc_id: len(encode(r.text)) // 4 for r in a})
     assert used <= 1.02 * sum(p.length for p in b) / 2048 + 1
+
+
+def test_pipeline_stages_at_the_edges(spark, nothing):
+    """Nulls in any column, empty and long texts, repeated rows and ids, and an empty table."""
+    import corpus_pipeline
+
+    item = spark.read.parquet(f"{SMALL}/benchmark.parquet").first().text
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [
+        (1, "Same TEXT here", "en", "a", 14), (2, "same text here", None, None, None), (2, "same text here", None, None, None), (2, "a clean text of the same id", "en", "a", 1), (None, None, None, None, None),
+        (None, "", "en", "b", 0), (4, " ", "en", "b", 1), (5, f"words before {item} and after", "en", "b", 1), (5, "another clean one of five", "en", "b", 1), (6, "long " * 60_000, "de", None, 300_000),
+    ]
+    docs = spark.createDataFrame(rows, schema)
+    wanted = {
+        "quality classifier": rows,
+        "exact dedup": [rows[i] for i in (1, 3, 5, 6, 7, 8, 9)],
+        "benchmark decontamination": [r for i, r in enumerate(rows) if i != 7],
+    }
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        found = [tuple(r) for r in out.collect()]
+        if name == "best-fit packing":
+            assert len(found) >= len(rows)
+        elif name == "SimHash near-dedup":
+            best = {}
+            for r in rows:
+                best.setdefault(slow_fingerprint(r[1]), set()).add((r[0], r[1] or ""))
+            assert out.columns == docs.columns and len(found) == len(set(reach(sorted(best)).tolist()))
+        else:
+            blank = lambda rs: sorted(repr((r[0], low(r[1]))) for r in rs)
+            assert out.columns == docs.columns and blank(found) == blank(wanted[name]), name
+        assert stage(spark, docs.filter("doc_id = 99"), SMALL).count() == 0, name
