@@ -40,7 +40,9 @@ def comparable(df):
     def show(v):
         if pd.isna(v):
             return ""
-        return f"{v + 0.0:.6f}".replace("-0.000000", "0.000000") if isinstance(v, float) else str(v)
+        if isinstance(v, float):  # also whole numbers, where pandas keeps a column with missing ones as floats
+            return "0" if abs(v) < 5e-7 else f"{v:.6f}".rstrip("0").rstrip(".")
+        return str(v)
 
     columns = sorted(df.columns)
     return columns, sorted(tuple(show(v) for v in row) for row in df[columns].astype(object).itertuples(index=False, name=None))
