@@ -74,7 +74,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
     passed over, what is open at the end is closed.  A dropped element goes with all that it holds; one that is never
     closed takes no more than the text up to the next block with it, but scripts and styles the rest of the page.
     """
-    nodes, blocks = [Node("body", "none", -1)], []
+    nodes, blocks, closed = [Node("body", "none", -1)], [], {}
     stack, pieces, anchor = [0], [], False
 
     def flush() -> None:
@@ -110,7 +110,7 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         tag = m[2].lower()
         if tag in DROPPED:
             if not m[1] and not m[3].endswith("/"):
-                at = _past(page, at, tag)
+                at = _past(page, m.start(), at, tag, closed)
             continue
         if tag == "a":
             anchor = not m[1]
@@ -136,13 +136,29 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 _BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
 
 
-def _past(page: str, at: int, tag: str) -> int:
-    """Where the page goes on after a dropped element whose start tag ends at ``at``."""
-    depth = 1
-    for m in re.compile(rf"<(/?){tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).finditer(page, at):
-        depth += -1 if m[1] else 0 if tag in RAW or m[0].endswith("/>") else 1
-        if not depth:
-            return m.end()
+def _closed(page: str, tag: str) -> dict[int, int]:
+    """By where each start tag of a dropped element stands, where its end tag ends; those never closed are left out."""
+    found: dict[int, int] = {}
+    opened: list[int] = []
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).finditer(page):
+        if not m[1]:
+            if not m[0].endswith("/>"):
+                opened.append(m.start())
+        elif tag in RAW:
+            found.update((o, m.end()) for o in opened)
+            opened = []
+        elif opened:
+            found[opened.pop()] = m.end()
+    return found
+
+
+def _past(page: str, start: int, at: int, tag: str, closed: dict[str, dict[int, int]]) -> int:
+    """Where the page goes on after a dropped element whose start tag stands from ``start`` to ``at``; closed keeps _closed() by tag."""
+    if tag not in closed:
+        closed[tag] = _closed(page, tag)
+    end = closed[tag].get(start)
+    if end is not None:
+        return end
     if tag in ("script", "style"):
         return len(page)
     block = _BLOCK_TAG.search(page, at)
