@@ -131,3 +131,20 @@ def test_weighted_draws_equal_repeated_rows(spark):
     draws = spark.createDataFrame([(0, 1, 2), (0, 2, 1)], "draw long, item long, times long")
     rows = spark.createDataFrame([(1, 3.0), (2, 6.0)], "item long, v double")
     assert resample.resampled_mean(rows, draws, [], "item", "v").first().v == pytest.approx(4.0)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(st.integers(-8, 8), st.integers(1, 4)), min_size=1, max_size=9))
+def test_pooled_fit_is_the_least_squares_one(points):
+    """Against the largest, over starts, of the least mean over ends."""
+    y, w = [float(a * b) for a, b in points], [float(b) for _, b in points]
+    mean = lambda a, b: sum(y[a : b + 1]) / sum(w[a : b + 1])
+    wanted = [max(min(mean(a, b) for b in range(i, len(y))) for a in range(i + 1)) for i in range(len(y))]
+    assert np.allclose(estimate.pooled(y, w), wanted)
+
+
+def test_anchors_are_the_first_of_each_run():
+    values = [0.0, 1.0, 1.5, 2.0, 2.1, 9.0]
+    assert rank.anchors(values, 1.0, False) == [0.0, 0.0, 1.5, 1.5, 1.5, 9.0]
+    assert rank.anchors(values, 1.0, True) == [0.0, 1.0, 1.0, 2.0, 2.0, 9.0]
+    assert rank.anchors([], 1.0, True) == []

@@ -100,6 +100,31 @@ def test_commit_journal_and_resume(spark, tmp_path):
     assert [(r.attempts, r.retries) for r in resume.retries(spark.read.parquet(str(tmp_path / "j"))).collect()] == [(2, 1)]
 
 
+def test_payload_digest_is_of_the_rows_as_a_multiset(spark):
+    digest = lambda ids, parts=1: sinks.payload_digest(spark.createDataFrame([(i,) for i in ids], "x long").repartition(parts), 8).first()[0]
+    rows = list(range(50))
+    assert digest(rows) == digest(rows[::-1], 5) and len({digest(rows), digest(rows[1:]), digest([*rows, 7]), digest([])}) == 4
+
+
+def test_headlines_and_bands(spark):
+    recorded = spark.createDataFrame([("a", 1.0, 0.1), ("b", 2.0, 0.1), ("c", 3.0, 0.1), ("d", None, 0.1)], "headline string, value double, tolerance double")
+    found = spark.createDataFrame([("a", 1.05), ("b", 2.2), ("d", 1.0), ("e", 1.0)], "headline string, value double")
+    assert sorted((r.rule, r.key) for r in verify.headlines(recorded, found).collect()) == [
+        ("headline_differs", "b"), ("headline_differs", "d"), ("headline_missing", "c"), ("headline_unrecorded", "e"),
+    ]
+    stored = spark.createDataFrame([("x", 1.0, 0.5, 2.0, 0.0, 2.0), ("y", 1.0, 0.5, 2.0, 0.1, 2.0), ("z", 1.0, 0.5, 2.0, None, 2.1)], "cell string, point double, se double, critical double, low double, high double")
+    assert sorted((r.rule, r.key) for r in verify.band_violations(stored, ["cell"]).collect()) == [("band_high", "z"), ("band_low", "y"), ("band_low", "z")]
+
+
+def test_topology(spark):
+    rows = [("m", 0, None, 0), ("m", 1, 0, 1), ("m", 2, 9, 2), ("m", 3, 2, -1), ("n", 0, 1, 0), ("n", 1, 0, 1), ("n", 2, None, 0), ("n", 2, None, 0)]
+    out = trace.topology_violations(spark.createDataFrame(rows, "model string, id long, parent long, place int"), "model", "id", "parent", "place").collect()
+    assert sorted((r.model, r.component, r.reason) for r in out) == [
+        ("m", 2, "no_root_above"), ("m", 2, "parent_missing"), ("m", 3, "no_root_above"), ("m", 3, "order_negative"),
+        ("n", 0, "no_root_above"), ("n", 1, "no_root_above"), ("n", 2, "component_duplicated"),
+    ]
+
+
 def test_incremental_landing(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/1.jsonl").write_text(json.dumps({"id": "a", "n": 1}) + "\n")
