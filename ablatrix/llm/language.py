@@ -92,14 +92,16 @@ def fit(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     labelled = labelled.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share[F.col("lang")])
     counted = labelled.select("lang", "body").mapInArrow(_count, "lang string, order int, token string, n long")
     each = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{j}") for j, lang in enumerate(languages)]
-    kept = counted.groupBy("order", "token").agg(*each).toPandas()
-    orders, n = kept["order"].to_numpy(), kept[[f"n{j}" for j in range(len(languages))]].to_numpy(dtype=float)
+    kept = counted.groupBy("order", "token").agg(*each).toArrow()
+    orders = kept["order"].to_numpy()
     index: dict[int, dict[str, int]] = {}
-    values, smooth = np.zeros(n.shape, np.float32), 0.1
+    values, smooth = np.zeros((len(orders), len(languages)), np.float32), 0.1
     for order in (0, *ORDERS):
         at = np.flatnonzero(orders == order)
-        index[order] = dict(zip(kept["token"].to_numpy()[at], at.tolist()))
-        values[at] = np.log((n[at] + smooth) / (n[at].sum(axis=0) + smooth * ((n[at] > 0).sum(axis=0) + 1)))
+        index[order] = dict(zip(kept["token"].take(pa.array(at)).to_pylist(), at.tolist()))
+        for j in range(len(languages)):
+            n = kept[f"n{j}"].to_numpy()[at]
+            values[at, j] = np.log((n + smooth) / (n.sum() + smooth * ((n > 0).sum() + 1)))
     return Model(languages, index, values)
 
 
