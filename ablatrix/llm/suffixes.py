@@ -13,8 +13,8 @@ from ablatrix.llm.common import BLANKS, checkpointed, look_up, parts, ship, tabl
 
 #: Words in the shortest repeat that is reported, and in the k-gram that a retained suffix begins with.
 LEAST, GRAM = 50, 12
-#: A k-gram with more places than this is matched by its windows, not by its sorted suffixes.
-OFTEN = 2048
+#: Suffixes of one k-gram that a task compares at most, some 15 MB; one with more places is matched by its windows.
+OFTEN = 20_000
 #: k-grams in a window.  Any LEAST words hold one whole window, and so a retained position.
 WINDOW = LEAST - GRAM + 1
 
@@ -49,10 +49,15 @@ def minimisers(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     if len(tokens) < LEAST:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     h = _rolled(_word_hashes(tokens), GRAM)
-    best = np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1))
+    best = np.unique(_least(h))
     return best.astype(np.int64), h[best].view(np.int64)
 
 
+def _least(h: np.ndarray) -> np.ndarray:
+    """The position that each window of k-grams retains."""
+    return np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+
+
 def _select(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, pos, h); within a task each text once."""
     seen: set[bytes] = set()
@@ -151,20 +156,34 @@ def matches(run: list[tuple[bytes, bytes, bytes, list[int]]]) -> dict[bytes, lis
                 span(run[i], left, right)
                 span(run[j], left, right)
     if any(a + b >= LEAST and c < a + b for a, b, c in zip(ahead, behind, both)):
-        held: dict[int, list[tuple[int, int, int]]] = {}
-        for i, row in enumerate(run):
-            back = row[1].split()
-            around = back[::-1] + row[0].split()
-            if len(around) >= LEAST:
-                for s, w in enumerate(_rolled(_word_hashes(around), LEAST)[: len(back) + 1].tolist()):
-                    held.setdefault(w, []).append((i, len(back) - s, s + LEAST - len(back)))
-        for rows in held.values():
-            if len({run[i][2] for i, _, _ in rows}) > 1:
-                for i, left, right in rows:
-                    span(run[i], left, right)
+        for i, left in _shared_windows(run):
+            span(run[i], left, LEAST - left)
     return {digest: _joined(spans) for digest, spans in found.items()}
 
 
+def _shared_windows(run: list[tuple]) -> Iterator[tuple[int, int]]:
+    """(suffix, words before its place) of the windows of LEAST words around the k-gram that two texts hold."""
+    texts = {digest: k for k, digest in enumerate({row[2] for row in run})}
+    hashes, of, left = [], [], []
+    for i, row in enumerate(run):
+        back = row[1].split()
+        around = back[::-1] + row[0].split()
+        if len(around) >= LEAST:
+            w = _rolled(_word_hashes(around), LEAST)[: len(back) + 1]
+            hashes.append(w)
+            of.append(np.full(len(w), i))
+            left.append(len(back) - np.arange(len(w)))
+    if hashes:
+        _, same = np.unique(np.concatenate(hashes), return_inverse=True)
+        of, left = np.concatenate(of), np.concatenate(left)
+        text = np.array([texts[row[2]] for row in run])[of]
+        low, high = np.full(same.max() + 1, len(texts)), np.full(same.max() + 1, -1)
+        np.minimum.at(low, same, text)
+        np.maximum.at(high, same, text)
+        at = np.flatnonzero((low < high)[same])
+        yield from zip(of[at].tolist(), left[at].tolist())
+
+
 def _joined(spans: set[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for start, end in sorted(spans):
@@ -194,22 +213,23 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(digest, start, h, w): every window of LEAST words that covers a common k-gram, w the hash of its words."""
+    """(digest, start, h, w): every window of LEAST words that retains a common k-gram, w the hash of its words.
+
+    A window retains one place, by its own words; texts that share the window share that k-gram.
+    """
     names, types = ("digest", "start", "h", "w"), (pa.binary(), pa.int64(), pa.int64(), pa.int64())
     for batch in batches:
         for at in range(batch.num_rows):
-            marks = [m for m in batch.column("marks")[at].as_py() if m["often"]]
-            if not marks:
+            often = [m["pos"] for m in batch.column("marks")[at].as_py() if m["often"]]
+            if not often:
                 continue
-            digest, tokens = batch.column("digest")[at].as_py(), words(batch.column("body")[at].as_py())
-            w = _rolled(_word_hashes(tokens), LEAST).view(np.int64)
-            starts = np.array([m["pos"] for m in marks])[:, None] - np.arange(WINDOW)
-            h = np.broadcast_to(np.array([m["h"] for m in marks], dtype=np.int64)[:, None], starts.shape)
-            fits = (starts >= 0) & (starts < len(w))
-            found = np.unique(np.stack([starts[fits], h[fits]]), axis=1)
-            for a in range(0, found.shape[1], 20_000):
-                start, key = found[:, a : a + 20_000]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([digest] * len(start), start, key, w[start]), types)], names)
+            digest, hashes = batch.column("digest")[at].as_py(), _word_hashes(words(batch.column("body")[at].as_py()))
+            h, w = _rolled(hashes, GRAM), _rolled(hashes, LEAST).view(np.int64)
+            least = _least(h)
+            starts = np.flatnonzero(np.isin(least, often))
+            for a in range(0, len(starts), 20_000):
+                start = starts[a : a + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(([digest] * len(start), start, h[least[start]].view(np.int64), w[start]), types)], names)
 
 
 def _repeated_windows(held: DataFrame) -> DataFrame:
@@ -230,8 +250,8 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", oft
     2. Only suffixes whose k-gram occurs in another text go on, with the words around them.
     3. Suffixes are sorted by k-gram and words ahead, and those of a k-gram by words behind too.  Neighbours of different
        texts are compared word by word and their match extended right and left; see matches().
-    4. A k-gram with more than ``often`` places would be too much for one task.  Around its places all windows of LEAST
-       words are keyed by a hash, counted with a map-side combine, and those that two texts hold are matches.  Both ways
+    4. A k-gram with more than ``often`` places would be too much for one task.  All windows of LEAST words that retain
+       it are keyed by a hash, counted with a map-side combine, and those that two texts hold are matches.  Both ways
        find every match.
     5. The matches of a text are joined to maximal spans.  A text of LEAST words or more that several rows hold is one
        span from end to end.
