@@ -2,6 +2,7 @@
 
 from ablatrix.llm.decontaminate import OP10_SQL, op10_decontaminate
 from ablatrix.llm.exact_dedup import OP1_SQL, op1_exact_dedup
+from ablatrix.llm.fim import OP11_SQL, op11_fill_in_middle
 from ablatrix.llm.html_text import op3_html_text
 from ablatrix.llm.language import op5_language_id
 from ablatrix.llm.lattice import op8_lattice_lm
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_lattice_lm": op8_lattice_lm,
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
