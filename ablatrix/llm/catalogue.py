@@ -1,5 +1,6 @@
 """The queries of this subpackage and the SQL that some of them are held against."""
 
+from ablatrix.llm.debruijn import OP13_SQL, op13_debruijn
 from ablatrix.llm.decontaminate import OP10_SQL, op10_decontaminate
 from ablatrix.llm.exact_dedup import OP1_SQL, op1_exact_dedup
 from ablatrix.llm.fim import OP11_SQL, op11_fill_in_middle
@@ -10,6 +11,7 @@ from ablatrix.llm.packing import op2_packing
 from ablatrix.llm.quality import op7_quality
 from ablatrix.llm.secrets import op4_secrets
 from ablatrix.llm.simhash import op9_simhash
+from ablatrix.llm.spelling import OP12_SQL, op12_spelling
 from ablatrix.llm.suffixes import op6_suffix_dedup
 
 QUERIES = {
@@ -24,6 +26,8 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_decontaminate": op10_decontaminate,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_spelling": op12_spelling,
+    "op13_debruijn": op13_debruijn,
 }
 
-SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op10_decontaminate": OP10_SQL, "op11_fill_in_middle": OP11_SQL, "op12_spelling": OP12_SQL, "op13_debruijn": OP13_SQL}
