@@ -37,9 +37,11 @@ def test_arguments_are_typed(spark):
     assert scored.filter("x.tool_selection <> 1 OR x.argument_binding <> right OR x.full_call <> right").count() == 0
 
 
-def test_optional_and_unknown_arguments():
+def test_optional_and_unknown_arguments(spark):
     def match(given, required=("size",), **allowed):
-        return S.arguments_match(given, {"size": [3, 4]} | allowed, ["size", "shade"], list(required))
+        call = json.dumps([{"name": "weigh", "arguments": given}])
+        wanted, rules = json.dumps([{"weigh": {"size": [3, 4]} | allowed}]), json.dumps({"argument_names": ["size", "shade"], "required": list(required)})
+        return spark.range(1).select(S.tool_scores(F.lit(call), F.lit(wanted), F.lit(rules))["argument_binding"]).first()[0] == 1
 
     assert match({"size": 4}) and match({"size": 4}, shade=["dark", ""]) and match({"size": 3, "shade": "dark"}, shade=["dark", ""])
     assert not match({"size": 5}) and not match({}) and not match({"size": 4}, shade=["dark"]) and not match({"size": 4, "shade": "dark"})
@@ -47,6 +49,45 @@ def test_optional_and_unknown_arguments():
     assert not match({"size": 4, "weight": 1}, weight=[1])
 
 
+def test_json_is_read_from_end_to_end(spark):
+    good = ["1", " [1] ", '{"a": "]"}', '"x"', "null", r'[1, "\\"]']
+    bad = ["", " ", "[1] 2", "1,2", "1]", "[1]], [[2]", '1,"x"]', "{", "NaN", '{"a": 1, "a": 2}', "'x'", "//", "[1] //", None]
+    rows = spark.createDataFrame([(t, t in good) for t in good + bad], "t string, good boolean")
+    assert rows.filter(S.whole_json(F.col("t")).isNotNull() != F.col("good")).count() == 0
+
+
+def test_canonical_forms(spark):
+    """Equal values have one form, whatever the depth; trimmed or plain."""
+    classes = [["7", "7.0", "7e0", "70E-1"], ["-0", "0", "0.0"], ["0.1", "1e-1", "0.10"], ["1e20", "100000000000000000000"], ["true"], ["1"], ["null"], ['"null"'], ["[]"], ["{}"], ['{"a": 1, "b": [2]}', ' { "b" : [2.0],"a":1.0}'], ['{"a ": 1}'], ['{"a": 1}']]
+    padded = [['"x"', '" x "', r'"\t x\n"', r'"\u001cx"'], [r'"x\\n"'], [r'"x\" "', r'"x\""'], ['["x"]', '[" x"]'], ['{"k": "x"}', r'{"k": "x\r\f"}'], ['""', '"  "'], ['": x"'], [r'"a: \"b\": 1"']]
+    rows = spark.createDataFrame([(i, t) for i, c in enumerate(classes + padded) for t in c], "i int, t string").withColumn("v", F.try_parse_json("t"))
+    shown = rows.select("i", "t", S.canonical(F.col("v")).alias("c"), S.canonical(F.col("v"), False).alias("p")).collect()
+    by_class = {}
+    for r in shown:
+        by_class.setdefault(r.i, set()).add(r.c)
+    assert all(len(c) == 1 for c in by_class.values()), by_class
+    assert len({next(iter(c)) for c in by_class.values()}) == len(by_class)
+    plain = {r.t: r.p for r in shown}
+    assert plain["true"] == plain["1"] == "1" and plain['"x"'] != plain['" x "'] and plain["7.0"] == "7"
+
+
+def test_greedy_match_takes_the_first_free_call(spark):
+    call = lambda n, **a: {"name": n, "arguments": a}
+    p = [call("f", x=1), call("g"), call("f", x=2), call("f", x=3)]
+    e = [call("f", x=2), call("f", x=2), call("h"), call("g"), call("f", x=3.0), call("f", x=4)]
+    r = spark.range(1).select(S.matched_call_scores(F.lit(json.dumps(p)), F.lit(json.dumps(e))).alias("x")).first().x
+    assert {m: (s.numerator, s.denominator) for m, s in r.scores.items()} == {"tool_selection": (0, 1), "full_call": (0, 1), "argument_binding": (3, 4)}
+    same = spark.range(1).select(S.matched_call_scores(F.lit('[{"name": "f", "arguments": {"b": 1.0, "a": true}}]'), F.lit('[{"arguments": {"a": 1, "b": 1}, "name": "f"}]')).alias("x")).first().x
+    assert same.scores["full_call"].value == 1
+
+
+def test_scorers_need_no_python_worker(spark):
+    rows = spark.createDataFrame([("[]", "[]", "{}")], "o string, e string, s string")
+    for scored in (S.tool_scores("o", "e", "s"), S.matched_call_scores("o", "e"), S.typed_match("o", "e"), S.abstention(F.col("o"))):
+        plan = rows.select(scored)._jdf.queryExecution().toString()
+        assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_abstention(spark):
     form, call = S.ABSTENTION_FORMS[1], {"name": "weigh", "arguments": {"size": 3}}
     cases = {
