@@ -8,6 +8,7 @@ import math
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ablatrix.errors import InvalidEvidence
 from ablatrix.limits import DEPTH
 from ablatrix.schemas import TEXT
 
@@ -58,6 +59,13 @@ def refusal(text: str | None, most: int, depth: int = DEPTH) -> str | None:
     return "json_too_deep" if deepest > depth else "json_too_many_nodes" if nodes > most else None
 
 
+def strict_loads(text: str, most: int, depth: int = DEPTH) -> object:
+    """The value of a document that evidence doesn't refuse."""
+    if reason := refusal(text, most, depth):
+        raise InvalidEvidence(reason)
+    return json.loads(text)
+
+
 @F.pandas_udf(TEXT)
 def admitted(text: pd.Series, most: pd.Series) -> pd.Series:
     """refusal() of a column; most is the number of nodes that each document may have."""
