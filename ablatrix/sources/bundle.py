@@ -2,7 +2,10 @@
 
     register(spark)
     df.write.format("evidence").mode("append").save(path)
-    spark.read.format("evidence").load(path).filter("split = 'discovery'")
+    spark.read.format("evidence").option("split", '["discovery"]').load(path)
+
+Splits and kinds are chosen by options, before any file is opened, and not by pushed filters: Spark 4.1 keeps the filters that
+the first query of a DataFrame pushed into a Python source for all its later queries, which would then lack rows.
 
 Paths are local ones or URIs that pyarrow's file systems open.
 """
@@ -22,12 +25,13 @@ from pathlib import PurePosixPath
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ablatrix import limits
 from ablatrix.errors import InvalidEvidence
 from ablatrix.functions.expressions import HEX_DIGEST
 from ablatrix.functions.strict_json import strict_loads
+from ablatrix.shipping import ship
 from ablatrix.sources.sinks import canonical_bytes, sensitive_columns
 
 FORMAT, MANIFEST = "evidence", "MANIFEST.json"
@@ -198,23 +202,16 @@ def _rows(entry: Entry, content: bytes, schema: pa.Schema) -> pa.Table:
 
 
 class EvidenceReader(DataSourceReader):
-    """A partition an entry.  Size and digest are checked by the task that reads the file, before a row of it is seen."""
+    """A partition an entry of the chosen roles.  Size and digest are checked by the task that reads the file, before a row of it is seen."""
 
     def __init__(self, schema: T.StructType, options):
         self.schema, self.options = schema, options
         manifest = _manifest(options)
         self.entries = bound_entries(manifest, options)
-        self.wanted: dict[str, set] = {}
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        """Equality and membership on columns that every entry has one value of; the others stay with Spark."""
-        for f in filters:
-            name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
-            if name in ROLES and all(name in e.roles for e in self.entries):
-                values = {f.value} if isinstance(f, EqualTo) else set(f.value)
-                self.wanted[name] = self.wanted[name] & values if name in self.wanted else values
-            else:
-                yield f
+        self.wanted = {name: json.loads(options[name]) for name in ROLES if name in options}
+        for name in self.wanted:
+            if not all(name in e.roles for e in self.entries):
+                raise InvalidEvidence("role_unknown", name)
 
     def partitions(self) -> Sequence[InputPartition]:
         store = Store(self.options["path"])
@@ -347,8 +344,8 @@ class EvidenceSource(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    """Make the format known to a session, and let it push filters down."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    """Make the format known to a session."""
+    ship(spark)
     spark.dataSource.register(EvidenceSource)
 
 
@@ -358,8 +355,9 @@ def publish_evidence(df: DataFrame, path: str, **options: int) -> None:
     df.write.format(FORMAT).options(**options).mode("append").save(path)
 
 
-def evidence(spark: SparkSession, path: str, schema: T.StructType | str | None = None, **options: int) -> DataFrame:
-    """Rows of evidence.  Columns split and kind, where files have one value of each, choose files before any is opened."""
+def evidence(spark: SparkSession, path: str, schema: T.StructType | str | None = None, split: Sequence[str] = (), kind: Sequence[str] = (), **options: int) -> DataFrame:
+    """Rows of evidence, of the given splits and kinds if any are given: then files of others are not opened."""
     register(spark)
-    reader = spark.read.format(FORMAT).options(**options)
+    chosen = {name: json.dumps(list(values)) for name, values in (("split", split), ("kind", kind)) if values}
+    reader = spark.read.format(FORMAT).options(**options, **chosen)
     return (reader.schema(schema) if schema is not None else reader).load(path)

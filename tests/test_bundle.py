@@ -38,20 +38,33 @@ def test_round_trip(spark, published):
     assert len(listed) == 12 and {(e["split"], e["kind"]) for e in listed} == {(s, k) for s in ("discovery", "validation") for k in ("simple", "format")}
 
 
-def test_filters_on_roles_choose_files(spark, published):
-    """Files of other splits and kinds are not opened: an altered one there is no matter; other filters stay with Spark."""
+def test_roles_choose_files(spark, published):
+    """Files of other splits and kinds are not opened: an altered one there is no matter; filters stay with Spark."""
     path, df = published
     for e in manifest_of(path)["artifacts"]:
         if (e["split"], e["kind"]) != ("discovery", "simple"):
             with open(f"{path}/{e['path']}", "ab") as f:
                 f.write(b"x")
-    wanted = "split = 'discovery' AND kind IN ('simple', 'other') AND id > 50"
-    found = bundle.evidence(spark, path).filter(wanted)
+    found = bundle.evidence(spark, path, split=["discovery"], kind=["simple", "other"])
     assert found.rdd.getNumPartitions() == 3
-    assert sorted(found.collect()) == sorted(df.filter(wanted).collect())
-    assert bundle.evidence(spark, path).filter("split = 'nowhere'").count() == 0
+    for more in ("id > 50", "id <= 50", "true"):
+        assert sorted(found.filter(more).collect()) == sorted(df.filter(f"split = 'discovery' AND kind = 'simple' AND {more}").collect())
+    assert bundle.evidence(spark, path, split=["nowhere"]).count() == 0
     with pytest.raises(Exception, match="artifact_size"):
-        bundle.evidence(spark, path).filter("kind = 'format'").collect()
+        bundle.evidence(spark, path, kind=["format"]).collect()
+
+
+def test_a_table_may_be_filtered_more_than_once(spark, published):
+    path, df = published
+    rows = bundle.evidence(spark, path)
+    for wanted in ("split = 'validation'", "split = 'discovery'", "kind = 'simple'", "true"):
+        assert rows.filter(wanted).count() == df.filter(wanted).count()
+
+
+def test_a_role_that_files_lack_cannot_choose(spark, tmp_path):
+    bundle.publish_evidence(spark.range(5), str(tmp_path / "b"))
+    with pytest.raises(Exception, match="role_unknown"):
+        bundle.evidence(spark, str(tmp_path / "b"), split=["discovery"]).collect()
 
 
 @pytest.mark.parametrize("reason,change", [
