@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -9,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ablatrix.llm.common import checkpointed, look_up, parts, ship, table
-from ablatrix.llm.suffixes import _rolled, _word_hashes
+from ablatrix.llm.common import HOT_SLOTS, checkpointed, look_up, parts, ship, table
 
 #: Words of a window, which is an edge; a node is one word shorter.
 LEAST = 35
@@ -21,8 +21,10 @@ WINDOW = LEAST - GRAM + 1
 PLACE_BITS = 27
 #: Slices of one text that are digested together.
 SLICES = 20_000
-#: Rows of a batch that a task hands on.
-BATCH = 50_000
+#: Words of texts whose windows are hashed together.
+TOGETHER = 1 << 20
+#: Words that a task keeps the hashes of.
+KNOWN = 1 << 20
 
 Hashes = Callable[[np.ndarray, int], np.ndarray]
 
@@ -53,6 +55,32 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at.keys(), pa.string()), pa.array(packed, pa.binary()), pa.array(n, pa.int64())], ["digest", "packed", "n"])
 
 
+class _Known(dict):
+    """Hashes of words, by word; forgotten when there are too many."""
+
+    def __missing__(self, word: bytes) -> int:
+        from xxhash import xxh64_intdigest
+
+        if len(self) >= KNOWN:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word)
+        return h
+
+
+def rolled(values: np.ndarray, width: int) -> np.ndarray:
+    """A hash of each run of width values: a polynomial's value, put together from runs of 1, 2, 4 ... values, and mixed."""
+    size = max(len(values) - width + 1, 0)
+    total, done, power, run, length = np.zeros(size, dtype=np.uint64), 0, 0x9E3779B97F4A7C15, values, 1
+    while done < width:
+        if width & length:
+            total = total * np.uint64(power) + run[done : done + size]
+            done += length
+        run, power, length = run[:-length] * np.uint64(power) + run[length:], power * power % (1 << 64), 2 * length
+    total ^= total >> np.uint64(31)
+    total *= np.uint64(0xD6E8FEB86659FD93)
+    return total ^ total >> np.uint64(32)
+
+
 def _unpacked(batch: pa.RecordBatch, *others: str) -> Iterator[tuple]:
     """(words, others ...) of each row; words are runs of anything but ASCII white space."""
     import zstandard
@@ -64,6 +92,35 @@ def _unpacked(batch: pa.RecordBatch, *others: str) -> Iterator[tuple]:
         yield open_.decompress(packed).split(), *rest
 
 
+def _together(batches: Iterator[pa.RecordBatch], *others: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[tuple]]]:
+    """(hashes, starts, rows): the word hashes of texts of LEAST words or more one after the other, with where each begins.
+
+    TOGETHER words or one longer text at a time: windows of many texts are worked out in one go.
+    """
+    known, values, starts, rows, size = _Known(), [], [], [], 0
+    for batch in batches:
+        for words, *rest in _unpacked(batch, *others):
+            if len(words) < LEAST:
+                continue
+            if rows and size + len(words) > TOGETHER:
+                yield np.concatenate(values), np.array(starts), rows
+                values, starts, rows, size = [], [], [], 0
+            values.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            starts.append(size)
+            rows.append((*rest, len(words)))
+            size += len(words)
+    if rows:
+        yield np.concatenate(values), np.array(starts), rows
+
+
+def _windows(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, row): where each window of a group of texts begins, and the row of its text; none reaches into the next text."""
+    count = lengths - (LEAST - 1)
+    row = np.repeat(np.arange(len(starts)), count)
+    first = np.cumsum(count) - count
+    return np.arange(len(row)) - first[row] + starts[row], row
+
+
 def numbered(texts: DataFrame) -> DataFrame:
     """texts, which are checkpointed, with a column t: 0, 1, 2 ... in the order of partitions; one number a partition is gathered."""
     row = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
@@ -82,51 +139,36 @@ def retained(h: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
 
 
-def _sliced(columns: list[np.ndarray], names: list[str]) -> Iterator[pa.RecordBatch]:
-    for a in range(0, len(columns[0]), BATCH):
-        yield pa.RecordBatch.from_arrays([pa.array(c[a : a + BATCH]) for c in columns], names)
-
-
-def _gathered(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """Batches of some BATCH rows of the columns that each text gives."""
-    held, size = [], 0
-    for columns in rows:
-        held.append(columns)
-        size += len(columns[0])
-        if size >= BATCH:
-            yield from _sliced([np.concatenate(c) for c in zip(*held)], names)
-            held, size = [], 0
-    if held:
-        yield from _sliced([np.concatenate(c) for c in zip(*held)], names)
-
-
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(place, h): each gram that some window of a text retains."""
+    for values, starts, rows in _together(batches, "t"):
+        t, lengths = (np.array(c, dtype=np.int64) for c in zip(*rows))
+        h = rolled(values, GRAM)
+        begin, row = _windows(starts, lengths)
+        at, first = np.unique(retained(h)[begin], return_index=True)
+        of = row[first]
+        yield pa.RecordBatch.from_arrays([pa.array(at - starts[of] + (t[of] << PLACE_BITS)), pa.array(h[at].view(np.int64))], ["place", "h"])
 
-    def found() -> Iterator[list[np.ndarray]]:
-        for batch in batches:
-            for words, t in _unpacked(batch, "t"):
-                if len(words) >= LEAST:
-                    h = _rolled(_word_hashes(words), GRAM)
-                    at = np.unique(retained(h))
-                    yield [at + (t << PLACE_BITS), h[at].view(np.int64)]
-
-    yield from _gathered(found(), ["place", "h"])
 
-
-def _edges(hashes: Hashes) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(e, l, r, place) of each window whose retained gram is marked: an edge e from node l to node r."""
+def _edges(hashes: Hashes, nodes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(e, place), and with nodes (e, l, r, place), of each window whose retained gram is marked: an edge e from node l to node r."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def found() -> Iterator[list[np.ndarray]]:
-            for batch in batches:
-                for words, t, marks in _unpacked(batch, "t", "marks"):
-                    values = _word_hashes(words)
-                    at = np.flatnonzero(np.isin(retained(_rolled(values, GRAM)), marks))
-                    node, edge = (hashes(values, w).view(np.int64) for w in (LEAST - 1, LEAST))
-                    yield [edge[at], node[at], node[at + 1], at + (t << PLACE_BITS)]
-
-        yield from _gathered(found(), ["e", "l", "r", "place"])
+        for values, starts, rows in _together(batches, "t", "marks"):
+            texts, marks, lengths = zip(*rows)
+            t, lengths = np.array(texts, dtype=np.int64), np.array(lengths, dtype=np.int64)
+            marked = np.zeros(len(values), dtype=bool)
+            for start, places in zip(starts, marks):
+                marked[start + np.array(places)] = True
+            begin, row = _windows(starts, lengths)
+            chosen = marked[retained(rolled(values, GRAM))[begin]]
+            begin, row = begin[chosen], row[chosen]
+            columns = {"e": hashes(values, LEAST).view(np.int64)[begin]}
+            if nodes:
+                node = hashes(values, LEAST - 1).view(np.int64)
+                columns |= {"l": node[begin], "r": node[begin + 1]}
+            columns["place"] = begin - starts[row] + (t[row] << PLACE_BITS)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], list(columns))
 
     return emit
 
@@ -160,10 +202,33 @@ def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], ["digest", "n", "n_words", "n_removed", "kept"])
 
 
+def _look_up(rows: DataFrame, found: DataFrame, key: str, total: int, spread: str) -> DataFrame:
+    """Inner join of rows(key, spread) with found(key, n, ...), n being the rows of a key, without key and n.
+
+    Keys of total / HOT_SLOTS rows or more, HOT_SLOTS at most, are broadcast; rows that this settles pass through the shuffle
+    of the others dealt out by spread.
+    """
+    values = [c for c in found.columns if c not in (key, "n")]
+    least = max(total // HOT_SLOTS, 64)
+    hot = found.filter(F.col("n") >= least).select(F.col(key).alias("hot_key"), *(F.col(c).alias(f"hot_{c}") for c in values))
+    cold = found.filter(F.col("n") < least).select(F.col(key).alias("cold_key"), *(F.col(c).alias(f"cold_{c}") for c in values))
+    settled = rows.join(F.broadcast(hot), F.col(key) == F.col("hot_key"), "left")
+    open_ = F.col("hot_key").isNull()
+    dealt = settled.select(spread, F.when(open_, F.col(key)).otherwise(F.xxhash64(spread)).alias("dealt"), open_.alias("open"), *(f"hot_{c}" for c in values))
+    joined = dealt.join(cold, (F.col("dealt") == F.col("cold_key")) & F.col("open"), "left").filter(~F.col("open") | F.col("cold_key").isNotNull())
+    return joined.select(spread, *(F.when(F.col("open"), F.col(f"cold_{c}")).otherwise(F.col(f"hot_{c}")).alias(c) for c in values))
+
+
+def _release(df: DataFrame) -> DataFrame:
+    """Have Spark drop the shuffles and checkpoints that nothing refers to any more, which it does when the driver collects garbage."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def repeated_edges(edges: DataFrame) -> DataFrame:
     """(e, n, lo, l, r) of the edges with two places or more; lo is the first place, and stands for the edge."""
-    found = edges.groupBy("e").agg(F.count("*").alias("n"), F.min("place").alias("lo"), F.max("place").alias("hi"), F.min("l").alias("l"), F.min("r").alias("r"))
-    return found.filter("lo < hi").drop("hi")
+    return edges.groupBy("e").agg(F.count("*").alias("n"), F.min("place").alias("lo"), F.min("l").alias("l"), F.min("r").alias("r")).filter("n > 1")
 
 
 def chains(edges: DataFrame) -> DataFrame:
@@ -268,26 +333,35 @@ class Repeats:
     texts has (digest, packed, n copies, t); spans has (t, start, end, chain, at); paths has (chain, path, before).
     """
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: Hashes = _rolled):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hashes: Hashes = rolled):
         ship(docs.sparkSession)
         body = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
         self.rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.sha2(body, 256).alias("digest"))
         packed = docs.select(F.sha2(body, 256).alias("digest"), body.alias("body")).mapInArrow(_pack, "digest string, packed binary, n long")
-        texts = checkpointed(packed.groupBy("digest").agg(F.first("packed").alias("packed"), F.sum("n").alias("n")))
-        self.texts = numbered(texts)
+        packed = packed.groupBy("digest").agg(F.first("packed").alias("packed"), F.sum("n").alias("n"))
+        self.texts = numbered(checkpointed(packed))
+        del packed
+        self.held = _release(self._marked())
+        self.hashes = hashes
+        graph = _release(checkpointed(chains(repeated_edges(self.held.mapInArrow(_edges(hashes, True), "e long, l long, r long, place long")))))
+        self.paths = paths(graph)
+        spans = _release(self._spans(graph))
+        del graph
+        self.spans = verified(spans, self.held)
+
+    def _marked(self) -> DataFrame:
+        """(t, packed, marks): the texts that hold a gram which is retained in two places, with the places of these grams."""
         anchors = checkpointed(self.texts.select("t", "packed").mapInArrow(_anchors, "place long, h long"))
-        shared = anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1")
+        shared = checkpointed(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
         total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        marked = look_up(anchors, shared, "h", "n", total, F.col("place")).filter("n IS NOT NULL")
+        marked = _look_up(anchors, shared.withColumn("twice", F.lit(True)), "h", total, "place")
         marks = marked.groupBy(_text_of(F.col("place")).alias("t")).agg(F.collect_list(_word_of(F.col("place"))).alias("marks"))
-        held = checkpointed(self.texts.select("t", "packed").join(marks, "t"))
-        edges = held.mapInArrow(_edges(hashes), "e long, l long, r long, place long")
-        graph = checkpointed(chains(repeated_edges(edges)))
-        self.paths = paths(graph)
+        return checkpointed(self.texts.select("t", "packed").join(marks, "t"))
+
+    def _spans(self, graph: DataFrame) -> DataFrame:
         total = graph.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        places = look_up(edges.select("e", "place"), graph.select("e", "n", "lo", "chain"), "e", "n", total, F.col("place")).filter("lo IS NOT NULL")
-        spans = checkpointed(runs_of_places(places.select("place", "lo", "chain")))
-        self.spans = verified(spans, held)
+        edges = self.held.mapInArrow(_edges(self.hashes, False), "e long, place long")
+        return checkpointed(runs_of_places(_look_up(edges, graph.select("e", "n", "lo", "chain"), "e", total, "place")))
 
     def cleaned(self) -> DataFrame:
         """(digest, n, n_words, n_removed, kept) of each distinct text."""
@@ -307,7 +381,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return found.rows.join(placed, "digest").select(F.col("id").alias(id_col), F.col("start").alias("start_word"), F.col("end").alias("end_word"), "path", (F.col("before") + F.col("at")).alias("path_start"))
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: Column | None = None, hashes: Hashes = _rolled) -> DataFrame:
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kept: Column | None = None, hashes: Hashes = rolled) -> DataFrame:
     """Each document without the words of any window of LEAST words that also starts elsewhere, in it or in another row.
 
     Words are runs of anything but U+0020 and U+0009 to U+000D, unchanged; those kept are joined by one space.  Windows

@@ -73,12 +73,39 @@ def test_windows_that_share_a_hash_are_told_apart(spark):
     """With a few hundred hashes for all windows, most meet by chance; the words decide."""
 
     def few(values, width):
-        return debruijn._rolled(values, width) % np.uint64(300)
+        return debruijn.rolled(values, width) % np.uint64(300)
 
     rows = invented(5)
     assert found(docs_of(spark, rows), hashes=few) == by_hand(rows)
 
 
+def test_rolled_runs_and_windows(monkeypatch):
+    """Equal runs, and only these, have equal hashes, whatever stands around them; windows stay inside their text."""
+    values = np.random.default_rng(1).integers(0, 3, 4000).astype(np.uint64)
+    for width in (1, 2, 3, 7, 10, 34, 35):
+        h = debruijn.rolled(values, width)
+        runs = [tuple(values[i : i + width]) for i in range(len(values) - width + 1)]
+        assert len(h) == len(runs) and len(set(zip(h.tolist(), runs))) == len(set(runs)) == len(set(h.tolist()))
+    assert len(debruijn.rolled(values[:5], 6)) == 0
+    begin, row = debruijn._windows(np.array([0, 35, 75]), np.array([35, 40, 36]))
+    assert begin.tolist() == [0, *range(35, 41), 75, 76] and row.tolist() == [0] + [1] * 6 + [2, 2]
+
+
+def test_texts_are_hashed_in_groups(spark, monkeypatch):
+    monkeypatch.setattr(debruijn, "TOGETHER", 100)
+    monkeypatch.setattr(debruijn, "KNOWN", 7)
+    import pyarrow as pa
+
+    rows = [(i, t) for i, t in invented(9) if t]
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
+    batch = pa.RecordBatch.from_arrays([pa.array([press.compress(t.encode()) for _, t in rows]), pa.array([i for i, _ in rows])], ["packed", "t"])
+    out = [pair for b in debruijn._anchors(iter([batch])) for pair in zip(b.column("place").to_pylist(), b.column("h").to_pylist())]
+    monkeypatch.setattr(debruijn, "TOGETHER", 1 << 20)
+    assert out == [pair for b in debruijn._anchors(iter([batch])) for pair in zip(b.column("place").to_pylist(), b.column("h").to_pylist())]
+
+
 def test_slices_of_a_text_may_be_read_in_several_tasks(spark, monkeypatch):
     monkeypatch.setattr(debruijn, "SLICES", 3)
     rows = invented(6)
