@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ablatrix.checkpoints import checkpointed
+
 
 def average_rank(rows: DataFrame, keys: Sequence[str], value: str, name: str = "rank", descending: bool = False) -> DataFrame:
     """Rank from 1, equal values sharing the mean of their places."""
@@ -46,10 +48,36 @@ def average_rank_within(rows: DataFrame, keys: Sequence[str], value: str, tolera
     return rows.join(folded.join(ranked, [*keys, "anchor"]).select(*keys, value, name), [*keys, value])
 
 
-def first_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], counts: Column) -> DataFrame:
-    """The first rows of each group in order; counts gives how many, by the group's columns."""
+def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Number each group's rows from 1 in order, without a group in one task; without keys, all rows.
+
+    Rows are dealt into ranges of keys and order, which are checkpointed so that they stay as they are.  Each range numbers
+    its own part of a group, and adds the rows of that group in the ranges before.  Only a group that goes on from an earlier
+    range has such rows: one a range at most, so that table is broadcast.
+    """
+    keys, order = list(keys), list(order)
+    dealt = checkpointed(rows.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("_before", F.sum("_n").over(earlier)).filter("_before > 0")
+    starts = starts.select(F.col("_range").alias("_in"), "_before", *(F.col(f"`{k}`").alias(f"_key{i}") for i, k in enumerate(keys)))
+    same = F.col("_range") == F.col("_in")
+    for i, k in enumerate(keys):
+        same = same & F.col(f"`{k}`").eqNullSafe(F.col(f"_key{i}"))
+    local = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(*order))
+    out = dealt.withColumn("_local", local).join(F.broadcast(starts), same, "left")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("long").alias(name))
+
+
+def first_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], counts: Column, most: int | None = None) -> DataFrame:
+    """The first rows of each group in order; counts gives how many, by the group's columns.
+
+    With ``most``, which no count passes, each partition hands on that many rows a group at most (a group limit before the
+    shuffle), so that a group's task sees some rows of each partition instead of the group.
+    """
     place = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return rows.withColumn("ordinal", place).filter(F.col("ordinal") <= counts)
+    wanted = F.col("ordinal") <= counts
+    return rows.withColumn("ordinal", place).filter(wanted if most is None else wanted & (F.col("ordinal") <= F.lit(most)))
 
 
 def shortfalls(rows: DataFrame, keys: Sequence[str], counts: Column) -> DataFrame:

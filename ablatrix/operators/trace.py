@@ -47,6 +47,28 @@ def reach_roots(nodes: DataFrame, node: str, parent: str) -> DataFrame:
     return known.select(F.col("id").alias(node), F.when(F.col("done"), F.col("at")).alias("root"), F.when(F.col("done"), F.col("depth")).alias("depth"))
 
 
+def on_cycles(nodes: DataFrame, node: str, parent: str, max_rounds: int = 40) -> DataFrame:
+    """The nodes that lie on a cycle of parents, apart from those that merely hang below one.
+
+    Every node jumps 1, 2, 4 ... steps up; those whose way ends, at a root or where a parent doesn't exist, drop out.  What
+    jumps reach shrinks until a round reaches as many nodes as the one before: then all of these are on cycles.  A round
+    looks at distinct targets alone, so that a hub of very many nodes is one row.
+    """
+    step = nodes.filter(F.col(parent).isNotNull()).select(F.col(node).alias("id"), F.col(parent).alias("at")).distinct()
+    jump, reached = checkpointed(step), None
+    for _ in range(max_rounds):
+        targets = jump.select("at").distinct()
+        live = checkpointed(targets.join(jump.select(F.col("id").alias("at"), F.col("at").alias("next")), "at"))
+        now = live.select("next").distinct().count()
+        if now in (0, reached):
+            break
+        reached = now
+        jump = checkpointed(jump.join(live, "at").select("id", F.col("next").alias("at")))
+    else:
+        raise RuntimeError(f"cycles did not settle in {max_rounds} rounds")
+    return live.select(F.col("next").alias(node)).distinct()
+
+
 def graph_violations(nodes: DataFrame, graph: str, node: str, parent: str) -> DataFrame:
     """By graph: ids that repeat, parents that don't exist, another number of roots than one."""
     again = nodes.groupBy(graph, node).agg(F.count("*").alias("n")).filter("n > 1").select(graph, F.col(node).alias("node"), F.lit("duplicate_span").alias("reason"))

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ablatrix.checkpoints import checkpointed
 from ablatrix.errors import InvalidEvidence
 from ablatrix.functions.expressions import HEX_DIGEST, close, matches
 from ablatrix.operators.sets import difference, overlap
@@ -42,6 +43,63 @@ def table_difference(rule: str, recorded: DataFrame, computed: DataFrame, keys:
     )
 
 
+#: Leaves of a digest tree, and how many of them have one node above.
+LEAVES, FAN = 4096, 64
+
+
+def leaf(keys: Sequence[str], leaves: int = LEAVES) -> Column:
+    return F.pmod(F.xxhash64(*(F.col(k).cast("string") for k in keys)), F.lit(leaves)).cast("int")
+
+
+def leaf_digests(rows: DataFrame, keys: Sequence[str], values: Sequence[str], leaves: int = LEAVES, by: Column | None = None) -> DataFrame:
+    """(leaf, n, low, high): of each leaf's rows, as a multiset, the sum of the digests of keys and values.
+
+    Doubles count with twelve digits, so that leaves which agree hold numbers that are equal within 1e-10.  The sums are of
+    two parts of each row's SHA-256; they combine before the shuffle, whatever a leaf's size.
+    """
+    kinds = dict(rows.dtypes)
+    shown = [F.coalesce((F.format_string("%.11e", F.col(c).cast("double")) if kinds[c] in ("double", "float") else F.col(c).cast("string")), F.lit("\x00")) for c in (*keys, *values)]
+    text = F.concat(*(F.concat(F.length(x).cast("string"), F.lit(":"), x) for x in shown))
+    digest = F.sha2(text, 256)
+    part = lambda at: F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")
+    return rows.groupBy((leaf(keys, leaves) if by is None else by).alias("leaf")).agg(F.count("*").alias("n"), F.sum(part(1)).alias("low"), F.sum(part(16)).alias("high"))
+
+
+def unequal_leaves(a: DataFrame, b: DataFrame, fan: int = FAN) -> list[int]:
+    """Leaves whose digests differ: first the nodes above, then the leaves of those that differ; LEAVES numbers at most."""
+    digest = ("n", "low", "high")
+
+    def unequal(x: DataFrame, y: DataFrame, key: str) -> list[int]:
+        both = x.select(key, F.struct(*digest).alias("x")).join(y.select(key, F.struct(*digest).alias("y")), key, "full")
+        return sorted(r[key] for r in both.filter(~F.col("x").eqNullSafe(F.col("y"))).select(key).collect())
+
+    above = lambda d: d.groupBy(F.floor(F.col("leaf") / fan).cast("int").alias("node")).agg(*(F.sum(c).alias(c) for c in digest))
+    nodes = unequal(above(a), above(b), "node")
+    under = F.floor(F.col("leaf") / fan).cast("int").isin(nodes)
+    return unequal(a.filter(under), b.filter(under), "leaf") if nodes else []
+
+
+def merkle_difference(rule: str, recorded: DataFrame, computed: DataFrame, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-10, leaves: int = LEAVES) -> DataFrame:
+    """table_difference() of the rows in leaves that differ; where all agree nothing is joined."""
+    digests = [checkpointed(leaf_digests(t, keys, values, leaves)) for t in (recorded, computed)]
+    there = leaf(keys, leaves).isin(unequal_leaves(*digests))
+    return table_difference(rule, recorded.filter(there), computed.filter(there), keys, values, tolerance)
+
+
+def publish_leaves(rows: DataFrame, path: str, keys: Sequence[str], values: Sequence[str], leaves: int = LEAVES) -> None:
+    """A table by leaf, and its digests beside it, for stored_difference()."""
+    held = rows.withColumn("leaf", leaf(keys, leaves))
+    held.repartition("leaf").write.mode("errorifexists").partitionBy("leaf").parquet(f"{path}/rows")
+    leaf_digests(rows, keys, values, leaves).coalesce(1).write.mode("errorifexists").parquet(f"{path}/digests")
+
+
+def stored_difference(rule: str, spark: SparkSession, recorded: str, computed: str, keys: Sequence[str], values: Sequence[str], tolerance: float = 1e-10) -> DataFrame:
+    """table_difference() of two tables of publish_leaves(): the digests are read, and of the rows only leaves that differ."""
+    differ = unequal_leaves(*(spark.read.parquet(f"{p}/digests") for p in (recorded, computed)))
+    a, b = (spark.read.parquet(f"{p}/rows").filter(F.col("leaf").isin(differ)) for p in (recorded, computed))
+    return table_difference(rule, a, b, keys, values, tolerance)
+
+
 def coverage(rule: str, expected: DataFrame, observed: DataFrame) -> DataFrame:
     """Multisets that should be equal."""
     key = F.concat_ws("/", *(F.col(c).cast("string") for c in expected.columns))
@@ -56,6 +114,25 @@ def plan_coverage(plan: DataFrame, repetitions: int, observed: DataFrame, keys:
     return difference(plan.select(*keys, F.explode(numbers).alias("repetition")), observed.select(*keys, F.col("repetition").cast("int").alias("repetition")))
 
 
+def observation_gaps(rows: DataFrame, cells: Sequence[str], item: str, values: Sequence[str], status: str = "status") -> DataFrame:
+    """Why observations are no full grid of cells and items: not complete, repeats that differ, items that a cell lacks."""
+    cell = F.concat_ws("/", *(F.col(c).cast("string") for c in cells))
+    key = F.concat_ws("/", cell, F.col(item).cast("string"))
+    broken = violation(rows.filter(~F.col(status).eqNullSafe("complete")), "observation_incomplete", key, F.lit("complete"), F.coalesce(status, F.lit("")))
+    shown = F.concat_ws(",", *(F.coalesce(F.col(v).cast("string"), F.lit("null")) for v in values))
+    ends = rows.groupBy(*cells, item).agg(F.min(shown).alias("low"), F.max(shown).alias("high")).filter("low <> high")
+    held = rows.groupBy(*cells).agg(F.countDistinct(item).alias("n"))
+    total = rows.agg(F.countDistinct(item).alias("total"))
+    short = held.crossJoin(F.broadcast(total)).filter("n < total")  # one row
+    return union_violations(broken, violation(ends, "repeats_differ", key, F.col("low"), F.col("high")), violation(short, "items_missing", cell, F.col("total"), F.col("n")))
+
+
+def full_grid(rows: DataFrame, cells: Sequence[str], item: str, values: Sequence[str], status: str = "status") -> DataFrame:
+    """One row a cell and item, repeats collapsed; refused unless the grid is full, complete and the same in each repeat."""
+    enforce(observation_gaps(rows, cells, item, values, status))
+    return rows.groupBy(*cells, item).agg(*(F.max(v).alias(v) for v in values))
+
+
 def disjoint(rule: str, rows: DataFrame, value: str, split: str) -> DataFrame:
     return violation(overlap(rows, value, split), rule, F.col(value), F.lit("1"), F.col("splits"))
 

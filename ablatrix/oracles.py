@@ -16,6 +16,10 @@ OBS = """obs AS (
   VALUES ('tool_selection', 'target', 'higher'), ('full_call', 'target', 'higher'), ('perplexity', 'collateral', 'lower')
 )"""
 
+ROLES = """roles AS (
+  SELECT doc_id, doc_id::VARCHAR AS id, 'g' || doc_id % 50 AS g, coalesce(lang, 'none') AS kind, CASE WHEN doc_id % 50 < 25 THEN 'discovery' ELSE 'validation' END AS split FROM documents
+)"""
+
 REDUCED = "CASE WHEN count(denominator) = count(*) THEN sum(numerator) / sum(denominator) ELSE sum(value) / count(*) END"
 
 AGGREGATE = f"""{OBS}, byrep AS (
@@ -280,6 +284,41 @@ ORACLES = {
         SELECT lang, sum(v)::DOUBLE AS numerator, count(*) AS denominator, round(sum(v)::DOUBLE / count(*), 6) AS value FROM r GROUP BY ALL""",
     "synthetic_scan": """SELECT cond, lang, round(avg(CASE WHEN cond = 'scan.component.damage' THEN (text = 'damaged')::INT ELSE (regexp_replace(text, '^\\s+|\\s+$', '', 'g') = text)::INT END), 6) AS value, count(*) AS records
         FROM (SELECT lang, trim(text, ' ') AS text FROM documents), (VALUES ('baseline'), ('scan.component.damage'), ('scan.component.neutral')) AS t(cond) GROUP BY ALL""",
+    "schema_violations": """WITH r AS (SELECT event_id, event_type AS t, CAST(json_extract(props, '$.k') AS INT) AS k, event_id % 7 AS m FROM events)
+SELECT 'schema_json' AS rule, event_id::VARCHAR AS key, '$' AS path FROM r WHERE m = 0
+UNION ALL SELECT 'schema_type', event_id::VARCHAR, '$.j' FROM r WHERE m = 1
+UNION ALL SELECT 'schema_required', event_id::VARCHAR, '$.k' FROM r WHERE m = 2
+UNION ALL SELECT 'schema_minimum', event_id::VARCHAR, '$.k' FROM r WHERE m NOT IN (0, 2) AND k < 10
+UNION ALL SELECT 'schema_exclusiveMaximum', event_id::VARCHAR, '$.k' FROM r WHERE m NOT IN (0, 2) AND k >= 90
+UNION ALL SELECT 'schema_maxLength', event_id::VARCHAR, '$.t' FROM r WHERE m = 3 AND length(t) > 5
+UNION ALL SELECT 'schema_pattern', event_id::VARCHAR, '$.t' FROM r WHERE m = 3 AND NOT regexp_full_match(t, '[a-z]+')
+UNION ALL SELECT 'schema_minItems', event_id::VARCHAR, '$.l' FROM r WHERE m = 4 AND event_id % 2 = 1
+UNION ALL SELECT 'schema_enum', event_id::VARCHAR, '$.l[0]' FROM r WHERE m = 4 AND event_id % 2 = 0 AND event_id % 3 <> 1""",
+    "frozen_roles": f"""WITH {ROLES}, kept AS (
+  SELECT doc_id, id, g, CASE WHEN doc_id % 29 = 3 THEN 'other' ELSE kind END AS kind, CASE WHEN doc_id % 43 = 1 THEN 'holdout' WHEN doc_id % 41 = 0 THEN 'validation' ELSE split END AS split FROM roles WHERE doc_id % 23 <> 5
+), found AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE doc_id % 31 = 7),
+sides AS (SELECT concat_ws('/', id, g, kind, split) AS key, 1 AS f, 0 AS p FROM found UNION ALL SELECT concat_ws('/', id, g, kind, split), 0, 1 FROM roles),
+counts AS (SELECT key, sum(f) AS f, sum(p) AS p FROM sides GROUP BY key)
+SELECT CASE WHEN p = 0 THEN 'record_unplanned' WHEN f < p THEN 'record_missing' ELSE 'record_repeated' END AS rule, key FROM counts WHERE f <> p OR p = 0
+UNION ALL SELECT 'record_id_repeated', id FROM found GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'group_crosses_splits', g FROM found GROUP BY g HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'split_unknown', id FROM found WHERE split = 'holdout'""",
+    "plan_identity": f"""WITH {ROLES}, moved AS (SELECT doc_id, id, g, kind, CASE WHEN doc_id % 41 = 0 THEN 'validation' ELSE split END AS split FROM roles),
+placed AS (SELECT *, row_number() OVER (PARTITION BY split, kind ORDER BY doc_id) AS o FROM moved), kept AS (SELECT * FROM placed WHERE NOT (kind = 'en' AND doc_id % 37 = 2)),
+plan AS (SELECT * FROM kept UNION ALL SELECT * FROM kept WHERE kind = 'de' AND doc_id % 31 = 7)
+SELECT 'plan_id_repeated' AS rule, id AS key FROM plan GROUP BY id HAVING count(*) > 1
+UNION ALL SELECT 'plan_group_crosses_splits', g FROM plan GROUP BY g HAVING count(DISTINCT split) > 1
+UNION ALL SELECT 'plan_ordinals', split || '/' || kind FROM plan GROUP BY split, kind HAVING count(DISTINCT o) <> count(*) OR min(o) <> 1 OR max(o) <> count(*)""",
+    "observation_gaps": f"""WITH {OBS}, s AS (SELECT cond || '/' || split AS cell, example_id, status, (value <= 60)::INT AS score FROM obs)
+SELECT 'observation_incomplete' AS rule, cell || '/' || example_id AS key FROM s WHERE status <> 'complete'
+UNION ALL SELECT 'repeats_differ', cell || '/' || example_id FROM s GROUP BY cell, example_id HAVING min(score) <> max(score)
+UNION ALL SELECT 'items_missing', cell FROM s GROUP BY cell HAVING count(DISTINCT example_id) < (SELECT count(DISTINCT example_id) FROM s)""",
+    "numbered_events": "SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS place FROM events",
+    "cycle_members": """WITH RECURSIVE n AS (
+  SELECT conv_id || '/' || turn AS node, conv_id || '/' || CASE WHEN turn > 0 THEN turn - 1 WHEN conv_id % 11 = 0 THEN 1 WHEN conv_id % 13 = 0 THEN 3 END AS above FROM conversations WHERE NOT (conv_id % 7 = 0 AND turn = 1)
+), up AS (SELECT node, above AS reached FROM n WHERE above IS NOT NULL UNION SELECT up.node, n.above FROM up JOIN n ON n.node = up.reached WHERE n.above IS NOT NULL)
+SELECT DISTINCT node FROM up WHERE node = reached""",
+    "uncommitted_tasks": "SELECT DISTINCT user_id || '/' || event_type AS task FROM events EXCEPT SELECT user_id || '/' || event_type FROM events WHERE event_id % 3 = 0",
     "resume_pending_tasks": "SELECT DISTINCT user_id FROM events WHERE user_id NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase')",
     "latest_attempt": f"WITH {FAILURES} SELECT task, arg_max(event_id, attempt) AS event_id, arg_max(example_id, attempt) AS example_id, max(attempt) AS attempt FROM failures GROUP BY ALL",
     "retry_accounting": f"WITH {FAILURES} SELECT task, count(DISTINCT attempt) AS attempts, count(DISTINCT attempt) - 1 AS retries FROM failures GROUP BY ALL",

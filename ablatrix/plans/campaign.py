@@ -6,13 +6,13 @@ import math
 import random
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ablatrix import schemas
 from ablatrix.errors import InvalidConfiguration, InvalidEvidence
-from ablatrix.operators.rank import first_n, shortfalls
+from ablatrix.operators.rank import first_n, numbered, shortfalls
 
 #: Records of each kind that the published protocol takes from each split.
 PUBLISHED_COUNTS = {"simple": 20, "abstention": 10, "reasoning": 10, "perplexity": 5, "format": 5}
@@ -29,19 +29,20 @@ def matched_random(ids: Sequence[str], count: int, seed: int) -> list[str]:
     return random.Random(seed).sample(list(ids), count)
 
 
-#: Fixed values of the published protocol: what surrounds the scans, as (place, id, stage, condition, position).
+#: Fixed values of the published protocol: what surrounds the scans, as (section, id, stage, condition, position).
 SURROUND = (
-    (0.0, "baseline.beginning", "baseline", "baseline", "beginning"),
-    (1.0, "control.no-op", "control", "no_op", None),
-    (5.0, "baseline.end", "baseline", "baseline", "end"),
+    (0, "baseline.beginning", "baseline", "baseline", "beginning"),
+    (1, "control.no-op", "control", "no_op", None),
+    (5, "baseline.end", "baseline", "baseline", "end"),
 )
+SCANS, CONTROLS = 2, 4
 
 
 def campaign_tasks(components: Sequence[str], seed: int, *, matched: int, middle: float = 0.5, no_op: bool = True) -> list[tuple]:
-    """(place, id, stage, condition, component, position) of each task, in no order: the places tell it.
+    """(section, place, id, stage, condition, component, position) of each task, in no order: section and place tell it.
 
-    Scans take the places from 2 to 3, by component, the middle baseline one between two of these; matched controls those
-    from 4 to 5, as drawn.
+    Scans have the odd places of their section, by component, so that the middle baseline one finds an even place between
+    two of them; matched controls come in a section of their own, as drawn.
     """
     n = len(components)
     for refused, error in (
@@ -52,20 +53,20 @@ def campaign_tasks(components: Sequence[str], seed: int, *, matched: int, middle
         if refused:
             raise error
     between = min(max(math.ceil(n * middle), 1), n - 1)
-    tasks = {id: (place, id, stage, condition, None, at) for place, id, stage, condition, at in SURROUND if no_op or condition != "no_op"}
-    tasks["baseline.middle"] = (2 + (between - 0.5) / n, "baseline.middle", "baseline", "baseline", None, "middle")
-    tasks |= {f"scan.{c}": (2 + i / n, f"scan.{c}", "scan", "bypass", c, None) for i, c in enumerate(components)}
+    tasks = {id: (section, 0, id, stage, condition, None, at) for section, id, stage, condition, at in SURROUND if no_op or condition != "no_op"}
+    tasks["baseline.middle"] = (SCANS, 2 * between, "baseline.middle", "baseline", "baseline", None, "middle")
+    tasks |= {f"scan.{c}": (SCANS, 2 * i + 1, f"scan.{c}", "scan", "bypass", c, None) for i, c in enumerate(components)}
     drawn = matched_random(components, matched, seed)
-    tasks |= {f"control.random.{c}": (4 + i / n, f"control.random.{c}", "control", "matched_random", c, None) for i, c in enumerate(drawn)}
+    tasks |= {f"control.random.{c}": (CONTROLS, i, f"control.random.{c}", "control", "matched_random", c, None) for i, c in enumerate(drawn)}
     return list(tasks.values())
 
 
 def campaign_plan(spark: SparkSession, components: Sequence[str], seed: int, **options) -> DataFrame:
-    """The campaign's tasks as schemas.TASK, numbered by their places; a task a component, so one window holds them."""
+    """The campaign's tasks as schemas.TASK, numbered by section and place."""
     fields = [f for f in schemas.TASK.fields if f.name != "ordinal"]
-    rows = spark.createDataFrame(campaign_tasks(components, seed, **options), T.StructType([T.StructField("place", schemas.REAL), *fields]))
-    ordinal = (F.row_number().over(Window.orderBy("place")) - 1).cast("int")
-    return rows.select(ordinal.alias("ordinal"), *(f.name for f in fields))
+    rows = spark.createDataFrame(campaign_tasks(components, seed, **options), T.StructType([T.StructField("section", schemas.INT), T.StructField("place", schemas.INT), *fields]))
+    ordered = numbered(rows, [], ["section", "place"])
+    return ordered.select((F.col("ordinal") - 1).cast("int").alias("ordinal"), *(f.name for f in fields))
 
 
 def generic_plan(spark: SparkSession, components: Sequence[str]) -> DataFrame:
@@ -80,7 +81,7 @@ def record_counts(counts: dict[str, int], kind: Column) -> Column:
 
 def record_plan(records: DataFrame, counts: dict[str, int], order: Sequence[str]) -> DataFrame:
     """The first records of each split and kind, in source order."""
-    return first_n(records, ["split", "kind"], order, record_counts(counts, F.col("kind")))
+    return first_n(records, ["split", "kind"], order, record_counts(counts, F.col("kind")), max(counts.values(), default=0))
 
 
 def record_shortfalls(records: DataFrame, counts: dict[str, int]) -> DataFrame:

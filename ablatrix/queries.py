@@ -16,7 +16,7 @@ from ablatrix.operators import aggregate, compare, decide, estimate, rank, resam
 from ablatrix.operators.decide import RULE
 from ablatrix.plans import campaign
 from ablatrix.plans.run import synthetic_scan as run_synthetic_scan
-from ablatrix.sources import views
+from ablatrix.sources import datasets, views
 from ablatrix.sources.views import cells, metric_dim, obs, obs_scores, table
 from ablatrix.streaming.resume import pending_tasks, retries
 
@@ -464,7 +464,7 @@ def table_difference(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     other = rows.filter(k % 29 != 0).withColumn("c_acctbal", F.col("c_acctbal") * F.when(k % 7 == 0, 1 + 1e-6).otherwise(1 + 1e-12))
     other = other.withColumn("c_mktsegment", F.when(k % 31 == 0, F.lit(None).cast("string")).otherwise(F.col("c_mktsegment")))
-    return verify.table_difference("customer", rows, other, ["c_custkey"], ["c_acctbal", "c_mktsegment"]).select("rule", "key")
+    return verify.merkle_difference("customer", rows, other, ["c_custkey"], ["c_acctbal", "c_mktsegment"]).select("rule", "key")
 
 
 def tool_call_extract(spark: SparkSession, sf: str) -> DataFrame:
@@ -552,6 +552,69 @@ def synthetic_scan(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(found.groupBy("cond", "lang").agg(F.avg("value").alias("value"), F.count("*").alias("records")), "value")
 
 
+PROPS = {
+    "type": "object", "required": ["k"], "additionalProperties": {"type": "integer"},
+    "properties": {"k": {"type": "integer", "minimum": 10, "exclusiveMaximum": 90}, "t": {"type": "string", "maxLength": 5, "pattern": "^[a-z]+$"}, "l": {"type": "array", "items": {"enum": [1, "a"]}, "minItems": 1}},
+}
+
+
+def schema_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Event properties against a schema; some have trailing text, other members, none of their own, or a list added."""
+    e, more = F.col("event_id"), lambda text: F.concat(F.expr("left(props, length(props) - 1)"), text, F.lit("}"))
+    kind = F.concat(F.lit(', "t": "'), "event_type", F.lit('"'))
+    items = F.concat(F.lit(', "l": ['), F.when(e % 2 == 0, F.concat((e % 3).cast("string"), F.lit(', "a"'))).otherwise(""), F.lit("]"))
+    text = F.when(e % 7 == 0, F.concat("props", F.lit(" x"))).when(e % 7 == 1, more(F.lit(', "j": 1.5'))).when(e % 7 == 2, F.regexp_replace("props", '"k"', '"m"')).when(e % 7 == 3, more(kind)).when(e % 7 == 4, more(items)).otherwise(F.col("props"))
+    return datasets.schema_violations(table(spark, sf, "events"), e, text, PROPS).select("rule", "key", F.col("actual").alias("path"))
+
+
+def _roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as records, of fifty groups, each in one split."""
+    d = F.col("doc_id")
+    return table(spark, sf, "documents").select(
+        d.cast("string").alias("id"), F.concat(F.lit("g"), d % 50).alias("group_id"), F.coalesce("lang", F.lit("none")).alias("kind"), F.when(d % 50 < 25, "discovery").otherwise("validation").alias("split"), "doc_id"
+    )
+
+
+def frozen_roles(spark: SparkSession, sf: str) -> DataFrame:
+    """Records against their plan, some lost, some of another kind, some twice, some in another split or in one that is no role."""
+    plan, d = _roles(spark, sf), F.col("doc_id")
+    records = plan.filter(d % 23 != 5).withColumn("kind", F.when(d % 29 == 3, "other").otherwise(F.col("kind")))
+    records = records.withColumn("split", F.when(d % 43 == 1, "holdout").when(d % 41 == 0, "validation").otherwise(F.col("split")))
+    records = records.unionByName(records.filter(d % 31 == 7))
+    return datasets.membership(records.drop("doc_id"), plan).select("rule", "key")
+
+
+def plan_identity(spark: SparkSession, sf: str) -> DataFrame:
+    """A numbered plan of which some rows were lost, so that places have gaps, and some came in twice."""
+    d = F.col("doc_id")
+    plan = rank.numbered(_roles(spark, sf).withColumn("split", F.when(d % 41 == 0, "validation").otherwise(F.col("split"))), ["split", "kind"], ["doc_id"])
+    plan = plan.filter("NOT (kind = 'en' AND doc_id % 37 = 2)")
+    return datasets.plan_identity(plan.unionByName(plan.filter("kind = 'de' AND doc_id % 31 = 7"))).select("rule", "key")
+
+
+def observation_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    rows = obs(spark, sf).withColumn("score", (F.col("value") <= 60).cast("int"))
+    return verify.observation_gaps(rows, ["cond", "split"], "example_id", ["score"]).select("rule", "key")
+
+
+def numbered_events(spark: SparkSession, sf: str) -> DataFrame:
+    return rank.numbered(table(spark, sf, "events"), ["event_type"], ["value", "event_id"], "place").select("event_type", "event_id", "place")
+
+
+def cycle_members(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns under the turn before; in some conversations the first one is under a later one, so that turns go round."""
+    c, t = F.col("conv_id"), F.col("turn")
+    above = F.when(t > 0, t - 1).when(c % 11 == 0, F.lit(1)).when(c % 13 == 0, F.lit(3))
+    rows = table(spark, sf, "conversations").filter("NOT (conv_id % 7 = 0 AND turn = 1)").select(F.concat_ws("/", c, t).alias("node"), F.when(above.isNotNull(), F.concat_ws("/", c, above)).alias("above"))
+    return trace.on_cycles(rows, "node", "above")
+
+
+def uncommitted_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks, a user and kind of event each, that completed and have no committed span."""
+    rows = table(spark, sf, "events").withColumn("task", F.concat_ws("/", "user_id", "event_type"))
+    return trace.uncommitted(rows, rows.filter("event_id % 3 = 0"), "task")
+
+
 def resume_pending_tasks(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events")
     plan, done = rows.select("user_id").distinct(), rows.filter("event_type = 'purchase'").select("user_id").distinct()
@@ -600,7 +663,7 @@ def topology_check(spark: SparkSession, sf: str) -> DataFrame:
 
 def _failures(spark: SparkSession, sf: str) -> DataFrame:
     rows = obs(spark, sf).filter("status = 'error'").select(F.col("cond").alias("task"), "event_id", "example_id")
-    return rank.average_rank(rows, ["task"], "event_id", "attempt").withColumn("attempt", F.col("attempt").cast("long"))
+    return rank.numbered(rows, ["task"], ["event_id"], "attempt")
 
 
 def latest_attempt(spark: SparkSession, sf: str) -> DataFrame:
@@ -659,7 +722,7 @@ QUERIES = {
         bootstrap_damage_ci, bootstrap_rank_ci, simultaneous_band, split_half_rho, robust_selection, cluster_weighted_mean,
         content_digest_manifest, digest_mismatch, table_difference, tool_call_extract, format_prefix_score, json_key_order, exact_match_score, synthetic_scan,
         typed_answers, tool_argument_scores, matched_calls, abstention_decisions, format_scores, pending_after_commit, first_repetitions, headline_check, band_check, topology_check,
-        resume_pending_tasks, latest_attempt, retry_accounting, trace_parent_graph, trace_graph_violations, event_counter_equality, record_span_coverage, hook_balance,
+        resume_pending_tasks, schema_violations, frozen_roles, plan_identity, observation_gaps, numbered_events, cycle_members, uncommitted_tasks, latest_attempt, retry_accounting, trace_parent_graph, trace_graph_violations, event_counter_equality, record_span_coverage, hook_balance,
     )
 }
 
