@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from ablatrix.llm.common import HOT_SLOTS, checkpointed, look_up, parts, ship, table
 
@@ -59,8 +60,6 @@ class _Known(dict):
     """Hashes of words, by word; forgotten when there are too many."""
 
     def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
-
         if len(self) >= KNOWN:
             self.clear()
         h = self[word] = xxh64_intdigest(word)
@@ -134,20 +133,37 @@ def numbered(texts: DataFrame) -> DataFrame:
     return own.join(F.broadcast(first), "part").withColumn("t", F.col("first") + F.col("row")).drop("part", "row", "first")
 
 
+def _slid(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The least (or largest) of each width values in a row, from runs of 1, 2, 4 ... values."""
+    run, length = values, 1
+    while 2 * length <= width:
+        run, length = pick(run[:-length], run[length:]), 2 * length
+    rest = width - length
+    return pick(run[: len(run) - rest], run[rest:]) if rest else run
+
+
 def retained(h: np.ndarray) -> np.ndarray:
-    """The gram that each window retains: that of the least hash, so windows of the same words retain the same one."""
-    return np.lib.stride_tricks.sliding_window_view(h, WINDOW).argmin(axis=1) + np.arange(len(h) - WINDOW + 1)
+    """The gram hash that each window retains, the least: windows of the same words retain the same one."""
+    return _slid(h, WINDOW, np.minimum)
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(place, h): each gram that some window of a text retains."""
+    """(t, h): the hash of each gram, place by place, that some window of a text retains."""
     for values, starts, rows in _together(batches, "t"):
         t, lengths = (np.array(c, dtype=np.int64) for c in zip(*rows))
         h = rolled(values, GRAM)
         begin, row = _windows(starts, lengths)
-        at, first = np.unique(retained(h)[begin], return_index=True)
-        of = row[first]
-        yield pa.RecordBatch.from_arrays([pa.array(at - starts[of] + (t[of] << PLACE_BITS)), pa.array(h[at].view(np.int64))], ["place", "h"])
+        least = np.zeros(len(h) + WINDOW - 1, dtype=np.uint64)  # none where no window of one text begins
+        least[begin + WINDOW - 1] = retained(h)[begin]
+        at = np.flatnonzero(_slid(least, WINDOW, np.maximum) == h)  # some window that holds the gram retains its hash
+        of = np.searchsorted(starts, at, side="right") - 1
+        yield pa.RecordBatch.from_arrays([pa.array(t[of]), pa.array(h[at].view(np.int64))], ["t", "h"])
+
+
+def _among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """values that are among the wanted ones; equal neighbours, of which there are many, are looked up once."""
+    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    return np.repeat(np.isin(values[first], wanted), np.diff(np.append(first, len(values))))
 
 
 def _edges(hashes: Hashes, nodes: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -157,11 +173,8 @@ def _edges(hashes: Hashes, nodes: bool) -> Callable[[Iterator[pa.RecordBatch]],
         for values, starts, rows in _together(batches, "t", "marks"):
             texts, marks, lengths = zip(*rows)
             t, lengths = np.array(texts, dtype=np.int64), np.array(lengths, dtype=np.int64)
-            marked = np.zeros(len(values), dtype=bool)
-            for start, places in zip(starts, marks):
-                marked[start + np.array(places)] = True
             begin, row = _windows(starts, lengths)
-            chosen = marked[retained(rolled(values, GRAM))[begin]]
+            chosen = _among(retained(rolled(values, GRAM))[begin], np.unique(np.concatenate([np.array(m, dtype=np.int64) for m in marks])).view(np.uint64))
             begin, row = begin[chosen], row[chosen]
             columns = {"e": hashes(values, LEAST).view(np.int64)[begin]}
             if nodes:
@@ -343,21 +356,25 @@ class Repeats:
         del packed
         self.held = _release(self._marked())
         self.hashes = hashes
-        graph = _release(checkpointed(chains(repeated_edges(self.held.mapInArrow(_edges(hashes, True), "e long, l long, r long, place long")))))
+        graph = _release(self._graph())
         self.paths = paths(graph)
         spans = _release(self._spans(graph))
         del graph
         self.spans = verified(spans, self.held)
 
     def _marked(self) -> DataFrame:
-        """(t, packed, marks): the texts that hold a gram which is retained in two places, with the places of these grams."""
-        anchors = checkpointed(self.texts.select("t", "packed").mapInArrow(_anchors, "place long, h long"))
+        """(t, packed, marks): the texts that hold a gram which is retained in two places, with the hashes of these grams."""
+        anchors = checkpointed(self.texts.select("t", "packed").mapInArrow(_anchors, "t long, h long"))
         shared = checkpointed(anchors.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"))
         total = shared.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        marked = _look_up(anchors, shared.withColumn("twice", F.lit(True)), "h", total, "place")
-        marks = marked.groupBy(_text_of(F.col("place")).alias("t")).agg(F.collect_list(_word_of(F.col("place"))).alias("marks"))
+        marked = _look_up(anchors, shared.withColumn("mark", F.col("h")), "h", total, "t")
+        marks = marked.groupBy("t").agg(F.collect_set("mark").alias("marks"))
         return checkpointed(self.texts.select("t", "packed").join(marks, "t"))
 
+    def _graph(self) -> DataFrame:
+        edges = self.held.mapInArrow(_edges(self.hashes, True), "e long, l long, r long, place long")
+        return checkpointed(chains(checkpointed(repeated_edges(edges))))
+
     def _spans(self, graph: DataFrame) -> DataFrame:
         total = graph.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
         edges = self.held.mapInArrow(_edges(self.hashes, False), "e long, place long")

@@ -101,9 +101,16 @@ def test_texts_are_hashed_in_groups(spark, monkeypatch):
 
     press = zstandard.ZstdCompressor(level=1)
     batch = pa.RecordBatch.from_arrays([pa.array([press.compress(t.encode()) for _, t in rows]), pa.array([i for i, _ in rows])], ["packed", "t"])
-    out = [pair for b in debruijn._anchors(iter([batch])) for pair in zip(b.column("place").to_pylist(), b.column("h").to_pylist())]
+    out = [pair for b in debruijn._anchors(iter([batch])) for pair in zip(b.column("t").to_pylist(), b.column("h").to_pylist())]
     monkeypatch.setattr(debruijn, "TOGETHER", 1 << 20)
-    assert out == [pair for b in debruijn._anchors(iter([batch])) for pair in zip(b.column("place").to_pylist(), b.column("h").to_pylist())]
+    assert out == [pair for b in debruijn._anchors(iter([batch])) for pair in zip(b.column("t").to_pylist(), b.column("h").to_pylist())]
+    wanted = []
+    for t, text in ((i, words_of(x)) for i, x in rows):
+        if len(text) >= LEAST:
+            h = debruijn.rolled(np.array([debruijn.xxh64_intdigest(w) for w in text], dtype=np.uint64), debruijn.GRAM)
+            least = {min(h[a : a + debruijn.WINDOW]) for a in range(len(h) - debruijn.WINDOW + 1)}
+            wanted += [(t, int(np.int64(x))) for i, x in enumerate(h) if any(min(h[a : a + debruijn.WINDOW]) == x for a in range(max(0, i - debruijn.WINDOW + 1), min(i, len(h) - debruijn.WINDOW) + 1)) and x in least]
+    assert sorted(out) == sorted((t, int(np.uint64(x & (2**64 - 1)).astype(np.int64))) for t, x in wanted)
 
 
 def test_slices_of_a_text_may_be_read_in_several_tasks(spark, monkeypatch):
