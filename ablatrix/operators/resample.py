@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ablatrix.checkpoints import checkpointed
-from ablatrix.operators.estimate import ols_points
+from ablatrix.operators.estimate import ols_points, spearman
 from ablatrix.operators.rank import average_rank, top_k_with_ties
 
 PUBLISHED_SEED, PUBLISHED_BLOCK = 20260916, 250
@@ -96,6 +96,14 @@ def simultaneous_band(boot: DataFrame, point: DataFrame, cells: Sequence[str], v
     return banded.select(*cells, "point", "se", "critical", (F.col("point") - width).alias("low"), (F.col("point") + width).alias("high"))
 
 
+def largest_deviations(boot: DataFrame, point: DataFrame, cells: Sequence[str], value: str) -> DataFrame:
+    """(draw, d): the largest standardised deviation of a draw from the point, of any cell that has a spread."""
+    cells = list(cells)
+    se = boot.groupBy(*cells).agg(F.stddev_samp(value).alias("_se")).filter("_se > 1e-12")
+    known = point.select(*cells, F.col(value).alias("_point")).join(se, cells)
+    return boot.join(known, cells).groupBy("draw").agg(F.max(F.abs((F.col(value) - F.col("_point")) / F.col("_se"))).alias("d"))
+
+
 def flat_cells(boot: DataFrame, cells: Sequence[str], value: str) -> DataFrame:
     return boot.groupBy(*cells).agg(F.stddev_samp(value).alias("se")).filter("se <= 1e-12").select(*cells, F.lit("bootstrap_without_spread").alias("reason"))
 
@@ -105,3 +113,39 @@ def split_half(rows: DataFrame, orders: DataFrame, keys: Sequence[str], group: s
     met = rows.join(orders.withColumnRenamed("item", group), group)
     left = F.col("place") < F.floor(n / 2)
     return met.groupBy("draw", *keys, layer).agg(F.avg(F.when(left, F.col(value))).alias("left"), F.avg(F.when(~left, F.col(value))).alias("right"))
+
+
+def relative_or_absolute(base: Column, value: Column, relative: bool) -> Column:
+    """Damage of a mean against the baseline's: relative to it, or absolute with a higher value the better one."""
+    return F.try_divide(value - base, base) if relative else base - value
+
+
+def cluster_damage(records: DataFrame, draws: DataFrame, keys: Sequence[str], layer: str, group: str, relative: bool = False) -> DataFrame:
+    """(draw, keys, layer, damage): records (base, value) of the groups that a draw took, each as often as it took its group."""
+    met = records.join(draws.withColumnRenamed("item", group), group)
+    mean = lambda c: F.sum(F.col(c) * F.col("times")) / F.sum("times")
+    out = met.groupBy("draw", *keys, layer).agg(mean("base").alias("_b"), mean("value").alias("_v"))
+    return out.select("draw", *keys, layer, relative_or_absolute(F.col("_b"), F.col("_v"), relative).alias("damage"))
+
+
+def split_half_statistics(records: DataFrame, draws: DataFrame, orders: DataFrame, keys: Sequence[str], layer: str, group: str, relative: bool = False, k: int = 5, digits: int = 12) -> tuple[DataFrame, DataFrame]:
+    """(by layer: damage, its interval, its rank's interval, share among the k largest; by keys: the split-half correlation's).
+
+    records: keys, layer, group, base, value, a row a record.  draws takes groups with replacement, orders permutes them;
+    the first half of an order is one half of the groups, whose records weigh alike.  Damages are compared and ranked to
+    ``digits`` decimals.
+    """
+    records = checkpointed(records.select(*keys, layer, group, "base", "value"))
+    even = F.round("damage", digits)
+    boot = checkpointed(cluster_damage(records, draws, keys, layer, group, relative).withColumn("damage", even))
+    spread = interval(boot, [*keys, layer], "damage").drop("undefined", "median")
+    ranks = rank_intervals(boot, keys, layer, "damage", k)
+    whole = records.groupBy(*keys, layer).agg(F.avg("base").alias("_b"), F.avg("value").alias("_v")).select(*keys, layer, relative_or_absolute(F.col("_b"), F.col("_v"), relative).alias("damage"))
+    layers = whole.join(spread, [*keys, layer]).join(ranks.select(*keys, layer, F.col("low").alias("rank_low"), F.col("high").alias("rank_high"), "top_fraction"), [*keys, layer])
+    groups = records.select(group).distinct().count()
+    half = orders.withColumn("half", F.when(F.col("place") < groups // 2, "left").otherwise("right")).select("draw", "half", F.col("item").alias(group), F.lit(1).cast("long").alias("times"))
+    met = records.join(half, group)
+    sides = met.groupBy("draw", "half", *keys, layer).agg(F.avg("base").alias("_b"), F.avg("value").alias("_v")).withColumn("damage", relative_or_absolute(F.col("_b"), F.col("_v"), relative))
+    side = lambda name: F.round(F.max(F.when(F.col("half") == name, F.col("damage"))), digits).alias(name)
+    rho = spearman(sides.groupBy("draw", *keys, layer).agg(side("left"), side("right")), ["draw", *keys], "left", "right")
+    return layers, interval(rho, keys, "rho")

@@ -186,6 +186,42 @@ def band_violations(stored: DataFrame, cells: Sequence[str], tolerance: float =
     return rows.select("v.rule", "key", F.col("v.wanted").cast("string").alias("expected"), F.col("v.stored").cast("string").alias("actual"))
 
 
+def headline_sets(recorded: DataFrame, found: DataFrame) -> DataFrame:
+    """Recorded sets against those found, both (headline, member): members that are missing, and those that nobody recorded."""
+    out = difference(recorded.select("headline", "member").distinct(), found.select("headline", "member").distinct())
+    key = F.concat_ws("/", "headline", F.col("member").cast("string"))
+    missing = F.col("side") == "missing"
+    return out.select(F.when(missing, "member_missing").otherwise("member_unrecorded").alias("rule"), key.alias("key"), missing.cast("string").alias("expected"), (~missing).cast("string").alias("actual"))
+
+
+def band_reconstruction(boot: DataFrame, point: DataFrame, band: DataFrame, deviations: DataFrame, cells: Sequence[str], value: str, level: float = 0.95, tolerance: float = 1e-12) -> DataFrame:
+    """What of a stored band doesn't follow from its draws: draws' deviations, the critical number, standard errors, ends.
+
+    boot (draw, cells, value) and point (cells, value) are recomputed from; band (cells, se, critical, low, high) and
+    deviations (draw, d) are what was stored.  Standard errors are worked out from sums about the point, apart from the
+    aggregate that made the band.
+    """
+    cells, boot = list(cells), checkpointed(boot.select("draw", *cells, value))
+    off = boot.join(point.select(*cells, F.col(value).alias("_point")), cells).withColumn("_off", F.col(value) - F.col("_point"))
+    sums = off.groupBy(*cells).agg(F.count("*").alias("_n"), F.sum("_off").alias("_s"), F.sum(F.col("_off") * F.col("_off")).alias("_q"), F.first("_point").alias("_point"))
+    spread = sums.withColumn("_se", F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n"), F.col("_n") - 1))))
+    spread = checkpointed(spread.select(*cells, "_point", "_se"))
+    drawn = off.select("draw", *cells, "_off").join(spread.filter(F.col("_se") > 1e-12), cells).groupBy("draw").agg(F.max(F.abs(F.col("_off")) / F.col("_se")).alias("_d"))
+    drawn = checkpointed(drawn)
+    critical = drawn.agg(F.percentile("_d", level).alias("_critical"))
+    near = lambda x, y: F.coalesce(close(x, y, tolerance, tolerance), x.isNull() & y.isNull())
+    told = deviations.select("draw", "d").join(drawn, "draw", "full")
+    found = [violation(told.filter(~near(F.col("d"), F.col("_d"))), "band_deviation", F.col("draw"), F.col("_d"), F.col("d"))]
+    both = band.join(spread, cells, "full").crossJoin(F.broadcast(critical))  # one row
+    key = F.concat_ws("/", *(F.col(c).cast("string") for c in cells))
+    width = F.when(F.col("_se") > 1e-12, F.col("_critical") * F.col("_se"))
+    wanted = {"se": F.col("_se"), "critical": F.col("_critical"), "low": F.col("_point") - width, "high": F.col("_point") + width}
+    wrong = F.array_compact(F.array(*(F.when(~near(F.col(c), w), F.struct(F.lit(f"band_{c}").alias("rule"), w.alias("w"), F.col(c).cast("double").alias("s"))) for c, w in wanted.items())))
+    rows = both.select(key.alias("key"), F.explode(wrong).alias("v"))
+    found.append(rows.select("v.rule", "key", F.col("v.w").cast("string").alias("expected"), F.col("v.s").cast("string").alias("actual")))
+    return union_violations(*found)
+
+
 def union_violations(*tables: DataFrame) -> DataFrame:
     out = tables[0]
     for t in tables[1:]:

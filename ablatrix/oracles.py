@@ -335,3 +335,20 @@ SELECT DISTINCT node FROM up WHERE node = reached""",
         count(*) FILTER (event_type = 'error') AS cleanup_failed FROM events WHERE event_type <> 'purchase' GROUP BY ALL
         HAVING count(*) FILTER (event_type = 'view') <> count(*) FILTER (event_type IN ('click', 'signup')) OR count(*) FILTER (event_type = 'error') > 0""",
 }
+
+_HEADLINES = f"""found AS (
+  SELECT 'r2/' || model || '/' || target AS headline, 'r2' AS kind, r2 AS value, 0.00005 AS tolerance, target FROM ({ORACLES['ols_fit']}) WHERE spec = 'log'
+  UNION ALL SELECT 'rho/' || target, 'rho', rho, 0.0005, target FROM ({ORACLES['spearman_cross_model']}) WHERE spec = 'log'
+  UNION ALL SELECT 'half/' || model || '/' || target, 'half', median, 1e-12, target FROM ({ORACLES['split_half_rho']})
+), flags AS (SELECT 'set/' || model || '/' || target AS headline, layer FROM ({ORACLES['damage_flags']}) WHERE material)"""
+
+ORACLES["paper_headlines"] = f"""WITH {_HEADLINES}
+SELECT CASE WHEN kind = 'half' THEN 'headline_unrecorded' ELSE 'headline_differs' END AS rule, headline AS key FROM found WHERE (kind = 'half' AND target = 'y3') OR (kind = 'r2' AND target = 'y2')
+UNION ALL SELECT 'member_unrecorded', headline || '/7' FROM flags WHERE layer = 7
+UNION ALL SELECT DISTINCT 'member_missing', headline || '/99' FROM flags"""
+
+ORACLES["band_from_draws"] = f"""WITH b AS ({ORACLES['simultaneous_band']}), k AS (SELECT *, model || '/' || target || '/' || spec || '/' || layer AS key FROM b)
+SELECT 'band_low' AS rule, key FROM k WHERE layer % 9 = 0 AND low IS NOT NULL
+UNION ALL SELECT 'band_high', key FROM k WHERE layer % 10 = 3 AND high IS NOT NULL
+UNION ALL SELECT 'band_se', key FROM k WHERE layer = 5 AND spec = 'log' AND se > 1e-9
+UNION ALL SELECT 'band_deviation', draw::VARCHAR FROM range(200) AS d(draw) WHERE draw % 50 = 7"""

@@ -432,6 +432,21 @@ def published_selection(spark: SparkSession, sf: str, draws: int = PUBLISHED_DRA
     return _selection(_grid(spark, sf), resample.published_bootstrap(spark, draws))
 
 
+def published_split_half(spark: SparkSession, sf: str, draws: int = 1000) -> DataFrame:
+    """Layers resampled by clusters of records, with the reference's own stream: damage, intervals, rank, share among the largest five."""
+    return rounded(_clusters(spark, sf, draws)[0], "damage", "low", "high", "rank_low", "rank_high", "top_fraction")
+
+
+def published_split_half_rho(spark: SparkSession, sf: str, draws: int = 1000) -> DataFrame:
+    return rounded(_clusters(spark, sf, draws)[1], "median", "low", "high")
+
+
+def _clusters(spark: SparkSession, sf: str, draws: int) -> tuple[DataFrame, DataFrame]:
+    """Items are records, of seven groups by their number; every target has the stream from its start, as groups are the same."""
+    records = _items(spark, sf).select("model", "target", "layer", (F.col("item") % 7).alias("cluster"), F.col("baseline_score").alias("base"), F.col("intervention_score").alias("value"))
+    return resample.split_half_statistics(records, *resample.published_clusters(spark, draws, range(7)), ["model", "target"], "layer", "cluster")
+
+
 def cluster_weighted_mean(spark: SparkSession, sf: str) -> DataFrame:
     draws = resample.congruential(spark, 20, 50, 50).withColumnRenamed("item", "group_id")
     rows = aggregate.complete(_scores(spark, sf, "discovery")[1]).filter("cond = 'baseline.beginning'").join(draws, "group_id")
@@ -642,6 +657,37 @@ def headline_check(spark: SparkSession, sf: str) -> DataFrame:
     return verify.headlines(recorded, found.filter("headline <> 'FURNITURE'")).select("rule", "key")
 
 
+def paper_headlines(spark: SparkSession, sf: str) -> DataFrame:
+    """R2, cross-model correlation, split-half median and sets of material layers against recorded ones, some of them wrong.
+
+    A number was recorded to as many digits as its tolerance allows; y2's R2 is off, y3's median was never recorded, and of
+    each model's sets layer 7 was lost and layer 99 added.
+    """
+    name = lambda kind, *parts: F.concat_ws("/", F.lit(kind), *parts)
+    r2 = ols_fit(spark, sf).filter("spec = 'log'").select(name("r2", "model", "target").alias("headline"), F.col("r2").alias("value"), F.lit(0.00005).alias("tolerance"), "target")
+    rho = spearman_cross_model(spark, sf).filter("spec = 'log'").select(name("rho", "target").alias("headline"), F.col("rho").alias("value"), F.lit(0.0005).alias("tolerance"), "target")
+    half = split_half_rho(spark, sf).select(name("half", "model", "target").alias("headline"), F.col("median").alias("value"), F.lit(1e-12).alias("tolerance"), "target")
+    found = checkpointed(r2.unionByName(rho).unionByName(half))
+    kind = F.substring_index("headline", "/", 1)
+    said = F.when(kind == "r2", F.round("value", 4)).when(kind == "rho", F.round("value", 3)).otherwise(F.col("value")) + F.when((kind == "r2") & (F.col("target") == "y2"), 0.001).otherwise(0.0)
+    recorded = found.filter(~((kind == "half") & (F.col("target") == "y3"))).withColumn("value", said)
+    sets_found = damage_flags(spark, sf).filter("material").select(name("set", "model", "target").alias("headline"), F.col("layer").cast("long").alias("member"))
+    sets_recorded = sets_found.filter("member <> 7").unionByName(sets_found.select("headline").distinct().withColumn("member", F.lit(99).cast("long")))
+    return verify.union_violations(verify.headlines(recorded, found), verify.headline_sets(sets_recorded, sets_found)).select("rule", "key")
+
+
+def band_from_draws(spark: SparkSession, sf: str) -> DataFrame:
+    """A stored band against its draws: some ends moved, one standard error lost, some draws' deviations altered."""
+    items, documents = _grid(spark, sf)
+    boot = checkpointed(resample.ols_by_draw(_drawn_points(items, documents, _sql_draws(spark)), FIT, "x", "y"))
+    point = checkpointed(estimate.ols_points(_grid_points(items, documents), FIT))
+    cells = [*FIT, "layer"]
+    band = resample.simultaneous_band(boot, point, cells, "residual").withColumn("low", F.col("low") + F.when(F.col("layer") % 9 == 0, 1e-6).otherwise(0.0))
+    band = band.withColumn("high", F.when(F.col("layer") % 10 != 3, F.col("high"))).withColumn("se", F.col("se") * F.when((F.col("layer") == 5) & (F.col("spec") == "log"), 1.001).otherwise(1.0)).drop("point")
+    deviations = resample.largest_deviations(boot, point, cells, "residual").withColumn("d", F.col("d") + F.when(F.col("draw") % 50 == 7, 0.01).otherwise(0.0))
+    return verify.band_reconstruction(boot, point, band, deviations, cells, "residual", tolerance=1e-9).select("rule", "key")
+
+
 def band_check(spark: SparkSession, sf: str) -> DataFrame:
     """Users' mean values with stored bands, some of whose ends were changed or lost."""
     u = F.col("user_id")
@@ -721,10 +767,10 @@ QUERIES = {
         ols_fit, ols_residuals, leverage, loo_residual, fit_summary, isotonic_fit, spearman_proxy, spearman_cross_model, metric_pair_rank_corr, material_sets_jaccard,
         bootstrap_damage_ci, bootstrap_rank_ci, simultaneous_band, split_half_rho, robust_selection, cluster_weighted_mean,
         content_digest_manifest, digest_mismatch, table_difference, tool_call_extract, format_prefix_score, json_key_order, exact_match_score, synthetic_scan,
-        typed_answers, tool_argument_scores, matched_calls, abstention_decisions, format_scores, pending_after_commit, first_repetitions, headline_check, band_check, topology_check,
+        typed_answers, tool_argument_scores, matched_calls, abstention_decisions, format_scores, pending_after_commit, first_repetitions, headline_check, paper_headlines, band_check, band_from_draws, topology_check,
         resume_pending_tasks, schema_violations, frozen_roles, plan_identity, observation_gaps, numbered_events, cycle_members, uncommitted_tasks, latest_attempt, retry_accounting, trace_parent_graph, trace_graph_violations, event_counter_equality, record_span_coverage, hook_balance,
     )
 }
 
 #: Without SQL: the draws come from NumPy's generator.
-PUBLISHED = {f.__name__: f for f in (published_damage_ci, published_rank_ci, published_band, published_selection)}
+PUBLISHED = {f.__name__: f for f in (published_damage_ci, published_rank_ci, published_band, published_selection, published_split_half, published_split_half_rho)}
