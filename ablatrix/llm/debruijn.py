@@ -358,7 +358,7 @@ class Repeats:
         self.hashes = hashes
         graph = _release(self._graph())
         self.paths = paths(graph)
-        spans = _release(self._spans(graph))
+        spans = _release(self._spans(_release(graph.select("e", "n", "lo", "chain"))))
         del graph
         self.spans = verified(spans, self.held)
 
@@ -373,7 +373,7 @@ class Repeats:
 
     def _graph(self) -> DataFrame:
         edges = self.held.mapInArrow(_edges(self.hashes, True), "e long, l long, r long, place long")
-        return checkpointed(chains(checkpointed(repeated_edges(edges))))
+        return checkpointed(chains(_release(checkpointed(repeated_edges(edges)))))
 
     def _spans(self, graph: DataFrame) -> DataFrame:
         total = graph.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
