@@ -11,37 +11,69 @@ from pyspark.sql import functions as F
 
 from ablatrix import schemas
 from ablatrix.checkpoints import checkpointed
-from ablatrix.operators import aggregate, compare, decide, sets, verify
+from ablatrix.operators import aggregate, compare, decide, rank, sets, verify
 from ablatrix.operators.decide import RULE
 from ablatrix.plans import campaign
 from ablatrix.plans.run import ExactMatch, Model, Suite, evaluate, measure
 from ablatrix.sources import evidence, sinks
 
 KEYS = ["split", "cond"]
-TABLES = ("observations", "plan", "metrics", "aggregates", "reference", "damage", "ranking")
+TABLES = ("observations", "plan", "metrics", "configuration", "aggregates", "reference", "damage", "ranking", "measurements", "outcome", "report")
+MARKERS = "markers"
 _AGGREGATE = ["value", "numerator", "denominator", "complete_count", "error_count", "minimum", "maximum", "repetitions", "unique_record_count", "unique_group_count"]
 _DAMAGE = ["baseline", "condition", "absolute_damage", "relative_damage"]
 
 
-def derive(observations: DataFrame, metrics: DataFrame, rule: dict[str, float] = RULE, split: str = "discovery", semantics: str = "2") -> dict[str, DataFrame]:
-    """Everything that follows from observations: aggregates, reference, damage, ranking.
+def derive(observations: DataFrame, metrics: DataFrame, rule: dict[str, float] = RULE, split: str = "discovery", validation: str = "validation", semantics: str = "2") -> dict[str, DataFrame]:
+    """Everything that follows from observations: aggregates, reference, damage, ranking, measurements, validation outcome, report.
 
     The aggregates have a row a condition and metric and feed all else, so they are checkpointed.
     """
     scores = aggregate.explode_scores(observations)
     found = checkpointed(aggregate.condition_aggregate(observations, scores, semantics, KEYS).select(*KEYS, "metric", *_AGGREGATE))
-    here = found.filter(F.col("split") == split).drop("split")
-    reference = compare.baseline_reference(here).join(compare.united_records(scores.filter(F.col("split") == split)), "metric")
-    reference = checkpointed(reference.drop("positions"))
+    def reference_of(part: str) -> tuple[DataFrame, DataFrame]:
+        here = found.filter(F.col("split") == part).drop("split")
+        reference = compare.baseline_reference(here).join(compare.united_records(scores.filter(F.col("split") == part)), "metric")
+        return here, checkpointed(reference.drop("positions"))
 
-    def matrix(prefix: str) -> DataFrame:
+    def matrix(of: tuple[DataFrame, DataFrame], prefix: str) -> DataFrame:
+        here, reference = of
         rows = here.filter(F.col("cond").startswith(prefix)).withColumn("component_id", F.substring("cond", len(prefix) + 1, 1000))
         return compare.damage_matrix(reference, rows.drop("cond", "unique_record_count", "unique_group_count"), metrics)
 
-    scans = matrix("scan.")
-    matched = compare.matched_controls(scans, matrix("control.random."), metrics, rule["minimum_drift_margin"])
-    ranking = decide.candidate_ranking(scans, metrics, matched, rule, semantics)
-    return {"aggregates": found, "reference": reference, "damage": scans.select("component_id", "metric", *_DAMAGE), "ranking": ranking}
+    discovered, validated = reference_of(split), reference_of(validation)
+    scans = matrix(discovered, "scan.")
+    matched = compare.matched_controls(scans, matrix(discovered, "control.random."), metrics, rule["minimum_drift_margin"])
+    ranking = checkpointed(decide.candidate_ranking(scans, metrics, matched, rule, semantics))
+    outcome = decide.validation_outcome(ranking.filter("eligible"), matrix(validated, "scan."), metrics, rule, semantics)
+    return {
+        "aggregates": found, "reference": discovered[1], "damage": scans.select("component_id", "metric", *_DAMAGE), "ranking": ranking,
+        "measurements": aggregate.measurement_summary(observations, KEYS, ["elapsed_seconds"]), "outcome": outcome, "report": report_lines(ranking),
+    }
+
+
+def report_lines(ranking: DataFrame) -> DataFrame:
+    """(line, text) of the report: a Markdown table with a line a component, in the order of their ids."""
+    show = lambda c: F.replace(F.regexp_replace(F.to_json(F.struct(c.alias("t"))), r'^\{"t":"|"\}$', ""), F.lit("|"), F.lit("\\|"))
+    cells = (show(F.col("component_id")), F.col("classification"), F.when(F.col("eligible"), "yes").otherwise("no"), show(F.array_join("reasons", ", ")))
+    text = F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    rows = rank.numbered(ranking.select("component_id", text.alias("text")), [], ["component_id"], "line")
+    head = ranking.sparkSession.createDataFrame([(1, "| Component | Classification | Eligible | Reasons |"), (2, "| --- | --- | --- | --- |")], "line long, text string")
+    return head.unionByName(rows.select((F.col("line") + 2).alias("line"), "text"))
+
+
+def markers_of(tables: dict[str, DataFrame]) -> DataFrame:
+    """(table, payload_sha256): what each table holds, whatever its files."""
+    rows = [sinks.payload_digest(df).select(F.lit(name).alias("table"), "payload_sha256") for name, df in tables.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _configuration(spark: SparkSession, components: Sequence[str], seed: int, matched: int, repetitions: int, rule: dict[str, float]) -> DataFrame:
+    said = {"components": list(components), "seed": seed, "matched": matched, "repetitions": repetitions, "rule": rule}
+    return spark.createDataFrame([(k, json.dumps(v, sort_keys=True)) for k, v in said.items()], "name string, value string")
 
 
 def run(
@@ -61,8 +93,9 @@ def run(
     )
     observations = checkpointed(observations)
     verify.enforce(refusals(observations))
-    tables = {"observations": observations, "plan": plan, "metrics": metrics} | derive(observations, metrics, rule)
-    return sinks.publish_bundle(spark, tables, path)
+    configuration = _configuration(spark, components, seed, matched, repetitions, rule)
+    tables = {"observations": observations, "plan": plan, "metrics": metrics, "configuration": configuration} | derive(observations, metrics, rule)
+    return sinks.publish_bundle(spark, tables | {MARKERS: markers_of(tables)}, path)
 
 
 def refusals(observations: DataFrame) -> DataFrame:
@@ -77,34 +110,42 @@ def refusals(observations: DataFrame) -> DataFrame:
     )
 
 
-def verify_bundle(spark: SparkSession, path: str, repetitions: int = 2, rule: dict[str, float] = RULE) -> DataFrame:
-    """All violations of a bundle: its files against its manifest, coverage of the plan, and every derived number."""
+def verify_bundle(spark: SparkSession, path: str, rule: dict[str, float] | None = None) -> DataFrame:
+    """All violations of a bundle: its files against its manifest, its tables against their markers, the plan against the
+    configuration, coverage of the plan, and everything that was derived.  A rule that is given must be the recorded one.
+    """
     manifest = spark.read.parquet(f"{path}.manifest")
     files = evidence.inventory(spark, path).filter("NOT path LIKE '%.crc' AND NOT path LIKE '%\\_SUCCESS'")
     found = [verify.manifest_difference(manifest, files), verify.unsafe_paths(manifest), evidence.bundle_violations(files)]
     table = {name: spark.read.parquet(f"{path}/{name}") for name in TABLES}
     observations = table["observations"]
+    said = {r.name: json.loads(r.value) for r in table["configuration"].collect()}
+    found.append(verify.table_difference("marker", spark.read.parquet(f"{path}/{MARKERS}"), markers_of(table), ["table"], ["payload_sha256"]))
+    if rule is not None and rule != said["rule"]:
+        found.append(spark.createDataFrame([("rule", "configuration", json.dumps(rule, sort_keys=True), json.dumps(said["rule"], sort_keys=True))], "rule string, key string, expected string, actual string"))
     found.append(refusals(observations))
-    planned = sets.difference(table["plan"].select(F.col("id").alias("cond")), observations.select("cond").distinct())
+    plan = campaign.campaign_plan(spark, said["components"], said["seed"], matched=said["matched"])
+    found.append(verify.table_difference("plan", table["plan"], plan, ["id"], [c for c in plan.columns if c != "id"]))
+    planned = sets.difference(plan.select(F.col("id").alias("cond")), observations.select("cond").distinct())
     found.append(verify.violation(planned, "plan_coverage", F.col("cond"), F.lit("planned"), F.col("side")))
-    short = observations.groupBy("cond", "split", "example_id").agg(F.countDistinct("repetition").alias("n")).filter(F.col("n") != repetitions)
-    found.append(verify.violation(short, "repetitions", F.concat_ws("/", "cond", "split", "example_id"), F.lit(repetitions), F.col("n")))
-    derived = derive(observations, table["metrics"], rule)
-    found.append(verify.table_difference("aggregates", table["aggregates"], derived["aggregates"], [*KEYS, "metric"], _AGGREGATE))
-    found.append(verify.table_difference("reference", table["reference"], derived["reference"], ["metric"], ["value", "drift", "complete_count"]))
-    found.append(verify.table_difference("damage", table["damage"], derived["damage"], ["component_id", "metric"], _DAMAGE))
+    short = observations.groupBy("cond", "split", "example_id").agg(F.countDistinct("repetition").alias("n")).filter(F.col("n") != said["repetitions"])
+    found.append(verify.violation(short, "repetitions", F.concat_ws("/", "cond", "split", "example_id"), F.lit(said["repetitions"]), F.col("n")))
+    derived = derive(observations, table["metrics"], said["rule"])
     flat = lambda df: df.withColumn("reasons", F.array_join("reasons", ","))
-    found.append(verify.table_difference("ranking", flat(table["ranking"]), flat(derived["ranking"]), ["component_id"], ["classification", "eligible", "reasons"]))
+    for name, keys, values, form in (
+        ("aggregates", [*KEYS, "metric"], _AGGREGATE, None), ("reference", ["metric"], ["value", "drift", "complete_count"], None), ("damage", ["component_id", "metric"], _DAMAGE, None),
+        ("ranking", ["component_id"], ["classification", "eligible", "reasons"], flat), ("measurements", [*KEYS, "field"], ["count", "mean", "minimum", "maximum"], None),
+        ("outcome", ["component_id"], ["outcome", "reasons"], flat), ("report", ["line"], ["text"], None),
+    ):
+        recorded, computed = (t if form is None else form(t) for t in (table[name], derived[name]))
+        found.append(verify.table_difference(name, recorded, computed, keys, values))
     return verify.union_violations(*found)
 
 
 def report(spark: SparkSession, path: str) -> str:
-    """The ranking of a verified bundle as a Markdown table: one line a component."""
+    """The report of a verified bundle."""
     verify.enforce(verify_bundle(spark, path))
-    show = lambda x: json.dumps(x, ensure_ascii=False)[1:-1].replace("|", "\\|")
-    rows = spark.read.parquet(f"{path}/ranking").orderBy("component_id").collect()
-    lines = [f"| {show(r.component_id)} | {r.classification} | {'yes' if r.eligible else 'no'} | {show(', '.join(r.reasons))} |" for r in rows]
-    return "\n".join(["| Component | Classification | Eligible | Reasons |", "| --- | --- | --- | --- |", *lines])
+    return "\n".join(r.text for r in spark.read.parquet(f"{path}/report").orderBy("line").collect())
 
 
 def freeze_records(records: DataFrame, counts: dict[str, int] = campaign.PUBLISHED_COUNTS, order: Sequence[str] = ("source_id",)) -> DataFrame:

@@ -26,12 +26,29 @@ def test_run_and_report(spark, bundle):
     text = engine.report(spark, bundle)
     assert "| component.damage | target_sensitive | no | exact_match:target_sensitive |" in text
     assert "| component.neutral | low_observed_sensitivity | yes |  |" in text
+    assert text.splitlines()[:2] == ["| Component | Classification | Eligible | Reasons |", "| --- | --- | --- | --- |"] and len(text.splitlines()) == 4
+    assert [(r.component_id, r.outcome) for r in spark.read.parquet(f"{bundle}/outcome").collect()] == [("component.neutral", "pass")]
+    assert [r.rule for r in engine.verify_bundle(spark, bundle, {"other": 1}).collect()] == ["rule"]
+
+
+def test_report_text_is_escaped(spark):
+    ranking = spark.createDataFrame([('a|b"c\n', "x", True, ["r|1", "r2"]), ("b", "y", False, [])], "component_id string, classification string, eligible boolean, reasons array<string>")
+    lines = [r.text for r in engine.report_lines(ranking).orderBy("line").collect()]
+    assert lines[2:] == ['| a\\|b\\"c\\n | x | yes | r\\|1, r2 |', "| b | y | no |  |"]
 
 
 @pytest.mark.parametrize("table,change,rule", [
     ("aggregates", lambda d: d.withColumn("value", F.col("value") + 1e-6), "aggregates"),
     ("damage", lambda d: d.withColumn("absolute_damage", F.col("absolute_damage") + 1e-6), "damage"),
     ("ranking", lambda d: d.withColumn("eligible", F.lit(True)), "ranking"),
+    ("plan", lambda d: d.withColumn("ordinal", 9 - F.col("ordinal")), "plan"),
+    ("plan", lambda d: d.filter("id <> 'control.no-op'"), "plan"),
+    ("configuration", lambda d: d.withColumn("value", F.when(F.col("name") == "seed", "5").otherwise(F.col("value"))), "marker"),
+    ("measurements", lambda d: d.withColumn("mean", F.col("mean") + 1e-6), "measurements"),
+    ("outcome", lambda d: d.withColumn("outcome", F.lit("fail")), "outcome"),
+    ("report", lambda d: d.withColumn("text", F.replace("text", F.lit("yes"), F.lit("no"))), "report"),
+    ("markers", lambda d: d.withColumn("payload_sha256", F.reverse("payload_sha256")), "marker"),
+    ("metrics", lambda d: d.withColumn("role", F.lit("collateral")), "marker"),
     ("observations", lambda d: d.filter("NOT (cond = 'baseline.end' AND repetition = 1)"), "repetitions"),
     ("observations", lambda d: d.filter("cond <> 'scan.component.damage'"), "plan_coverage"),
     ("observations", lambda d: d.unionByName(d.limit(1)), "observation_identity"),
