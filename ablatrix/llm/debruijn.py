@@ -42,7 +42,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(digest, packed, n): of texts that are equal in a batch one, compressed, with their number."""
     import zstandard
 
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for batch in batches:
         at, packed, n = {}, [], []
         digests = iter(batch.column("digest").to_pylist())
@@ -307,18 +307,21 @@ def verified(spans: DataFrame, held: DataFrame) -> DataFrame:
 
     at is the number of the chain's edges before the span, null for a window of a chain that was taken apart.
 
-    The words of each span are held against those of the chain's own first places, by SHA-256.  Where they differ, for two
+    The words of each span, but for those at first places, are held against those of the chain's first places, by SHA-256.  Where they differ, for two
     windows share a hash, the chain's spans are taken apart and its windows compared by SHA-256, one by one.
     """
     width = F.col("edges") + (LEAST - 1)
-    spans = spans.withColumn("width", width).withColumns({"rep": _text_of(F.col("lo")), "rep_pos": _word_of(F.col("lo"))})
-    both = spans.select("t", "pos", "width").unionByName(spans.select(F.col("rep").alias("t"), F.col("rep_pos").alias("pos"), "width"))
-    sha = checkpointed(slice_digests(both, held))
+    spans = spans.withColumn("width", width).withColumns({"rep": _text_of(F.col("lo")), "rep_pos": _word_of(F.col("lo")), "at": F.col("lo") - F.col("chain")})
+    first_place = (F.col("t") == F.col("rep")) & (F.col("pos") == F.col("rep_pos"))
+    others = spans.filter(~first_place)
+    both = others.select("t", "pos", "width").unionByName(others.select(F.col("rep").alias("t"), F.col("rep_pos").alias("pos"), "width"))
+    sha = _release(checkpointed(slice_digests(both, held)))
     own = sha.select(*(F.col(c).alias(f"own_{c}") for c in sha.columns))
     first = sha.select(*(F.col(c).alias(f"first_{c}") for c in sha.columns))
-    joined = spans.join(own, (F.col("t") == F.col("own_t")) & (F.col("pos") == F.col("own_pos")) & (F.col("width") == F.col("own_width")))
-    joined = joined.withColumn("at", F.col("lo") - F.col("chain")).join(first, (F.col("rep") == F.col("first_t")) & (F.col("rep_pos") == F.col("first_pos")) & (F.col("width") == F.col("first_width")))
-    held_up = checkpointed(joined.select("t", "pos", "edges", "chain", "at", (F.col("own_sha") == F.col("first_sha")).alias("same")))
+    joined = others.join(own, (F.col("t") == F.col("own_t")) & (F.col("pos") == F.col("own_pos")) & (F.col("width") == F.col("own_width")))
+    joined = joined.join(first, (F.col("rep") == F.col("first_t")) & (F.col("rep_pos") == F.col("first_pos")) & (F.col("width") == F.col("first_width")))
+    told = joined.select("t", "pos", "edges", "chain", "at", (F.col("own_sha") == F.col("first_sha")).alias("same"))
+    held_up = _release(checkpointed(told.unionByName(spans.filter(first_place).select("t", "pos", "edges", "chain", "at", F.lit(True).alias("same")))))
     good = held_up.select("t", F.col("pos").alias("start"), (F.col("pos") + F.col("edges") + (LEAST - 1)).alias("end"), "chain", "at")
     wrong = held_up.filter("NOT same").select(F.col("chain").alias("wrong")).distinct()
     if wrong.isEmpty():
@@ -358,9 +361,11 @@ class Repeats:
         self.hashes = hashes
         graph = _release(self._graph())
         self.paths = paths(graph)
-        spans = _release(self._spans(_release(graph.select("e", "n", "lo", "chain"))))
+        graph = _release(checkpointed(graph.select("e", "n", "lo", "chain")))
+        spans = self._spans(graph)
         del graph
-        self.spans = verified(spans, self.held)
+        self.spans = verified(_release(spans), self.held)
+        self.held = None
 
     def _marked(self) -> DataFrame:
         """(t, packed, marks): the texts that hold a gram which is retained in two places, with the hashes of these grams."""
