@@ -24,8 +24,6 @@ PLACE_BITS = 27
 SLICES = 20_000
 #: Words of texts whose windows are hashed together.
 TOGETHER = 1 << 20
-#: Words that a task keeps the hashes of.
-KNOWN = 1 << 20
 
 Hashes = Callable[[np.ndarray, int], np.ndarray]
 
@@ -56,16 +54,6 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(at.keys(), pa.string()), pa.array(packed, pa.binary()), pa.array(n, pa.int64())], ["digest", "packed", "n"])
 
 
-class _Known(dict):
-    """Hashes of words, by word; forgotten when there are too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word)
-        return h
-
-
 def rolled(values: np.ndarray, width: int) -> np.ndarray:
     """A hash of each run of width values: a polynomial's value, put together from runs of 1, 2, 4 ... values, and mixed."""
     size = max(len(values) - width + 1, 0)
@@ -96,7 +84,7 @@ def _together(batches: Iterator[pa.RecordBatch], *others: str) -> Iterator[tuple
 
     TOGETHER words or one longer text at a time: windows of many texts are worked out in one go.
     """
-    known, values, starts, rows, size = _Known(), [], [], [], 0
+    values, starts, rows, size = [], [], [], 0
     for batch in batches:
         for words, *rest in _unpacked(batch, *others):
             if len(words) < LEAST:
@@ -104,7 +92,7 @@ def _together(batches: Iterator[pa.RecordBatch], *others: str) -> Iterator[tuple
             if rows and size + len(words) > TOGETHER:
                 yield np.concatenate(values), np.array(starts), rows
                 values, starts, rows, size = [], [], [], 0
-            values.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            values.append(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)))
             starts.append(size)
             rows.append((*rest, len(words)))
             size += len(words)

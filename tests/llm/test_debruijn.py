@@ -93,7 +93,6 @@ def test_rolled_runs_and_windows(monkeypatch):
 
 def test_texts_are_hashed_in_groups(spark, monkeypatch):
     monkeypatch.setattr(debruijn, "TOGETHER", 100)
-    monkeypatch.setattr(debruijn, "KNOWN", 7)
     import pyarrow as pa
 
     rows = [(i, t) for i, t in invented(9) if t]
