@@ -101,6 +101,16 @@ def test_abstention(spark):
     assert rows.filter("x.reason <> reason OR x.value <> int(reason IN ('abstention_explicit_form', 'abstention_empty_call_list'))").count() == 0
 
 
+def test_folding_is_that_of_python_where_it_is_ascii(spark):
+    """Every letter that folds to ASCII, and forms written with such letters."""
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c <= 0xDFFF and chr(c).casefold().isascii()]
+    assert {c: c.casefold() for c in letters if c.lower() != c.casefold()} == S.FOLDS
+    found = spark.createDataFrame([(c,) for c in letters if c.strip()], "c string").select("c", S.folded(F.col("c")).alias("f")).collect()
+    assert all(r.f == r.c.casefold() for r in found)
+    said = spark.createDataFrame([("No \u017fuitable tool i\u017f AVAILABLE",), ("no \u212auitable tool is available",)], "o string").select(S.abstention(F.col("o"))["value"].alias("v")).collect()
+    assert [r.v for r in said] == [1.0, 0.0]
+
+
 def test_independent_metric_populations(spark):
     call = lambda n, **a: {"name": n, "arguments": a}
     cases = [
