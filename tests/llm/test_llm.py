@@ -656,6 +656,51 @@ def test_score_is_that_of_the_vocabularys_own_weights(spark):
             assert math.isclose(r.score, wanted, rel_tol=1e-9)
 
 
+def test_open_score_against_brute_force(spark):
+    """Known words by discounted counts, the rest by pieces whose weights come from each different training word once."""
+    texts = {1: "the cat sat on the mat", 2: "The cat ran", 3: "a zyzzyva sat " + "ab" * 40, 4: None, 5: "the " + "cd" * 40}
+    train = (1, 2, 4, 5)
+    counts, ends = {}, len(train)
+    for i in train:
+        for w in low(texts[i]).encode().split():
+            counts[w] = counts.get(w, 0) + 1
+    seen = [*counts.values(), ends]
+    n, discount = sum(seen), (seen.count(1) + 1) / (seen.count(1) + 2 * seen.count(2) + 2)
+    own = lattice.load_pieces()
+    uses = np.zeros(len(own.names))
+    for w in counts:
+        own.expected_alone(b" " + w, 1.0, uses)
+    share = lattice.PRIOR_SHARE
+    weights = np.append((1 - share) * uses / (uses.sum() + 1) + share * np.exp(own.weights), (1 - share) / (uses.sum() + 1) + share * math.exp(own.end))
+    weights /= weights.sum()
+    spell, starts = own.weighted(np.log(weights[:-1]), 0.0), sum(x for name, x in zip(own.names, weights) if name.startswith(b" "))
+    chance = lambda c, spelled: max(c - discount, 0) / n + discount * len(seen) / n * spelled
+    for r in lattice.lattice_scores(docs_of(spark, list(texts.items())), F.col("doc_id").isin(*train)).collect():
+        words = low(texts[r.doc_id]).encode().split()
+        wanted = sum(math.log10(chance(counts.get(w, 0), 10 ** slow_segmentations(spell, w))) for w in words) + math.log10(chance(ends, weights[-1] / (starts + weights[-1])))
+        assert math.isclose(r.open_score, wanted, rel_tol=1e-9)
+
+
+def test_held_out_scores_are_near_base(spark):
+    """A model that learns from its training rows is not far below their word frequencies, which give each new word the chance of one."""
+    rows = catalogue.QUERIES["op8_lattice_lm"](spark, SMALL).collect()
+    assert len(rows) == 1000 and all(math.isfinite(r.score) and math.isfinite(r.base_score) for r in rows)
+    for held in (True, False):
+        some = [r for r in rows if r.held_out == held]
+        assert sum(r.score for r in some) > 1.2 * sum(r.base_score for r in some)
+    clear = [r.score > 1.1 * r.base_score for r in rows if r.held_out and r.n_known > 0.95 * r.n_tokens]
+    assert len(clear) > 20 and all(clear)
+
+
+def test_a_word_of_very_small_chance_keeps_it():
+    """Chances below what a double holds are worked out in log space."""
+    pieces = lattice.Pieces([b" ", b"a", b"b"], np.array([-1.0, -300.0, 700.0]), 0.0)
+    assert np.allclose(pieces.log10([b"aaaa", b"a", b"", b"bb"]), np.array([-1201.0, -301.0, -1.0, 1399.0]) / math.log(10))
+    into = np.zeros(3)
+    pieces.expected(np.frombuffer(b" aaaa", np.uint8)[None], np.array([2.0]), into)
+    assert np.allclose(into, [2, 8, 0])
+
+
 def test_lattice_edges(spark, edges, nothing):
     out = lattice.lattice_scores(edges, F.lit(True)).collect()
     assert len(out) == len(EDGES) and sorted(r.n_tokens for r in out)[:3] == [1, 1, 1]
