@@ -154,3 +154,12 @@ def test_small_expressions(spark):
         E.token_count(F.col("t")).alias("tokens"), E.finite(F.lit(float("inf"))).alias("finite"), E.joined_ids(F.array(F.lit(3), F.lit(1), F.lit(3))).alias("ids"),
     ).first()
     assert tuple(row) == (True, False, "transformer.block.007", 3, 2, False, "1;3")
+
+
+def test_costly_parts_are_worked_out_once(spark):
+    """A plan that repeats the parsing of an output in each place that uses it takes several times as long."""
+    df = spark.createDataFrame([('[{"name": "f", "arguments": {"x": 1}}]', '[{"f": {"x": [1]}}]', '{"argument_names": ["x"], "required": ["x"]}')], "o string, e string, r string")
+    scored = df.select(S.tool_scores("o", "e", "r").alias("s"))
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") <= 2  # of a tagged body, and of the whole text
+    assert scored.first().s.full_call == 1
