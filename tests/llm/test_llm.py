@@ -592,6 +592,25 @@ def test_content_alone_tells_the_classes(spark):
     assert np.mean([out[i] == good for i, good in rows if i >= 300]) > 0.97
 
 
+def test_chunks_are_tokenised_once_for_all_texts_of_a_batch():
+    """Ids as by the whole tokenizer, and no work for a word that other texts of the batch hold, with marks or capitals or without."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    words, draw = packing.WordBpe(public_tokenizers.path("word_bpe_49k.json")), random.Random(1)
+    texts = [None, "", " a", "Größe, GRÖSSE ½ 日本 don't x\x1cy", "<|endoftext|> b", *("a" + chr(c) + "B," for c in range(0x250))]
+    texts += ["".join(draw.choice("abcXYZéÀßİıſ'.,!?:;%*#$&)(- \t\n日012\u00a0\u2003") for _ in range(draw.randrange(40))) for _ in range(2000)]
+    want = [words.whole(t or "") for t in texts]
+    for some in (pa.array(texts), pa.concat_arrays([pa.array(["cut off"]), pa.array(texts)]).slice(1)):
+        assert list(words.encode_all(some)) == want
+    asked: list[str] = []
+    words = packing.WordBpe(public_tokenizers.path("word_bpe_49k.json"))
+    words.words.make = lambda w: asked.append(w) or words.word(w)
+    words.words.most = 2  # nothing is remembered for long
+    list(words.encode_all(pa.array(["quixotic zebra Quixotic, Zebra."] * 50)))
+    assert sorted(asked) == ["", ",", ".", "quixotic", "zebra"]
+
+
 # lattice
 
 
