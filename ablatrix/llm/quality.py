@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +38,14 @@ def _is(some: bytes | range) -> np.ndarray:
 _SPACE, _UPPER, _LOWER, _DIGIT = _is(b" \t\n\v\f\r"), _is(range(65, 91)), _is(range(97, 123)), _is(range(48, 58))
 _LETTER = _UPPER | _LOWER | _is(range(128, 256))  # what isn't ASCII counts as a letter
 _SYMBOL = ~(_LETTER | _DIGIT)
-_JOINS, _STOPS = _is(b"'-"), _is(b".,;:!?")
-#: Of each byte value: is it a letter, a digit, or a join, in 21 bits each, so that one sum over a word counts all three.
-_KINDS = _LETTER + (_DIGIT.astype(np.int64) << 21) + (_JOINS.astype(np.int64) << 42)
-_CASES = _UPPER + (_LOWER.astype(np.int64) << 32)
+_STOPS = _is(b".,;:!?")
+#: Bits of each byte value, so that those of a word's bytes, or-ed, say what the word has; other: what a plain word has not.
+_HAS_UPPER, _HAS_LOWER, _HAS_ALNUM, _HAS_OTHER = 1, 2, 4, 8
+_BITS = (_UPPER * _HAS_UPPER + _LOWER * _HAS_LOWER + (_LETTER | _DIGIT) * _HAS_ALNUM + ~(_LETTER | _is(b"'-") | _SPACE) * _HAS_OTHER).astype(np.uint8)
+#: Bytes of texts that features are worked out for side by side, and texts whose n-grams are counted so.
+SIDE_BY_SIDE, COUNTED = 1 << 18, 16
+#: Logarithms of one more than the usual counts.
+_LOGS = np.log1p(np.arange(1 << 12))
 
 
 @dataclass
@@ -76,40 +81,110 @@ def text_features(text: str | None) -> tuple[list[float], np.ndarray, np.ndarray
     those of its words and of its n-grams, A-Z in lower case, by hash; a value is the logarithm of one more than the
     count, and a text's values have length one.
     """
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    low = raw.lower()
-    words = low.split()  # bytes: ASCII white space only
-    n = len(words)
-    if not n:
-        return [0.0] * SHAPES, np.zeros(0, np.int32), np.zeros(0, np.float32)
-    octets = np.frombuffer(raw, np.uint8)
+    rows = text_rows([text])
+    return rows.dense[0].tolist(), rows.places, rows.values
+
+
+def text_rows(texts: list[str | bytes | None]) -> Rows:
+    """The text_features() of many texts, worked out for about SIDE_BY_SIDE bytes of texts at a time."""
+    raws = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"" for t in texts]
+    found, some, size = [Rows.of(np.zeros((0, SHAPES)))], [], 0
+    for raw in raws:
+        if some and size + len(raw) > SIDE_BY_SIDE:
+            found.append(_side_by_side(some))
+            some, size = [], 0
+        some.append(raw)
+        size += len(raw)
+    if some:
+        found.append(_side_by_side(some))
+    return found[0].join(*found[1:])
+
+
+def _starts(sizes: np.ndarray) -> np.ndarray:
+    """Where each of some runs laid end to end starts, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _side_by_side(raws: list[bytes]) -> Rows:
+    """Features of texts in UTF-8.  They are laid end to end, one line end apart, so that no word or line spans two."""
+    whole, n = b"\n".join(raws), len(raws)
+    low, octets = whole.lower(), np.frombuffer(whole, np.uint8)
+    lengths = np.fromiter(map(len, raws), np.int64, n)
+    froms = _starts(lengths + 1)[:-1]
     space = np.concatenate([[True], _SPACE[octets], [True]])
     edges = np.flatnonzero(space[1:] != space[:-1])
     starts, ends = edges[::2], edges[1::2]
+    bounds = np.append(np.searchsorted(starts, froms), len(starts))
+    n_words = np.diff(bounds)
+    owner = np.repeat(np.arange(n), n_words)
+
+    def total(x: np.ndarray) -> np.ndarray:
+        return np.diff(_starts(x)[bounds])
+
     sizes, first, last = ends - starts, octets[starts], octets[ends - 1]
-    kind, case, low_bits = np.add.reduceat(_KINDS[octets], starts), np.add.reduceat(_CASES[octets], starts), (1 << 21) - 1
-    letters, digits, joins = kind & low_bits, kind >> 21 & low_bits, kind >> 42
-    plain = _LETTER[first] & (letters + joins + _STOPS[last] == sizes)
+    bits = _BITS[octets]
+    bits[ends[_STOPS[last]] - 1] &= 255 - _HAS_OTHER  # a plain word may end in one stop
+    has = np.bitwise_or.reduceat(bits, starts) if len(starts) else bits[:0]
+    plain = _LETTER[first] & (has & _HAS_OTHER == 0)
     marks = (sizes > 1) & _SYMBOL[last] & _SYMBOL[octets[np.maximum(ends - 2, 0)]]
-    lines = [x for x in raw.split(b"\n") if not x.isspace() and x]
-    counts = Counter(words)
-    kinds, most, rows = len(counts), max(counts.values()), max(len(lines), 1)
-    shapes = [
-        math.log1p(n) / 10, sizes.sum() / n / 10, kinds / n, kinds / math.sqrt(n) / 10, plain.sum() / n, marks.sum() / n, (letters + digits == 0).sum() / n,
-        ((sizes > 1) & (case > 0) & (case >> 32 == 0)).sum() / n, _DIGIT[first].sum() / n, most / n, sum(map(bytes.__eq__, words, words[1:])) / n,
-        1 - len(set(lines)) / rows, min(n / rows, 200) / 200, (sizes > 20).sum() / n,
-    ]
-    at = np.fromiter(map(zlib.crc32, counts), np.int64, kinds) % WORD_PLACES
-    held = np.bincount(at, weights=np.fromiter(counts.values(), float, kinds), minlength=CONTENT)
-    if len(low) >= GRAM:
-        octets = np.frombuffer(low, np.uint8).astype(np.uint32)
-        gram = octets[: len(octets) - GRAM + 1].copy()
-        for j in range(1, GRAM):
-            gram = gram * np.uint32(256) + octets[j : len(octets) - GRAM + 1 + j]
-        held[WORD_PLACES:] = np.bincount((gram * np.uint32(2654435761)) >> np.uint32(20), minlength=GRAM_PLACES)
-    places = np.flatnonzero(held)
-    values = np.log1p(held[places])
-    return shapes, places.astype(np.int32), (values / math.sqrt(values @ values)).astype(np.float32)
+
+    numbers: dict[bytes, int] = defaultdict(count().__next__)  # each word gets the next number when it is first met
+    ids = np.fromiter(map(numbers.__getitem__, low.split()), np.int64, len(starts))  # bytes: ASCII white space only
+    word_places = np.fromiter(map(zlib.crc32, numbers), np.int64, len(numbers)) % WORD_PLACES
+    width = len(numbers).bit_length()
+    keys = np.sort((owner * WORD_PLACES + word_places[ids]) << width | ids)
+    new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)])
+    times, of = np.diff(new, append=len(keys)), keys[new] >> width
+    kinds = np.bincount(of // WORD_PLACES, minlength=n)
+    most = np.zeros(n, np.int64)
+    most[kinds > 0] = np.maximum.reduceat(times, (np.cumsum(kinds) - kinds)[kinds > 0]) if len(times) else 0
+    new = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]])[: len(of)])
+    of, held = of[new], np.add.reduceat(times, new) if len(new) else times
+    n_words_held = np.bincount(of // WORD_PLACES, minlength=n)
+
+    lines = [[x for x in raw.split(b"\n") if x and not x.isspace()] for raw in raws]
+    rows = np.maximum(np.fromiter(map(len, lines), np.int64, n), 1)
+    other = np.fromiter((len(set(x)) for x in lines), np.int64, n)
+    some = np.maximum(n_words, 1)
+    dense = np.column_stack([
+        np.log1p(n_words) / 10, total(sizes) / some / 10, kinds / some, kinds / np.sqrt(some) / 10, total(plain) / some, total(marks) / some, total(has & _HAS_ALNUM == 0) / some,
+        total((sizes > 1) & (has & _HAS_UPPER > 0) & (has & _HAS_LOWER == 0)) / some, total(_DIGIT[first]) / some, most / some,
+        total(np.concatenate([[False], (ids[1:] == ids[:-1]) & (owner[1:] == owner[:-1])])[: len(ids)]) / some,
+        1 - other / rows, np.minimum(n_words / rows, 200) / 200, total(sizes > 20) / some,
+    ])
+    dense[n_words == 0] = 0.0
+
+    octets = np.frombuffer(low, np.uint8).astype(np.uint32)
+    n_grams = np.where(n_words > 0, np.maximum(lengths - GRAM + 1, 0), 0)
+    gram = octets[: max(len(octets) - GRAM + 1, 0)].copy()
+    for j in range(1, GRAM):
+        gram *= np.uint32(256)
+        gram += octets[j : len(gram) + j]
+    gram *= np.uint32(2654435761)
+    gram >>= np.uint32(20)
+    grams, grams_held = [], []
+    for a in range(0, n, COUNTED):
+        each = range(a, min(a + COUNTED, n))
+        keys = np.concatenate([gram[froms[i] : froms[i] + n_grams[i]] + np.uint32((i - a) * GRAM_PLACES) for i in each])
+        counts = np.bincount(keys, minlength=len(each) * GRAM_PLACES)
+        at = np.flatnonzero(counts != 0)
+        grams.append(at + a * GRAM_PLACES)
+        grams_held.append(counts[at])
+    grams = np.concatenate(grams)
+    n_grams_held = np.bincount(grams // GRAM_PLACES, minlength=n)
+
+    sizes = n_words_held + n_grams_held
+    to_words = np.arange(len(of)) + np.repeat(_starts(n_grams_held)[:-1], n_words_held)
+    to_grams = np.arange(len(grams)) + np.repeat(_starts(n_words_held)[1:], n_grams_held)
+    places, counts = np.empty(len(of) + len(grams), np.int32), np.empty(len(of) + len(grams), np.int64)
+    places[to_words], places[to_grams] = of % WORD_PLACES, grams % GRAM_PLACES + WORD_PLACES
+    counts[to_words], counts[to_grams] = held, np.concatenate(grams_held)
+    values = _LOGS[np.minimum(counts, len(_LOGS) - 1)]
+    large = np.flatnonzero(counts >= len(_LOGS))
+    values[large] = np.log1p(counts[large])
+    full = np.flatnonzero(sizes)
+    norms = np.sqrt(np.add.reduceat(values * values, _starts(sizes)[full])) if len(full) else values
+    return Rows(dense, sizes, places, (values / np.repeat(norms, sizes[full])).astype(np.float32))
 
 
 def meta_features(source: object, lang: object, n_chars: object) -> list[float]:
@@ -278,15 +353,9 @@ _VIEWED = ("body", "source", "lang", "n_chars")
 
 
 def _features(columns: list[list]) -> tuple[Rows, Rows]:
-    """The text view's and the metadata view's features of some rows, given by the lists of their _VIEWED columns."""
-    n = len(columns[0])
-    found = [text_features(t) for t in columns[0]]
-    nothing = np.zeros(0)
-    text = Rows(
-        np.array([s for s, _, _ in found]).reshape(n, SHAPES), np.array([len(p) for _, p, _ in found], dtype=np.int64),
-        np.concatenate([nothing.astype(np.int32), *(p for _, p, _ in found)]), np.concatenate([nothing.astype(np.float32), *(v for _, _, v in found)]),
-    )
-    return text, Rows.of(np.array([meta_features(*m) for m in zip(*columns[1:])]).reshape(n, PLACES + 2))
+    """The text view's and the metadata view's features of some rows, given by the lists of their _VIEWED columns, texts as bytes or not."""
+    meta = np.array([meta_features(*m) for m in zip(*columns[1:])]).reshape(len(columns[0]), PLACES + 2)
+    return text_rows(columns[0]), Rows.of(meta)
 
 
 _EXTRACTED = "id {id}, quality int, label_view int, shapes binary, places binary, values binary, meta binary"
@@ -326,7 +395,8 @@ def _scorer(shared):
         model: CoTrained = shared.value
         for batch in batches:
             scores = [[np.zeros(0)] * 3]
-            scores += [model.score(*_features(list(columns))) for columns in zip(*(parts(c) for c in batch))]
+            viewed = (batch[0].cast(pa.large_binary()), *batch[1:])  # the text view works on bytes
+            scores += [model.score(*_features(list(columns))) for columns in zip(*(parts(c) for c in viewed))]
             columns = [pa.array(np.concatenate(x), pa.float64()) for x in zip(*scores)]
             yield pa.StructArray.from_arrays(columns, ["text_score", "meta_score", "score"])
 

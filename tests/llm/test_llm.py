@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -562,6 +563,29 @@ def test_text_features_by_hand(text):
     assert np.allclose(shapes, wanted) and np.allclose([content[p] for p in places.tolist()], values) and len(places) == len(content)
 
 
+def test_text_features_are_worked_out_side_by_side(monkeypatch):
+    """Of many texts as of each by itself and by hand, and a word that many texts hold is hashed once."""
+    draw, hashed, crc32 = random.Random(3), Counter(), zlib.crc32
+    texts = [None, "", " ", "\n\n", "ab", "a b", "x" * 9000, "a " * 5000, "no end", *(["same words in each text, same words."] * 200)]
+    texts += ["".join(draw.choice("abXYé日'-.,!?09 \t\n\v\f\r") for _ in range(draw.randrange(80))) for _ in range(500)]
+    alone = [quality.text_features(t) for t in texts]
+    monkeypatch.setattr(quality.zlib, "crc32", lambda b: hashed.update([b]) or crc32(b))
+    rows, meta = quality._features([texts, ["s"] * len(texts), ["en"] * len(texts), [1.0] * len(texts)])
+    monkeypatch.undo()
+    assert hashed[b"same"] == hashed[b"text,"] == 1 and len(rows) == len(meta) == len(texts)
+    octets = quality.text_rows([t and t.encode() for t in texts])
+    assert all((getattr(octets, f) == getattr(rows, f)).all() for f in ("dense", "sizes", "places", "values"))
+    ends = np.cumsum(rows.sizes)
+    for i, (text, (shapes, places, values)) in enumerate(zip(texts, alone)):
+        own = slice(ends[i] - rows.sizes[i], ends[i])
+        assert np.allclose(rows.dense[i], shapes, atol=1e-12) and rows.places[own].tolist() == places.tolist() and np.allclose(rows.values[own], values)
+        if not (text or "").encode().split():
+            assert not any(shapes) and not len(places)
+        elif len(text) < 100:
+            wanted, content = slow_text_features(text)
+            assert np.allclose(shapes, wanted) and places.tolist() == sorted(content) and np.allclose([content[p] for p in places.tolist()], values)
+
+
 def test_quality_scores_are_the_models(spark):
     """classify() against the fitted model row by row, by way of each view's formula."""
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
